@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import stage
 from . import windows
 
 K = len(S.PHASES)
@@ -15,7 +16,8 @@ def _one(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """Attach a table with one row per key (one row in all when there are no keys)."""
     if keys:
         return left.join(right, list(keys), "left")
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    row = F.broadcast(right.withColumn("_one", F.lit(1)))  # an aggregate without keys: one row
+    return left.withColumn("_one", F.lit(1)).join(row, "_one", "left").drop("_one")
 
 
 def majority(train: DataFrame, evaluation: DataFrame, keys=(), label: str = "target_label") -> DataFrame:
@@ -87,12 +89,13 @@ def linear_svm(train: DataFrame, evaluation: DataFrame, features: str, label: st
     size = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
     weights = _one(counts, size, ()).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("_weight"))
     vector = array_to_vector(F.col(features))
-    rows = train.join(weights, label).withColumn("_raw", vector)
+    # The solver reads its input once per iteration, so it is staged first.
+    rows = stage(train.join(weights, label).select(features, label, "_weight"), "svm").withColumn("_raw", vector)
     classifier = LinearSVC(maxIter=iterations, featuresCol="_scaled", weightCol="_weight", labelCol=label)
     model = Pipeline(
         stages=[
             StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="_scaled"),
-            OneVsRest(classifier=classifier, featuresCol="_scaled", labelCol=label, weightCol="_weight"),
+            OneVsRest(classifier=classifier, featuresCol="_scaled", labelCol=label, weightCol="_weight", parallelism=8),
         ]
     ).fit(rows)
     return model.transform(evaluation.withColumn("_raw", vector)).drop("_raw", "_scaled")

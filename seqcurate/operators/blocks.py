@@ -19,17 +19,17 @@ SPAN = 65_536
 BLOCK = "_block"
 
 
-def block_of(order: Column, span: int = SPAN) -> Column:
-    return F.floor(order / F.lit(span)).cast("bigint")
+def block_of(order: Column, span: int | None = None) -> Column:
+    return F.floor(order / F.lit(span or SPAN)).cast("bigint")
 
 
-def halo(df: DataFrame, order: str, before: int, after: int, span: int = SPAN) -> DataFrame:
+def halo(df: DataFrame, order: str, before: int, after: int, span: int | None = None) -> DataFrame:
     """Place each row in its own block and in every block that needs it as context.
 
     A block then sees all rows from ``before`` units below its first order value to ``after``
     units above its last one. ``_core`` is true for the row's own block only.
     """
-    value = F.col(order)
+    value, span = F.col(order), span or SPAN
     low = F.floor((value - F.lit(after)) / F.lit(span)).cast("bigint")
     high = F.floor((value + F.lit(before)) / F.lit(span)).cast("bigint")
     return df.withColumn(BLOCK, F.explode(F.sequence(low, high))).withColumn(
@@ -61,7 +61,7 @@ def carry(
     first: dict[str, Column] | None = None,
     tie: tuple[str, ...] = (),
     inclusive: bool = True,
-    span: int = SPAN,
+    span: int | None = None,
     totals: dict[str, tuple[str, Column]] | None = None,
     attach: DataFrame | None = None,
 ) -> DataFrame:
@@ -154,7 +154,7 @@ def rank(
     return out.select(*df.columns, name, *([total] if total else []))
 
 
-def running_sum(df, keys, order, value: Column, name: str, tie=(), span: int = SPAN) -> DataFrame:
+def running_sum(df, keys, order, value: Column, name: str, tie=(), span: int | None = None) -> DataFrame:
     """Inclusive running sum per key: block-local sum plus the sum of earlier blocks."""
     rows = spread(df.withColumn(BLOCK, block_of(F.col(order), span)), keys).withColumn("_v", value)
     table = rows.groupBy(*keys, BLOCK).agg(F.sum("_v").alias("_s"))

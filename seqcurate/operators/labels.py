@@ -129,7 +129,8 @@ def marks(start: Column, end: Column, thresholds=S.PHASE_THRESHOLDS) -> list[Col
 
 def cells(located: DataFrame, keys, extra=()) -> DataFrame:
     """Distinct grid cells; frames collapse to cells before the shuffle."""
-    return located.groupBy(*keys, "cell_start", "cell_end").agg(*[F.first(c).alias(c) for c in extra])
+    kept = located.select(*keys, "cell_start", "cell_end", *extra)
+    return kept.dropDuplicates([*keys, "cell_start", "cell_end"])
 
 
 def grid(located: DataFrame, keys) -> DataFrame:

@@ -32,10 +32,16 @@ def duplicated(df: DataFrame, rule: str, columns, keys=()) -> DataFrame:
 
 def crossing(df: DataFrame, rule: str, group, value: str, keys=()) -> DataFrame:
     """Number of groups that hold more than one value."""
-    out = df.groupBy(*keys, *group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    return out.groupBy(*keys).agg(F.count_if(F.col("_low") != F.col("_high")).alias("violations")).select(
-        *keys, F.lit(rule).alias("rule"), "violations"
-    )
+    return crossings(df, group, {rule: F.col(value)}, keys)
+
+
+def crossings(df: DataFrame, group, values: dict[str, Column], keys=()) -> DataFrame:
+    """Several values checked against the same grouping in one pass (null values are ignored)."""
+    ends = []
+    for i, value in enumerate(values.values()):
+        ends += [F.min(value).alias(f"_low{i}"), F.max(value).alias(f"_high{i}")]
+    out = df.groupBy(*keys, *group).agg(*ends)
+    return scalar(out, {rule: F.col(f"_low{i}") != F.col(f"_high{i}") for i, rule in enumerate(values)}, keys)
 
 
 def merge(*tables: DataFrame) -> DataFrame:
@@ -139,14 +145,19 @@ def label_release(labels: DataFrame, manifest_table: DataFrame, datasets) -> Dat
     }
     for name in COMPARED_FIELDS:
         checks[f"{name} unchanged"] = known & ~F.col(name).eqNullSafe(F.col(f"_s_{name}"))
-    development = joined.filter(F.col("_s_split") == "development")
     return merge(
         scalar(joined, checks),
         duplicated(labels, "sample_id unique", ["sample_id"]),
         duplicated(manifest_table, "manifest sample_id unique", ["sample_id"]),
-        crossing(joined, "subject in one split", ["subject_id"], "_s_split"),
+        crossings(
+            joined,
+            ["subject_id"],
+            {
+                "subject in one split": F.col("_s_split"),
+                "subject in one fold": F.when(F.col("_s_split") == "development", F.col("_s_fold")),
+            },
+        ),
         crossing(joined.filter(~blank("_s_duplicate_group")), "duplicate group in one split", ["_s_duplicate_group"], "_s_split"),
-        crossing(development, "subject in one fold", ["subject_id"], "_s_fold"),
     )
 
 

@@ -6,30 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import ids
 from . import bootstrap, metrics, rules
 
 IDENTITY = S.PREDICTION_COLUMNS[:6] + S.PREDICTION_COLUMNS[6:7] + S.PREDICTION_COLUMNS[8:]
 
 
-def coverage(preds: DataFrame, canonical: DataFrame, keys=("variant",)) -> DataFrame:
-    """Full outer comparison with the canonical table, per variant: presence and field equality.
+def coverage(preds: DataFrame, canonical: DataFrame, variants: list[str]) -> DataFrame:
+    """Full outer comparison with the canonical table, per registered variant.
 
-    Each variant must hold exactly the canonical samples, so the canonical table is repeated
-    for each registered variant (a handful of names).
+    Every variant must hold exactly the canonical samples, so the canonical rows are repeated
+    once per registered name before one shuffle on (variant, sample).
     """
-    keys = list(keys)
     fields = [c for c in IDENTITY if c != "sample_id"] + ["fold"]
-    names = preds.select(*keys).distinct()
-    want = canonical.select("sample_id", F.lit(True).alias("_c"), *[F.col(c).alias(f"_c_{c}") for c in fields])
-    want = want.join(F.broadcast(names.limit(10_000)))
-    have = preds.select(*keys, "sample_id", F.lit(True).alias("_p"), *fields)
-    both = have.join(want, [*keys, "sample_id"], "full_outer")
+    want = canonical.select(
+        F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"),
+        "sample_id",
+        F.lit(True).alias("_c"),
+        *[F.col(c).alias(f"_c_{c}") for c in fields],
+    )
+    have = preds.select("variant", "sample_id", F.lit(True).alias("_p"), *fields)
+    both = have.join(want, ["variant", "sample_id"], "full_outer")
     shared = F.col("_c").isNotNull() & F.col("_p").isNotNull()
     checks = {"sample is canonical": F.col("_c").isNull(), "canonical sample predicted": F.col("_p").isNull()}
     for name in fields:
         checks[f"{name} as canonical"] = shared & ~F.col(name).eqNullSafe(F.col(f"_c_{name}"))
-    return rules.scalar(both, checks, keys)
+    return rules.scalar(both, checks, ["variant"])
 
 
 def registry(preds: DataFrame, registered: DataFrame, expected_folds: list[int], samples: int, subjects: int) -> DataFrame:
@@ -100,7 +101,3 @@ def best_epoch(curves: DataFrame, keys=("run_id",)) -> DataFrame:
 def duration(best: DataFrame, keys=()) -> DataFrame:
     """Training length rule: the median best epoch over the folds."""
     return best.groupBy(*keys).agg(F.percentile("best_epoch", F.lit(0.5)).alias("epochs"), F.count(F.lit(1)).alias("runs"))
-
-
-def table_digest(df: DataFrame, *columns: str) -> DataFrame:
-    return ids.content_digest(df, *columns)

@@ -74,9 +74,19 @@ def raw_manifest(spark, sf_dir) -> DataFrame:
     )
 
 
+def catalogue(spark, sf_dir) -> DataFrame:
+    """The manifest with its content hashes, staged: texts are read and hashed once."""
+    return shared(spark, sf_dir, "catalogue", lambda: stage(raw_manifest(spark, sf_dir), "catalogue"))
+
+
+def grouped(spark, sf_dir) -> DataFrame:
+    return dedupe.assign_groups(catalogue(spark, sf_dir))
+
+
 def manifest(spark, sf_dir) -> DataFrame:
-    """Catalogue with duplicate groups, cross-subject exclusions, splits and folds."""
-    return splits.make_subject_splits(dedupe.assign_groups(raw_manifest(spark, sf_dir)))
+    """Catalogue with duplicate groups, cross-subject exclusions, splits and folds, staged."""
+    build = lambda: stage(splits.make_subject_splits(grouped(spark, sf_dir)), "manifest")
+    return shared(spark, sf_dir, "manifest", build)
 
 
 # --- signal: events in time order per user ------------------------------------------------

@@ -94,8 +94,11 @@ def require_columns(df: DataFrame, columns, table: str = "table") -> DataFrame:
 
 
 def phase_name(index: Column) -> Column:
-    """Ordinal (0-based) to label."""
-    return F.element_at(F.array(*[F.lit(p) for p in PHASES]), (index + 1).cast("int"))
+    """Ordinal (0-based) to label; null stays null."""
+    out = F.when(index == 0, PHASES[0])
+    for position, phase in enumerate(PHASES[1:], 1):
+        out = out.when(index == position, phase)
+    return out
 
 
 def phase_index(label: Column, strict: bool = False) -> Column:
