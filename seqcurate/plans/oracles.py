@@ -987,18 +987,26 @@ cte(
     WINDOW s AS (PARTITION BY sequence_id, seg)""",
 )
 cte(
-    "starts",
+    "seglens",
     "segs",
-    """SELECT DISTINCT sequence_id, seg, len, unnest(list_concat(generate_series(0, greatest(0, len - 27), 9), [greatest(0, len - 27)])) AS clip_start
-    FROM (SELECT DISTINCT sequence_id, seg, len FROM segs) g""",
+    "SELECT sequence_id, segment_start, max(len) AS len FROM segs GROUP BY sequence_id, segment_start",
+)
+cte(
+    "starts",
+    "seglens",
+    """SELECT sequence_id, segment_start, clip_start FROM (SELECT sequence_id, segment_start, greatest(0, len - 27) AS final,
+        unnest(generate_series(0, greatest(0, len - 27))) AS clip_start FROM seglens) g
+    WHERE clip_start % 9 = 0 OR clip_start = final""",
 )
 cte(
     "clips",
     "starts segs",
-    """SELECT s.sequence_id, s.segment_start, c.clip_start, k.slot, s.frame_index, s.phase_label, s.is_boundary,
-      c.clip_start + k.slot < c.len AS valid, s.event_id, s.sample_id
-    FROM starts c CROSS JOIN (SELECT unnest(generate_series(0, 26)) AS slot) k
-    JOIN segs s ON s.sequence_id = c.sequence_id AND s.seg = c.seg AND s.pos = least(c.clip_start + k.slot, c.len - 1)""",
+    """SELECT s.sequence_id, s.segment_start, c.clip_start, s.pos - c.clip_start AS slot, s.frame_index, s.phase_label,
+      s.is_boundary, true AS valid, s.event_id, s.sample_id
+    FROM segs s JOIN starts c ON s.sequence_id = c.sequence_id AND s.segment_start = c.segment_start
+      AND s.pos BETWEEN c.clip_start AND c.clip_start + 26
+    UNION ALL SELECT sequence_id, segment_start, 0, unnest(generate_series(len, 26)), frame_index, phase_label, is_boundary,
+      false, event_id, sample_id FROM segs WHERE len < 27 AND pos = len - 1""",
 )
 oracle(
     "dense_clips",

@@ -1,0 +1,94 @@
+"""Zip archives as tables of members. One archive is one input row; members stream out in batches."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import posixpath
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import rules
+from . import files
+
+MEMBERS_DDL = "archive string, member string, is_dir boolean, size_bytes bigint, crc bigint, sha256 string, unsafe boolean"
+INTEGRITY_DDL = (
+    "relative_path string, size_bytes bigint, integrity string, entry_count bigint, file_entries bigint, "
+    "uncompressed_bytes bigint, sample_entries string, error string"
+)
+_BATCH = 512
+
+
+def escapes(name: str) -> bool:
+    """True when unpacking the member would leave its folder."""
+    clean = posixpath.normpath(name.replace("\\", "/"))
+    return clean.startswith(("../", "/")) or clean == ".." or ":" in clean.split("/")[0]
+
+
+def _members(batches):
+    for pdf in batches:
+        for archive, content in zip(pdf["archive"], pdf["content"]):
+            rows = []
+            with zipfile.ZipFile(io.BytesIO(content)) as zipped:
+                for info in zipped.infolist():
+                    digest = None if info.is_dir() else hashlib.sha256(zipped.read(info)).hexdigest()
+                    rows.append((archive, info.filename, info.is_dir(), info.file_size, info.CRC, digest, escapes(info.filename)))
+                    if len(rows) == _BATCH:
+                        yield pd.DataFrame(rows, columns=_names(MEMBERS_DDL))
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=_names(MEMBERS_DDL))
+
+
+def _integrity(batches):
+    for pdf in batches:
+        rows = []
+        for archive, size, content in zip(pdf["archive"], pdf["length"], pdf["content"]):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as zipped:
+                    entries = zipped.infolist()
+                    plain = [e for e in entries if not e.is_dir()]
+                    first_bad = zipped.testzip()
+                    error = f"CRC mismatch: {first_bad}" if first_bad else None
+                    names = " | ".join(e.filename for e in plain[:3])
+                    rows.append((archive, size, "FAIL" if error else "PASS", len(entries), len(plain), sum(e.file_size for e in plain), names, error))
+            except (zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError) as problem:
+                rows.append((archive, size, "FAIL", 0, 0, 0, None, str(problem)))
+        yield pd.DataFrame(rows, columns=_names(INTEGRITY_DDL))
+
+
+def _names(ddl: str) -> list[str]:
+    return [part.strip().split(" ")[0] for part in ddl.split(",")]
+
+
+def _archives(spark: SparkSession, root: str) -> DataFrame:
+    found = files.scan(spark, root, (".zip",))
+    return found.select(files.relative(F.col("path"), root).alias("archive"), "length", "content")
+
+
+def expand_archives(spark: SparkSession, root: str) -> DataFrame:
+    """One row per member with size, checksum and the unsafe flag."""
+    return _archives(spark, root).select("archive", "content").mapInPandas(_members, MEMBERS_DDL)
+
+
+def integrity(spark: SparkSession, root: str) -> DataFrame:
+    """One row per archive: readable or not, entry counts, sizes, first entries."""
+    return _archives(spark, root).mapInPandas(_integrity, INTEGRITY_DDL)
+
+
+def extraction_rules(members: DataFrame, existing: DataFrame | None = None, expected_archives: int | None = None) -> DataFrame:
+    """Unsafe members, wrong archive count, and existing files (archive, member, size_bytes) of another size."""
+    tables = [rules.scalar(members, {"member stays in its folder": F.col("unsafe")})]
+    if expected_archives is not None:
+        found = members.agg(F.count_distinct("archive").alias("_n"))
+        off = (F.col("_n") != expected_archives).cast("bigint").alias("violations")
+        tables.append(found.select(F.lit("archive count as expected").alias("rule"), off))
+    if existing is not None:
+        both = members.filter(~F.col("is_dir")).join(
+            existing.select("archive", "member", F.col("size_bytes").alias("_size")), ["archive", "member"]
+        )
+        tables.append(rules.scalar(both, {"existing file has the member's size": F.col("_size") != F.col("size_bytes")}))
+    return rules.merge(*tables)
