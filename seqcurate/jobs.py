@@ -10,6 +10,7 @@ from .operators import (
     agreement,
     audit,
     baselines,
+    blocks,
     bootstrap,
     catalogue,
     dedupe,
@@ -79,9 +80,7 @@ def annotation_report(bounds: DataFrame, fps: float, gate: float = S.KAPPA_GATE)
     if len(who) != 2:
         raise S.RuleViolation("The agreement report needs exactly two annotators.")
     pairs = agreement.pairs(L.expand(bounds, ["sequence_id", "cycle_id", "annotator_id"], S.HUMAN_MARKS), *who)
-    left = agreement.report(pairs, gate=gate).withColumn("_one", F.lit(1))
-    right = agreement.boundary_disagreement(bounds, *who, fps).withColumn("_one", F.lit(1))
-    return left.join(right, "_one").drop("_one")
+    return blocks.one_row(agreement.report(pairs, gate=gate), agreement.boundary_disagreement(bounds, *who, fps))
 
 
 def annotation_pilot(manifest: DataFrame, quota: int = 3, seed: int = S.SEED, **options) -> tuple[DataFrame, DataFrame, DataFrame]:

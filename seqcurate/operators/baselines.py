@@ -12,24 +12,23 @@ from . import windows
 K = len(S.PHASES)
 
 
-def _one(left: DataFrame, right: DataFrame, keys) -> DataFrame:
-    """Attach a table with one row per key (one row in all when there are no keys)."""
+def _attach(left: DataFrame, right: DataFrame, keys, column: str) -> DataFrame:
+    """Add a column of a table with one row per key; without keys it is a scalar subquery."""
     if keys:
         return left.join(right, list(keys), "left")
-    row = F.broadcast(right.withColumn("_one", F.lit(1)))  # an aggregate without keys: one row
-    return left.withColumn("_one", F.lit(1)).join(row, "_one", "left").drop("_one")
+    return left.withColumn(column, right.select(column).scalar())
 
 
 def majority(train: DataFrame, evaluation: DataFrame, keys=(), label: str = "target_label") -> DataFrame:
     """Most frequent training label, alphabetically first on a tie, for every evaluation row."""
     counts = train.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
     best = counts.groupBy(*keys).agg(F.min_by(label, F.struct(-F.col("_n"), F.col(label))).alias("y_pred"))
-    return _one(evaluation, best, keys)
+    return _attach(evaluation, best, keys, "y_pred")
 
 
 def position_bin(bins: int):
     at = F.col("cycle_position").cast("string").try_cast("double")
-    return F.least(F.floor(at * bins), F.lit(bins - 1)).cast("bigint")
+    return F.when(at.isNotNull(), F.least(F.floor(at * bins), F.lit(bins - 1))).cast("bigint")
 
 
 def binned_prior(train: DataFrame, evaluation: DataFrame, bins: int = 20, keys=(), label: str = "target_label") -> DataFrame:
@@ -44,7 +43,7 @@ def binned_prior(train: DataFrame, evaluation: DataFrame, bins: int = 20, keys=(
     total = counts.groupBy(*keys, label).agg(F.sum("_n").alias("_n"))
     fallback = total.groupBy(*keys).agg(mode(F.col("_n")).alias("_fallback"))
     table = evaluation.withColumn("_bin", position_bin(bins)).join(lookup, [*keys, "_bin"], "left")
-    out = _one(table, fallback, keys).withColumn("y_pred", F.coalesce("_mode", "_fallback"))
+    out = _attach(table, fallback, keys, "_fallback").withColumn("y_pred", F.coalesce("_mode", "_fallback"))
     return out.drop("_bin", "_mode", "_fallback")
 
 
@@ -86,8 +85,8 @@ def linear_svm(train: DataFrame, evaluation: DataFrame, features: str, label: st
     from pyspark.ml.functions import array_to_vector
 
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    size = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    weights = _one(counts, size, ()).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("_weight"))
+    share = counts.agg((F.sum("_c") / F.count(F.lit(1))).alias("_share"))
+    weights = counts.select(label, (share.scalar() / F.col("_c")).alias("_weight"))
     vector = array_to_vector(F.col(features))
     # The solver reads its input once per iteration, so it is staged first.
     rows = stage(train.join(weights, label).select(features, label, "_weight"), "svm").withColumn("_raw", vector)

@@ -171,3 +171,11 @@ def explode_span(df: DataFrame, start: Column, stop: Column, name: str, chunk: i
     pieces = df.withColumn("_stop", stop).filter(F.col("_stop") > start).withColumn("_low", low)
     high = F.least(F.col("_low") + F.lit(chunk), F.col("_stop")) - 1
     return pieces.withColumn(name, F.explode(F.sequence("_low", high))).drop("_low", "_stop")
+
+
+def one_row(*tables: DataFrame) -> DataFrame:
+    """Columns of several one-row tables as one row (a union and an aggregate, no join)."""
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])

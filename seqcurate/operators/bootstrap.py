@@ -52,9 +52,7 @@ def resampled_means(scores: DataFrame, keys, value: str, iterations: int, seed:
 
 
 def _combine(left: DataFrame, right: DataFrame, keys) -> DataFrame:
-    if keys:
-        return left.join(right, list(keys))
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return left.join(right, list(keys)) if keys else blocks.one_row(left, right)
 
 
 def interval(

@@ -71,8 +71,7 @@ def audit_summary(exact: DataFrame, near: DataFrame) -> DataFrame:
         F.count_if(F.col("subjects") > 1).alias("perceptual_cross_subject_groups"),
         F.count_if(F.col("datasets") > 1).alias("perceptual_cross_dataset_groups"),
     )
-    one = "_one"
-    return left.withColumn(one, F.lit(1)).join(right.withColumn(one, F.lit(1)), one).drop(one)
+    return blocks.one_row(left, right)
 
 
 def mark_cross_subject(df: DataFrame, key: str = "duplicate_group", reason: str = S.CROSS_SUBJECT_REASON):

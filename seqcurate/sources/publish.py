@@ -67,7 +67,7 @@ def read_ready(spark: SparkSession, root: str) -> dict:
     system, target = _files(spark, f"{root}/{READY}")
     if not system.exists(target):
         raise FileNotFoundError(f"{root} is not a published release")
-    return json.loads(spark.read.option("wholetext", True).text(f"{root}/{READY}").first()[0])
+    return json.loads(spark.read.text(f"{root}/{READY}", wholetext=True).first()[0])
 
 
 def publish(

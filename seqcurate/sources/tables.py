@@ -88,7 +88,7 @@ def _run_of(column: str = "_metadata.file_path"):
 
 def read_run_configs(spark, root: str) -> DataFrame:
     """run_id with the run's fold, evaluation split and test flag, from each ``config.yaml``."""
-    text = spark.read.option("wholetext", True).text(f"{root}/*/config.yaml").select(_run_of().alias("run_id"), "value")
+    text = spark.read.text(f"{root}/*/config.yaml", wholetext=True).select(_run_of().alias("run_id"), "value")
     value = lambda key: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^\s+{key}:\s*[\"']?([^\"'\n]*)", 1)), F.lit(""))
     return text.select(
         "run_id",
