@@ -33,7 +33,7 @@ def condition_family(dataset: Column, condition: Column, constant: dict[str, str
 def safe_component(value: Column) -> Column:
     """A value usable as one path component; nothing left over stops the job."""
     kept = F.regexp_replace(value.cast("string"), r"[^A-Za-z0-9._-]+", "_")
-    kept = F.regexp_replace(kept, r"^[._]+|[._]+$", "")
+    kept = F.btrim(kept, F.lit("._"))
     bad = F.raise_error(F.concat(F.lit("No safe path component in: "), F.coalesce(value.cast("string"), F.lit("null"))))
     return F.when(F.length(kept) > 0, kept).otherwise(bad.cast("string"))
 
@@ -44,10 +44,15 @@ def suffix(path: Column, default: str = ".png") -> Column:
     return F.when(found != "", found).otherwise(default)
 
 
-def destination(role: Column, fold: Column, label: Column, subject: Column, condition: Column, sample: Column, path: Column) -> Column:
-    base = F.when(role == "test", "test").otherwise(F.concat_ws("/", F.lit("folds"), F.concat(F.lit("fold_"), fold), role))
+def destination_tail(label: Column, subject: Column, condition: Column, sample: Column, path: Column) -> Column:
+    """label/subject/condition/sample.suffix: the part that is the same in every fold view."""
     name = F.concat(safe_component(sample), suffix(path))
-    return F.concat_ws("/", base, safe_component(label), safe_component(subject), safe_component(condition), name)
+    return F.concat_ws("/", safe_component(label), safe_component(subject), safe_component(condition), name)
+
+
+def destination(role: Column, fold: Column, tail: Column) -> Column:
+    base = F.when(role == "test", "test").otherwise(F.concat_ws("/", F.lit("folds"), F.concat(F.lit("fold_"), fold), role))
+    return F.concat_ws("/", base, tail)
 
 
 def blind_id(position: Column, prefix: str = "pilot_") -> Column:

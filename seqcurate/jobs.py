@@ -152,18 +152,8 @@ def prepare_training_data(
     seen = primary.filter("split = 'development'").groupBy("fold").agg(F.count(F.lit(1))).limit(folds + 1).collect()
     if sorted(row["fold"] for row in seen) != list(range(folds)):
         raise S.RuleViolation("Development rows do not contain exactly the configured folds.")
-    views = splits.fold_views(primary, folds)
-    path = ids.destination(
-        F.col("prepared_role"),
-        F.col("fold_view"),
-        F.col("provisional_label"),
-        F.col("subject_id"),
-        F.col("condition"),
-        F.col("sample_id"),
-        F.col("source_relative_path"),
-    )
     columns = ["fold_view", *S.MANIFEST_COLUMNS, *S.PREPARED_EXTRA]
-    views = stage(views.withColumn("relative_path", path).select(*columns), "views")
+    views = stage(splits.prepared_views(primary, folds).select(*columns), "views")
     rules.raise_if_any(rules.fold_views(views))
     counts = prepared_counts(views, withheld)
     for name, value in (expected or {}).items():

@@ -18,10 +18,10 @@ from . import blocks, metrics
 ITERATIONS = 2000
 
 
-def slot(seed: int, iteration: Column, position: Column, size: Column) -> Column:
-    """Uniform draw in [0, size) from the first 32 bits of a sha-256 counter."""
-    text = F.concat_ws(":", F.lit(str(seed)), iteration.cast("string"), position.cast("string"))
-    return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint"), size)
+#: Draws taken from one sha-256: 8 words of 32 bits.
+WORDS = 8
+#: Iterations generated per input row after they are spread over the tasks.
+CHUNK = 100
 
 
 def _checked(iterations: int) -> None:
@@ -38,10 +38,24 @@ def numbered(scores: DataFrame, keys, value: str) -> DataFrame:
 
 
 def draws(scores: DataFrame, keys, iterations: int, seed: int) -> DataFrame:
-    """One row per (key, iteration, occurrence) with the position drawn."""
-    rows = scores.select(*keys, "_pos", "_size")
-    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    return rows.select(*keys, "_b", F.col("_pos").alias("_at"), slot(seed, F.col("_b"), F.col("_pos"), F.col("_size")).alias("_draw"))
+    """One row per (key, iteration, occurrence) with the position drawn.
+
+    Word ``k`` of sha-256(seed:iteration:group) gives occurrence ``8 * group + k``. The small
+    score table is spread over all tasks before it is multiplied, by group and iteration chunk.
+    """
+    spread = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scores.filter(F.pmod("_pos", F.lit(WORDS)) == 0).select(*keys, "_pos", "_size")
+    rows = rows.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(CHUNK))))
+    rows = rows.repartition(spread, *keys, "_pos", "_c")
+    last = F.least(F.col("_c") + CHUNK, F.lit(iterations)) - 1
+    rows = rows.withColumn("_b", F.explode(F.sequence("_c", last)))
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.floor(F.col("_pos") / WORDS).cast("string"))
+    rows = rows.withColumn("_h", F.sha2(text, 256))
+    words = [F.substring("_h", 8 * k + 1, 8) for k in range(WORDS)]
+    rows = rows.select(*keys, "_b", "_pos", "_size", F.posexplode(F.array(*words)).alias("_k", "_w"))
+    rows = rows.filter(F.col("_pos") + F.col("_k") < F.col("_size"))
+    draw = F.pmod(F.conv("_w", 16, 10).cast("bigint"), F.col("_size"))
+    return rows.select(*keys, "_b", (F.col("_pos") + F.col("_k")).alias("_at"), draw.alias("_draw"))
 
 
 def resampled_means(scores: DataFrame, keys, value: str, iterations: int, seed: int) -> DataFrame:

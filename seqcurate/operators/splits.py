@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import ids
 from . import blocks
 
 
@@ -152,6 +153,15 @@ def fold_views(df: DataFrame, folds: int = 5) -> DataFrame:
     return views.withColumn("prepared_role", role)
 
 
+def prepared_views(primary: DataFrame, folds: int = 5) -> DataFrame:
+    """Fold views with their destination paths; the common part of a path is built once per sample."""
+    names = ["provisional_label", "subject_id", "condition", "sample_id", "source_relative_path"]
+    tail = ids.destination_tail(*[F.col(c) for c in names])
+    views = fold_views(primary.withColumn("_tail", tail), folds)
+    path = ids.destination(F.col("prepared_role"), F.col("fold_view"), F.col("_tail"))
+    return views.withColumn("relative_path", path).drop("_tail")
+
+
 def fold_view_summary(views: DataFrame) -> DataFrame:
     return views.groupBy("fold_view", "prepared_role").agg(
         F.count(F.lit(1)).alias("frames"), F.count_distinct("subject_id").alias("subjects")

@@ -799,7 +799,7 @@ def resample(source: str, value: str, keys: str = "") -> str:
     k = f"{keys}, " if keys else ""
     part = f"PARTITION BY {keys}" if keys else ""
     return f"""SELECT {k}b, avg(v) AS mean FROM (
-      SELECT {k}d.b, CAST('0x' || substr(sha256('20260827:' || d.b || ':' || n.pos), 1, 8) AS BIGINT) % n.size AS pos
+      SELECT {k}d.b, CAST('0x' || substr(sha256('20260827:' || d.b || ':' || (n.pos // 8)), 1 + 8 * (n.pos % 8), 8) AS BIGINT) % n.size AS pos
       FROM ({numbered(source, value, k, part)}) n, (SELECT unnest(generate_series(0, 1999)) AS b) d) x
       JOIN (SELECT {k}pos, v FROM ({numbered(source, value, k, part)}) m) y USING ({k}pos) GROUP BY {k}b"""
 

@@ -225,17 +225,7 @@ def label_counts(spark, d):
 
 def prepared(spark, d):
     primary, _ = splits.split_by_confidence(G.frame_labels(spark, d))
-    views = splits.fold_views(primary)
-    path = ids.destination(
-        F.col("prepared_role"),
-        F.col("fold_view"),
-        F.col("provisional_label"),
-        F.col("subject_id"),
-        F.col("condition"),
-        F.col("sample_id"),
-        F.col("source_relative_path"),
-    )
-    return views.withColumn("relative_path", path).withColumn("sha256", F.sha2("sample_id", 256))
+    return splits.prepared_views(primary.withColumn("sha256", F.sha2("sample_id", 256)))
 
 
 @query

@@ -100,8 +100,8 @@ def _signal_frames(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     user = F.col("user_id").cast("string")
     subject = F.concat(F.lit("ev:"), user)
-    # Time slots of one minute are the rank buckets: a busy user is numbered slot by slot.
-    slot = F.substring(F.col("ts").cast("string"), 1, 16)
+    # Hours are the rank buckets: a busy user is numbered hour by hour.
+    slot = F.substring(F.col("ts").cast("string"), 1, 13)
     rows = blocks.rank(events, ["user_id"], ["ts", "event_id"], slot, ORDER)
     turn = F.pmod("user_id", F.lit(4)).cast("int")
     feature = (

@@ -27,6 +27,10 @@ def build_session(master: str = "local[*]", partitions: int = 8, **extra) -> Spa
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Small local inputs: keep all cores busy, and compile only what the JVM will compile too.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+        .config("spark.sql.files.openCostInBytes", "32k")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
