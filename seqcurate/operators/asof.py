@@ -14,7 +14,7 @@ def backward(left: DataFrame, right: DataFrame, keys, on: str, start: str = "sta
     points = right.select(*keys, on, F.lit(0).alias("_kind"), F.col(on).alias("_point"))
     both = rows.unionByName(points, allowMissingColumns=True)
     point = F.col("_point")
-    out = blocks.carry(both, list(keys), on, last={start: point}, first={end: point}, tie=("_kind",))
+    out = blocks.carry(both, list(keys), on, last={start: point}, first={end: point}, tie=("_kind",), rising=True)
     return out.filter("_kind = 1").drop("_kind", "_point")
 
 

@@ -62,34 +62,34 @@ def carry(
     tie: tuple[str, ...] = (),
     inclusive: bool = True,
     span: int | None = None,
-    totals: dict[str, tuple[str, Column]] | None = None,
+    rising: bool | set[str] = False,
     attach: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per row, the latest known value before it and the earliest known value after it.
 
-    ``last``/``first`` map new column names to expressions; null means "unknown here".
-    ``totals`` maps names to ("sum"|"min"|"max", expression) aggregates over the sequence and
-    ``attach`` is a table with one row per key whose columns are added. Both travel with the
-    block table (one row per block), so a hot key never has to meet its rows in one task:
-    rows are shuffled once, on (keys, block).
+    ``last``/``first`` map new column names to expressions; null means "unknown here". Names in
+    ``rising`` hold values that never fall along the order (often the order itself), so a block
+    needs only their max or min. ``attach`` is a table with one row per key whose columns are
+    added; it travels with the block table (one row per block), so a hot key never has to meet
+    its rows in one task. Rows are shuffled once, on (keys, block); the block table is
+    aggregated before its shuffle.
     """
-    last, first, totals = last or {}, first or {}, totals or {}
+    last, first = last or {}, first or {}
     ordering = [order, *tie]
-    rows = spread(df.withColumn(BLOCK, block_of(F.col(order), span)), keys)
+    plain = df.withColumn(BLOCK, block_of(F.col(order), span))
     for name, expr in [*last.items(), *first.items()]:
-        rows = rows.withColumn(f"_v_{name}", expr)
+        plain = plain.withColumn(f"_v_{name}", expr)
+    place = F.struct(*ordering) if tie else F.col(order)
 
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    place = F.struct(*ordering)
-    for name in last:
-        known = F.when(F.col(f"_v_{name}").isNotNull(), place)
-        aggs.append(F.max_by(F.col(f"_v_{name}"), known).alias(f"_s_{name}"))
-    for name in first:
-        known = F.when(F.col(f"_v_{name}").isNotNull(), place)
-        aggs.append(F.min_by(F.col(f"_v_{name}"), known).alias(f"_s_{name}"))
-    for name, (kind, expr) in totals.items():
-        aggs.append(getattr(F, kind)(expr).alias(f"_t_{name}"))
-    table = rows.groupBy(*keys, BLOCK).agg(*aggs)
+    def edge(name: str, extreme, by):
+        value = F.col(f"_v_{name}")
+        if rising is True or (rising and name in rising):
+            return extreme(value).alias(f"_s_{name}")
+        return by(value, F.when(value.isNotNull(), place)).alias(f"_s_{name}")
+
+    aggs = [edge(name, F.max, F.max_by) for name in last] + [edge(name, F.min, F.min_by) for name in first]
+    table = plain.groupBy(*keys, BLOCK).agg(*aggs)
+    rows = spread(plain, keys)
 
     whole = Window.partitionBy(*keys)
     below = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -99,8 +99,6 @@ def carry(
         columns.append(F.last(f"_s_{name}", ignorenulls=True).over(below).alias(f"_in_{name}"))
     for name in first:
         columns.append(F.last(f"_s_{name}", ignorenulls=True).over(above).alias(f"_in_{name}"))
-    for name, (kind, _) in totals.items():
-        columns.append(getattr(F, kind)(f"_t_{name}").over(whole).alias(name))
     table = table.select(*columns)
     extra = []
     if attach is not None:
@@ -121,7 +119,7 @@ def carry(
     joined = rows.join(table, [*keys, BLOCK])
     for name in [*last, *first]:
         joined = joined.withColumn(name, F.coalesce(f"_w_{name}", f"_in_{name}"))
-    return joined.select(*df.columns, *last, *first, *totals, *extra)
+    return joined.select(*df.columns, *last, *first, *extra)
 
 
 def rank(
@@ -156,12 +154,12 @@ def rank(
 
 def running_sum(df, keys, order, value: Column, name: str, tie=(), span: int | None = None) -> DataFrame:
     """Inclusive running sum per key: block-local sum plus the sum of earlier blocks."""
-    rows = spread(df.withColumn(BLOCK, block_of(F.col(order), span)), keys).withColumn("_v", value)
+    rows = df.withColumn(BLOCK, block_of(F.col(order), span)).withColumn("_v", value)
     table = rows.groupBy(*keys, BLOCK).agg(F.sum("_v").alias("_s"))
     below = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     table = table.select(*keys, BLOCK, F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_base"))
     up = per_block(keys).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_part", F.sum("_v").over(up)).join(table, [*keys, BLOCK])
+    rows = spread(rows, keys).withColumn("_part", F.sum("_v").over(up)).join(table, [*keys, BLOCK])
     return rows.withColumn(name, F.col("_part") + F.col("_base")).select(*df.columns, name)
 
 

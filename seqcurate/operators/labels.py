@@ -20,7 +20,7 @@ GATE_CV = 0.30
 
 def sequence_stats(frames: DataFrame, peaks: DataFrame, keys, order: str, feature: str, default_step: Column):
     """One row per sequence: span, missing features, peak steps, method and confidence."""
-    steps = blocks.carry(peaks.select(*keys, order), keys, order, last={"_prev": F.col(order)}, inclusive=False)
+    steps = blocks.carry(peaks.select(*keys, order), keys, order, last={"_prev": F.col(order)}, inclusive=False, rising=True)
     gap = F.col(order) - F.col("_prev")
     peak_side = steps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("detected_contact_count"),
@@ -69,6 +69,7 @@ def locate(frames: DataFrame, peaks: DataFrame, stats: DataFrame, keys, order: s
         last={"_a": F.col("_peak")},
         first={"_b": F.col("_peak")},
         tie=("_kind",),
+        rising=True,
         attach=stats,
     ).filter("_kind = 1")
 

@@ -22,13 +22,19 @@ CANDIDATE_HALO = 128
 
 def interpolate(df: DataFrame, keys, order: str, value: str, name: str = "filled") -> DataFrame:
     """Linear interpolation between known neighbours, edges held, all-missing gives zero."""
-    here = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("x"), F.col(value).alias("y")))
-    out = blocks.carry(df, keys, order, last={"_before": here}, first={"_after": here})
-    x0, y0 = F.col("_before.x"), F.col("_before.y")
-    x1, y1 = F.col("_after.x"), F.col("_after.y")
+    at = F.when(F.col(value).isNotNull(), F.col(order))
+    out = blocks.carry(
+        df,
+        keys,
+        order,
+        last={"_x0": at, "_y0": F.col(value)},
+        first={"_x1": at, "_y1": F.col(value)},
+        rising={"_x0", "_x1"},
+    )
+    x0, y0, x1, y1 = (F.col(c) for c in ("_x0", "_y0", "_x1", "_y1"))
     between = F.when(x1 > x0, (y1 - y0) / (x1 - x0) * (F.col(order) - x0) + y0)
     filled = F.coalesce(F.col(value), between, y0, y1, F.lit(0.0))
-    return out.withColumn(name, filled).drop("_before", "_after")
+    return out.withColumn(name, filled).drop("_x0", "_y0", "_x1", "_y1")
 
 
 def _smoothed(window, order, value: str, width: int):

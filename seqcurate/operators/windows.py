@@ -27,7 +27,7 @@ def runs(df: DataFrame, keys, order: str, start: str = "run_start") -> DataFrame
     """Add the first order value of the run of consecutive values each row belongs to."""
     marked = breaks(df, keys, order)
     here = F.when(F.col("_break"), F.col(order))
-    return blocks.carry(marked, keys, order, last={start: here}).drop("_break")
+    return blocks.carry(marked, keys, order, last={start: here}, rising=True).drop("_break")
 
 
 def run_peaks(df: DataFrame, keys, order: str, score: str) -> DataFrame:
@@ -101,6 +101,7 @@ def located_in_segment(df: DataFrame, keys, order: str, label: str | None = None
         order,
         last={"segment_start": F.when(F.col("_starts"), F.col(order))},
         first={"_last": F.when(F.col("_ends"), F.col(order))},
+        rising=True,
     )
     return out.withColumns(
         {
