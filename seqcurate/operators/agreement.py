@@ -12,9 +12,11 @@ K = len(S.PHASES)
 
 def pairs(expanded: DataFrame, first: str, second: str, on=("sequence_id", "cycle_id", "frame_index")) -> DataFrame:
     """Both labels of each frame both annotators marked: one grouping instead of a self-join."""
-    side = lambda who: F.max(F.when(F.col("annotator_id") == who, F.col("label")))
-    out = expanded.groupBy(*on).agg(side(first).alias("label_a"), side(second).alias("label_b"))
-    return out.filter("label_a is not null and label_b is not null")
+    index = S.phase_index(F.col("label"), True)
+    side = lambda who: F.max(F.when(F.col("annotator_id") == who, index))
+    out = expanded.groupBy(*on).agg(side(first).alias("_a"), side(second).alias("_b"))
+    both = out.filter("_a is not null and _b is not null")
+    return both.select(*on, S.phase_name(F.col("_a")).alias("label_a"), S.phase_name(F.col("_b")).alias("label_b"))
 
 
 def report(paired: DataFrame, keys=(), gate: float = S.KAPPA_GATE) -> DataFrame:

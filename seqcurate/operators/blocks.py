@@ -6,7 +6,8 @@ one task. Rows are cut into blocks of a fixed span of the order column, windows
 
 * ``halo``   copies the rows near a border into the neighbouring block (local neighbourhoods);
 * ``carry``  fills the last/next known value across blocks (as-of, interpolation, run starts);
-* ``rank``   numbers rows with per-bucket counts and offsets (global or per key).
+* ``rank``   numbers rows with per-bucket counts and offsets (global or per key);
+  ``rank_rows`` does so for the keys with very many rows only.
 """
 
 from __future__ import annotations
@@ -122,6 +123,10 @@ def carry(
     return joined.select(*df.columns, *last, *first, *extra)
 
 
+#: A key with more rows than this is numbered bucket by bucket (``rank_rows``).
+HOT_ROWS = 1_000_000
+
+
 def rank(
     df: DataFrame,
     keys: list[str],
@@ -130,26 +135,48 @@ def rank(
     name: str = "position",
     total: str | None = None,
 ) -> DataFrame:
-    """0-based ``row_number`` per key without one task per key.
+    """0-based ``row_number`` per key without one task per key, for evenly filled buckets.
 
-    ``bucket`` must not decrease along ``order`` (a time slot, a hash prefix); each bucket is
-    numbered alone and shifted by the number of rows in earlier buckets. With no keys the
-    offset window runs over one row per bucket only.
+    ``bucket`` must not decrease along ``order`` (a hash prefix); each bucket is numbered alone
+    and shifted by the number of rows in earlier buckets. With no keys the offset window runs
+    over one row per bucket only.
     """
     rows = df.withColumn("_bucket", bucket)
+    offsets = _offsets(rows, keys, total)
+    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    numbered = rows.withColumn("_local", local).join(offsets, [*keys, "_bucket"])
+    out = numbered.withColumn(name, F.col("_offset") + F.col("_local") - F.lit(1))
+    return out.select(*df.columns, name, *([total] if total else []))
+
+
+def _offsets(rows: DataFrame, keys, total: str | None = None) -> DataFrame:
+    """Rows in earlier buckets of the same key, one row per bucket."""
     counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     window = Window.partitionBy(*keys)
     below = window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    return counts.select(
         *keys,
         "_bucket",
         F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_offset"),
         F.sum("_n").over(window).alias(total or "_total"),
     )
+
+
+def rank_rows(
+    df: DataFrame, keys: list[str], order: list, bucket: Column, name: str = "position", hot_rows: int | None = None
+) -> DataFrame:
+    """0-based ``row_number`` per key, where only keys with very many rows are cut into buckets.
+
+    Other keys are one sort group each, so the offset table holds hot keys only. There are at
+    most (all rows / hot_rows) hot keys, which bounds the list that is broadcast.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > (hot_rows or HOT_ROWS))
+    hot = F.broadcast(sizes.select(*keys, F.lit(True).alias("_hot")))
+    rows = df.join(hot, keys, "left").withColumn("_bucket", F.when(F.col("_hot"), bucket))
+    offsets = _offsets(rows.filter("_hot"), keys)
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    numbered = rows.withColumn("_local", local).join(offsets, [*keys, "_bucket"])
-    out = numbered.withColumn(name, F.col("_offset") + F.col("_local") - F.lit(1))
-    return out.select(*df.columns, name, *([total] if total else []))
+    numbered = rows.withColumn("_local", local).join(offsets, [*keys, "_bucket"], "left")
+    return numbered.withColumn(name, F.coalesce("_offset", F.lit(0)) + F.col("_local") - F.lit(1)).select(*df.columns, name)
 
 
 def running_sum(df, keys, order, value: Column, name: str, tie=(), span: int | None = None) -> DataFrame:

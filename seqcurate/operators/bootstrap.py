@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import stage
 from . import blocks, metrics
 
 ITERATIONS = 2000
@@ -22,6 +23,8 @@ ITERATIONS = 2000
 WORDS = 8
 #: Iterations generated per input row after they are spread over the tasks.
 CHUNK = 100
+#: Largest score table (rows) that is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _checked(iterations: int) -> None:
@@ -59,9 +62,17 @@ def draws(scores: DataFrame, keys, iterations: int, seed: int) -> DataFrame:
 
 
 def resampled_means(scores: DataFrame, keys, value: str, iterations: int, seed: int) -> DataFrame:
-    base = numbered(scores, keys, value)
-    picked = draws(base, keys, iterations, seed).drop("_at").withColumnRenamed("_draw", "_pos")
+    """Mean of the drawn scores per (key, iteration).
+
+    The score table (one row per subject) is staged, so its size is known: up to
+    ``BROADCAST_ROWS`` it is broadcast and the draws are reduced where they are made, beyond
+    that the draws are shuffled to the scores.
+    """
+    base = stage(numbered(scores, keys, value), "scores")
     values = base.select(*keys, "_pos", value)
+    if base.count() <= BROADCAST_ROWS:
+        values = F.broadcast(values)
+    picked = draws(base, keys, iterations, seed).drop("_at").withColumnRenamed("_draw", "_pos")
     return picked.join(values, [*keys, "_pos"]).groupBy(*keys, "_b").agg(F.avg(value).alias("_mean"))
 
 

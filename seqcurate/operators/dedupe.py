@@ -84,7 +84,7 @@ def mark_cross_subject(df: DataFrame, key: str = "duplicate_group", reason: str
     shared = (
         df.filter(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.min("subject_id").alias("_low"), F.max("subject_id").alias("_high"))
+        .agg(F.min(F.xxhash64("subject_id")).alias("_low"), F.max(F.xxhash64("subject_id")).alias("_high"))
         .filter("_low <> _high")
         .select(F.col(key).alias("_key"), F.lit(True).alias("_shared"))
     )

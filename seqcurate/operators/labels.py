@@ -129,9 +129,8 @@ def marks(start: Column, end: Column, thresholds=S.PHASE_THRESHOLDS) -> list[Col
 
 
 def cells(located: DataFrame, keys, extra=()) -> DataFrame:
-    """Distinct grid cells; frames collapse to cells before the shuffle."""
-    kept = located.select(*keys, "cell_start", "cell_end", *extra)
-    return kept.dropDuplicates([*keys, "cell_start", "cell_end"])
+    """Distinct grid cells; frames collapse to cells before the shuffle. ``extra`` is fixed per sequence."""
+    return located.select(*keys, "cell_start", "cell_end", *extra).distinct()
 
 
 def grid(located: DataFrame, keys) -> DataFrame:
@@ -166,10 +165,8 @@ def boundaries(located: DataFrame, keys, identity=("dataset", "subject_id"), ver
 
 
 def qc(frames: DataFrame, stats: DataFrame, keys, eligible: Column, identity=()) -> DataFrame:
-    """Per-sequence quality table; identity columns come from the sequence's rows."""
-    own = frames.groupBy(*keys).agg(
-        *[F.min(c).alias(c) for c in identity], F.count_if(eligible).alias("eligible_frame_count")
-    )
+    """Per-sequence quality table; identity columns have one value per sequence."""
+    own = frames.groupBy(*keys, *identity).agg(F.count_if(eligible).alias("eligible_frame_count"))
     out = own.join(stats, keys)
     return out.select(
         *identity,

@@ -36,9 +36,14 @@ def crossing(df: DataFrame, rule: str, group, value: str, keys=()) -> DataFrame:
 
 
 def crossings(df: DataFrame, group, values: dict[str, Column], keys=()) -> DataFrame:
-    """Several values checked against the same grouping in one pass (null values are ignored)."""
+    """Several values checked against the same grouping in one pass (null values are ignored).
+
+    Values are compared by their 64-bit hash: numbers stay in the hash aggregate's row buffer,
+    while text would force a sort of all rows.
+    """
     ends = []
     for i, value in enumerate(values.values()):
+        value = F.when(value.isNotNull(), F.xxhash64(value))
         ends += [F.min(value).alias(f"_low{i}"), F.max(value).alias(f"_high{i}")]
     out = df.groupBy(*keys, *group).agg(*ends)
     return scalar(out, {rule: F.col(f"_low{i}") != F.col(f"_high{i}") for i, rule in enumerate(values)}, keys)

@@ -25,6 +25,7 @@ from ..operators import (
     splits,
     windows,
 )
+from ..session import stage
 from . import surrogates as G
 
 QUERIES: dict = {}
@@ -246,7 +247,8 @@ def fold_view_summary(spark, d):
 
 @query
 def fold_view_rules(spark, d):
-    views = prepared(spark, d)
+    used = ["fold_view", "prepared_role", "split", "fold", "sample_id", "subject_id", "relative_path", "sha256"]
+    views = stage(prepared(spark, d).select(*used, "provisional_label", "provisional_confidence"), "views")
     expected = splits.fold_view_summary(views).select(
         "fold_view",
         "prepared_role",

@@ -196,6 +196,19 @@ def test_rank_is_a_global_row_number(spark):
     assert all(r["p"] + 1 == r["n"] == r["c"] for r in by_key.collect())
 
 
+@pytest.mark.parametrize("hot_rows", [20, 10_000])
+def test_rank_rows_with_hot_keys(spark, hot_rows):
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(40)}", rng.randrange(300), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, at int, id int")
+    got = blocks.rank_rows(df, ["k"], ["at", "id"], F.floor(F.col("at") / 10), "p", hot_rows)
+    want = {}
+    for k in {r[0] for r in rows}:
+        for p, row in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))):
+            want[row[2]] = p
+    assert {r["id"]: r["p"] for r in got.collect()} == want
+
+
 def test_explode_span_crosses_chunks(spark):
     df = spark.createDataFrame([(0, 10), (5, 5), (7, 20)], "a bigint, b bigint")
     got = blocks.explode_span(df, F.col("a"), F.col("b"), "f", chunk=4).collect()
