@@ -4,7 +4,8 @@ import __spark_entry__ as entry_module
 import compare
 import pytest
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+from seqcurate.plans.oracles import ORACLES  # noqa: E402
+from seqcurate.plans.queries import QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
