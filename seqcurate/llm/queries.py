@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcurate.llm import lid, quality, toxicity
+from seqcurate.llm import bpe, lid, merkle, mixing, quality, rules, toxicity
 from seqcurate.llm.common import fold, table
 
 
@@ -21,12 +22,35 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = lid.predict(docs, lid.train(docs, ~_held_out(3, 1)), ["doc_id"])
     return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.clean(table(spark, sf_dir, "documents"), ["doc_id"]).drop("clean_text")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~_held_out(5, 0)), ["doc_id"])
@@ -35,5 +59,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op6_language_mixture, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op9_line_rules, op10_toxicity)}
+ORACLES: dict[str, str] = {"op9_line_rules": rules.SQL}
