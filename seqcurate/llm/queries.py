@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcurate.llm import bpe, lid, merkle, mixing, quality, rules, toxicity
+from seqcurate.llm import bpe, lid, merkle, mixing, pii, quality, rules, toxicity
 from seqcurate.llm.common import fold, table
 
 
@@ -22,6 +22,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,5 +63,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op9_line_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_disclosure, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op9_line_rules, op10_toxicity)}
 ORACLES: dict[str, str] = {"op9_line_rules": rules.SQL}
