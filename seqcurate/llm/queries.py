@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcurate.llm import bpe, lid, merkle, mixing, pii, quality, rules, toxicity
+from seqcurate.llm import bpe, lid, merkle, minhash, mixing, pii, quality, rules, toxicity
 from seqcurate.llm.common import fold, table
 
 
@@ -15,6 +15,10 @@ def _held_out(parts: int, remainder: int):
     return F.coalesce(fold(F.col("doc_id"), parts) == remainder, F.lit(False))
 
 
+def op1_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~_held_out(4, 2))
@@ -63,5 +67,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_disclosure, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op9_line_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_circulant_minhash, op2_quality_classifier, op3_disclosure, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op9_line_rules, op10_toxicity)}
 ORACLES: dict[str, str] = {"op9_line_rules": rules.SQL}
