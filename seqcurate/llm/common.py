@@ -26,10 +26,11 @@ def labelled(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame
     return rows.where(F.col(id_col).isNotNull() & F.col("label").isin(0, 1)).groupBy(id_col).agg(F.max("label").alias("label"))
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, limit: int = LOOKUP_ROWS) -> DataFrame:
-    """Inner join with a lookup table, broadcast when it has at most ``limit`` rows; the result is the same."""
-    small = lookup.limit(limit + 1).count() <= limit
-    return rows.join(F.broadcast(lookup) if small else lookup, key)
+def join_lookup(rows: DataFrame, lookup: DataFrame, key, how: str = "inner", limit: int = LOOKUP_ROWS) -> DataFrame:
+    """Join with a lookup table, written first, and broadcast when it has at most ``limit`` rows; the result is the same."""
+    lookup = stage(lookup, "lookup")
+    small = lookup.count() <= limit
+    return rows.join(F.broadcast(lookup) if small else lookup, key, how)
 
 
 def number_rows(rows: DataFrame, key: str, order: list[Column], buckets: int = 1024) -> DataFrame:

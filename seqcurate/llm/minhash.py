@@ -95,12 +95,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return bool(len(a) and len(b)) and 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _estimated(pairs: DataFrame, items: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     """The (a, b) pairs that sizes and signatures leave possible."""
 
     @F.pandas_udf("boolean")
     def likely(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= LIKELY for x, y in zip(left, right, strict=True)], dtype=bool)
+        return pd.Series([np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= least for x, y in zip(left, right, strict=True)], dtype=bool)
 
     side = lambda name: items.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -130,7 +130,7 @@ def verify(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: C
     return rows.groupBy("a", "group").applyInPandas(work, "u long, v long").distinct()
 
 
-def _open_pairs(buckets: DataFrame, items: DataFrame, roots: DataFrame, partners: int) -> DataFrame:
+def _open_pairs(buckets: DataFrame, items: DataFrame, roots: DataFrame, partners: int, least: float) -> DataFrame:
     """(a, b, cut): likely pairs across components in one bucket, at most ``partners`` an item and chunk; cut where there were more."""
     placed = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     state = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
@@ -155,7 +155,7 @@ def _open_pairs(buckets: DataFrame, items: DataFrame, roots: DataFrame, partners
             if not len(at):
                 continue
             share = (sig[at] == sig[k]).mean(axis=1)
-            at, share = at[share >= LIKELY], share[share >= LIKELY]
+            at, share = at[share >= least], share[share >= least]
             best = at[np.lexsort((ids[at], -share))][:partners]
             out += [(min(ids[k], ids[b]), max(ids[k], ids[b]), len(at) > partners) for b in best]
         return pd.DataFrame(out, columns=["a", "b", "cut"]).astype({"a": "int64", "b": "int64", "cut": "bool"})
@@ -164,16 +164,25 @@ def _open_pairs(buckets: DataFrame, items: DataFrame, roots: DataFrame, partners
     return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
-def link(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable[[str], np.ndarray], given: DataFrame | None = None) -> DataFrame:
+def link(
+    items: DataFrame,
+    texts_of: Callable[[DataFrame], DataFrame],
+    sets: Callable[[str], np.ndarray],
+    given: DataFrame | None = None,
+    least: float = LIKELY,
+) -> DataFrame:
     """(node, root) of all linked items.
 
-    items: id long, n, bands, sig; texts_of gives (id, text) of an (id) table; given: links (u, v) known before.
+    items: id long, n, bands, sig, repeated rows allowed; texts_of gives (id, text) of an (id) table;
+    given: links (u, v) known before; least: agreement of signatures below which a pair is not verified.
     """
     banded = items.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    buckets = stage(join_lookup(banded, shared.select("band", "lead"), "band"), "minhash-buckets")
+    shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where(F.col("lead") < F.col("last"))
+    buckets = stage(join_lookup(banded, shared.select("band", "lead"), "band").distinct(), "minhash-buckets")
+    items = join_lookup(items, buckets.select("id").distinct(), "id").select("id", "n", "sig").distinct()
+    items = stage(items, "minhash-items")
     pairs = buckets.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    tried = stage(_estimated(pairs, items), "minhash-pairs")
+    tried = stage(_estimated(pairs, items, least), "minhash-pairs")
     links = stage(verify(tried, texts_of, sets), "minhash-links")
     if given is not None:
         links = links.unionByName(given)
@@ -181,7 +190,7 @@ def link(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Cal
     buckets = buckets.select("band", "id").distinct()
     while True:
         roots = stage(graph.components(links), "minhash-roots")
-        found = stage(_open_pairs(buckets, items, roots, partners), "minhash-open")
+        found = stage(_open_pairs(buckets, items, roots, partners, least), "minhash-open")
         fresh = stage(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "minhash-pairs")
         if fresh.isEmpty():
             # Partners beyond the best ones are left only where some were cut.

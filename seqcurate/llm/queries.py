@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcurate.llm import bpe, lid, merkle, minhash, mixing, pii, quality, rules, toxicity
+from seqcurate.llm import bpe, lid, lines, merkle, minhash, mixing, pii, quality, rules, toxicity
 from seqcurate.llm.common import fold, table
 
 
@@ -55,6 +55,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.clean(table(spark, sf_dir, "documents"), ["doc_id"]).drop("clean_text")
 
@@ -67,5 +71,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_circulant_minhash, op2_quality_classifier, op3_disclosure, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op9_line_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_circulant_minhash, op2_quality_classifier, op3_disclosure, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op8_fuzzy_lines, op9_line_rules, op10_toxicity)}
 ORACLES: dict[str, str] = {"op9_line_rules": rules.SQL}
