@@ -88,7 +88,7 @@ def signatures(lines: DataFrame) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "id": batch["id"].to_numpy(),
-                        "n": np.ones(len(batch), np.int64),
+                        "n": batch["line"].str.len().to_numpy(),
                         "bands": list(minhash.bands(signed, ROWS)),
                         "sig": [s.tobytes() for s in signed.astype(np.uint8)],
                     }
@@ -104,7 +104,7 @@ def removals(docs: DataFrame) -> DataFrame:
     def texts_of(ids: DataFrame) -> DataFrame:
         return join_lookup(lines.select("id", F.col("line").alias("text")), ids, "id").dropDuplicates(["id"])
 
-    roots = minhash.link(stage(signatures(lines), "line-signatures"), texts_of, line_set, least=LIKELY)
+    roots = minhash.link(stage(signatures(lines), "line-signatures"), texts_of, line_set, least=LIKELY, sized=False)
     places = lines.select("doc_id", "text_hash", "line_no", "id")
     classed = join_lookup(places, roots.select(F.col("node").alias("id"), "root"), "id", "left")
     classed = classed.select("doc_id", "text_hash", "line_no", F.coalesce("root", "id").alias("class"))

@@ -5,13 +5,11 @@ the second, shifted circularly by k places, ranks it for coordinate k. ``ROWS``
 band; items that agree in a band are candidates, and a candidate pair is linked if the Jaccard
 similarity of the two full shingle sets reaches ``PERCENT``.
 
-No bucket is expanded into pairs. Each bucket first holds its members against its smallest one;
-components of the links follow. Only buckets that still hold several components go on: each member
-names its likeliest partners of other components (by the signatures, in chunks of at most about
-``CHUNK`` members), these pairs are verified, and the number of partners grows fourfold a round until
-no unverified partner is left. A copy group closes in the first round whatever its size, and what is
-skipped lies inside one component already. Pairs whose set sizes rule the similarity out, or whose
-signatures agree in less than ``LIKELY`` of the coordinates (4.5 standard deviations below the
+No bucket is expanded into pairs. Each bucket first holds its members against its smallest one, and
+components of the links follow. In buckets that still hold several components, the items outside the
+largest are held against all others on their full sets, chunk by chunk (``across``); what is skipped
+lies inside one component already. Pairs of the first step whose sizes rule the similarity out, or
+whose signatures agree in less than ``LIKELY`` of the coordinates (4.5 standard deviations below the
 limit), are not verified.
 
 With 24 bands of 4, two sets at exactly 0.75 meet in a bucket with probability 0.9999.
@@ -36,10 +34,10 @@ WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 24, 4
 LIKELY = 0.55
-CHUNK = 512
+#: Shingles in a chunk of a bucket that is compared item by item.
+CHUNK = 200_000
 #: Members verified against a leader in one group.
 GROUP = 32
-PARTNERS = 4
 SHINGLE_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -95,8 +93,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return bool(len(a) and len(b)) and 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _estimated(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """The (a, b) pairs that sizes and signatures leave possible."""
+def _estimated(pairs: DataFrame, items: DataFrame, least: float, sized: bool) -> DataFrame:
+    """The (a, b) pairs that signatures and, if n is the set size, sizes leave possible."""
 
     @F.pandas_udf("boolean")
     def likely(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -104,8 +102,9 @@ def _estimated(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
 
     side = lambda name: items.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sized = both.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return sized.where(likely("sig_a", "sig_b")).select("a", "b").distinct()
+    if sized:
+        both = both.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    return both.where(likely("sig_a", "sig_b")).select("a", "b").distinct()
 
 
 def verify(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable[[str], np.ndarray]) -> DataFrame:
@@ -130,38 +129,58 @@ def verify(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: C
     return rows.groupBy("a", "group").applyInPandas(work, "u long, v long").distinct()
 
 
-def _open_pairs(buckets: DataFrame, items: DataFrame, roots: DataFrame, partners: int, least: float) -> DataFrame:
-    """(a, b, cut): likely pairs across components in one bucket, at most ``partners`` an item and chunk; cut where there were more."""
+def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable[[str], np.ndarray]) -> DataFrame:
+    """Links (u, v) between different components that share a bucket.
+
+    In a bucket with several components the items outside its largest one are compared with all its
+    items on their full sets. Both sides are cut into chunks of about ``CHUNK`` shingles, so a cell
+    of two chunks is bounded; a cell returns one link for each item and component it is linked with.
+    """
     placed = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    state = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    state = state.where((F.col("low") < F.col("high")) & (F.col("size") > 2)).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    members = placed.join(state.select("band", "chunks"), "band").withColumn("mine", mine)
-    # Every chunk meets every other once: cell (i, j), i <= j, holds the members of both.
-    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root")
-    cells = cells.join(items.select("id", "n", "sig"), "id")
+    placed = placed.join(items.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    state = parts.groupBy("band").agg(
+        F.max_by("root", F.struct("size", "root")).alias("main"),
+        F.count(F.lit(1)).alias("components"),
+        F.sum("size").alias("size"),
+        F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"),
+    )
+    # Two items that are not linked were verified against each other as member and leader.
+    state = state.where((F.col("components") > 1) & (F.col("size") > 2)).select("band", "main", "chunks")
+    members = stage(placed.join(state, "band"), "minhash-open")
+    texts = stage(texts_of(members.select("id").distinct()), "minhash-texts")
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    probes = members.where(F.col("root") != F.col("main"))
+    asked = probes.select("band", own.alias("i"), every.alias("j"), "id", "root", F.lit(True).alias("probe"))
+    # Chunks of probes that hold none need no cell.
+    used = probes.select("band", own.alias("i")).distinct()
+    held = members.select("band", own.alias("j"), "id", "root").join(used, "band").select("band", "i", "j", "id", "root", F.lit(False).alias("probe"))
+    cells = asked.unionByName(held).join(texts, "id")
 
     def work(cell: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in cell["sig"]])
-        ids, root, mine, n = (cell[c].to_numpy(np.int64) for c in ("id", "root", "mine", "n"))
-        alone = cell["i"].iloc[0] == cell["j"].iloc[0]
-        out: list[tuple[int, int, bool]] = []
-        for k in range(len(cell)):
-            near = (root != root[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k]))
-            if not alone:
-                near &= mine != mine[k]
-            at = np.flatnonzero(near)
-            if not len(at):
-                continue
-            share = (sig[at] == sig[k]).mean(axis=1)
-            at, share = at[share >= least], share[share >= least]
-            best = at[np.lexsort((ids[at], -share))][:partners]
-            out += [(min(ids[k], ids[b]), max(ids[k], ids[b]), len(at) > partners) for b in best]
-        return pd.DataFrame(out, columns=["a", "b", "cut"]).astype({"a": "int64", "b": "int64", "cut": "bool"})
-
-    found = cells.groupBy("band", "i", "j").applyInPandas(work, "a long, b long, cut boolean")
-    return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        probe, ids, root = (cell[c].to_numpy() for c in ("probe", "id", "root"))
+        rows, where = np.flatnonzero(probe), np.flatnonzero(~probe)
+        found: list[tuple[int, int]] = []
+        if len(rows) and len(where):
+            own_sets = [sets(t) for t in cell["text"]]
+            size = np.array([len(x) for x in own_sets])
+            values, at = np.unique(np.concatenate(own_sets), return_inverse=True)
+            of = np.repeat(np.arange(len(size)), size)
+            shared = np.zeros((len(rows), len(where)))
+            for low in range(0, len(values), 4096):
+                part = (at >= low) & (at < low + 4096)
+                block = np.zeros((len(size), min(4096, len(values) - low)), np.float32)
+                block[of[part], at[part] - low] = 1
+                shared += block[rows] @ block[where].T
+            union = size[rows][:, None] + size[where][None, :] - shared
+            hit = (100 * shared >= PERCENT * union) & (union > 0) & (root[rows][:, None] != root[where][None, :])
+            for k, r in enumerate(rows):
+                near = where[hit[k]]
+                found += [(ids[r], ids[near[f]]) for f in np.unique(root[near], return_index=True)[1]]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return cells.groupBy("band", "i", "j").applyInPandas(work, "u long, v long").distinct()
 
 
 def link(
@@ -170,11 +189,12 @@ def link(
     sets: Callable[[str], np.ndarray],
     given: DataFrame | None = None,
     least: float = LIKELY,
+    sized: bool = True,
 ) -> DataFrame:
     """(node, root) of all linked items.
 
     items: id long, n, bands, sig, repeated rows allowed; texts_of gives (id, text) of an (id) table;
-    given: links (u, v) known before; least: agreement of signatures below which a pair is not verified.
+    given: links (u, v) known before; least: agreement of signatures below which a pair is not verified; sized: n is the size of the set, not only near it.
     """
     banded = items.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where(F.col("lead") < F.col("last"))
@@ -182,24 +202,13 @@ def link(
     items = join_lookup(items, buckets.select("id").distinct(), "id").select("id", "n", "sig").distinct()
     items = stage(items, "minhash-items")
     pairs = buckets.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    tried = stage(_estimated(pairs, items, least), "minhash-pairs")
+    tried = stage(_estimated(pairs, items, least, sized), "minhash-pairs")
     links = stage(verify(tried, texts_of, sets), "minhash-links")
     if given is not None:
         links = links.unionByName(given)
-    partners = PARTNERS
-    buckets = buckets.select("band", "id").distinct()
-    while True:
-        roots = stage(graph.components(links), "minhash-roots")
-        found = stage(_open_pairs(buckets, items, roots, partners, least), "minhash-open")
-        fresh = stage(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "minhash-pairs")
-        if fresh.isEmpty():
-            # Partners beyond the best ones are left only where some were cut.
-            if not found.where("cut").limit(1).count():
-                return roots
-        else:
-            more = stage(verify(fresh, texts_of, sets), "minhash-links")
-            tried, links = tried.unionByName(fresh), links.unionByName(more)
-        partners *= 4
+    roots = stage(graph.components(links), "minhash-roots")
+    more = stage(across(buckets.select("band", "id").distinct(), items, roots, texts_of, sets), "minhash-links")
+    return stage(graph.components(links.unionByName(more)), "minhash-roots")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
