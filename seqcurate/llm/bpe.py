@@ -256,7 +256,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, csv.split(","))).decode("utf-8", "replace") if csv else ""
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.tokens.__getitem__, map(int, ids))).decode("utf-8", "replace") if ids is not None else ""
+        return b"".join(map(self.tokens.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace") if ids is not None else ""
 
 
 _CODEC: dict[str, Codec] = {}

@@ -13,6 +13,7 @@ ones named like a result, are carried by ``clean`` only if asked for.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -31,10 +32,12 @@ SYMBOL_PERCENT = 20
 SHOUT_PERCENT = 30
 #: A menu line has this many separators, and at most so many words a separator.
 MENU_MARKS, MENU_WORDS = 3, 3
+#: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
-    r"(?i)(accept (all )?cookies|use[s]? cookies|enable javascript|lorem ipsum|all rights reserved|terms of (use|service)"
-    r"|privacy policy|click here|read more|sign (in|up)|log in|subscribe (now|to)|share this|powered by|licensed under)"
-)
+    "accept cookies", "accept all cookies", "uses cookies", "use cookies", "enable javascript", "lorem ipsum", "all rights reserved",
+    "terms of use", "terms of service", "privacy policy", "click here", "read more", "sign in", "sign up", "log in", "subscribe now",
+    "subscribe to", "share this", "powered by", "licensed under",
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,8 +85,10 @@ def repeated_words(words: Column) -> Column:
 
 def breaks_punctuation(line: Column) -> Column:
     chars, words = F.length(without(line, BLANKS)), F.size(words_of(line))
-    shouts = (F.length(line) - F.length(F.regexp_replace(line, r"!!|\?\?", ""))) / 2
-    return (100 * lost_length(line, SYMBOLS) > SYMBOL_PERCENT * chars) | (100 * shouts > SHOUT_PERCENT * words)
+    shouts = (2 * F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit(""))) - F.length(F.replace(line, F.lit("??"), F.lit("")))) / 2
+    # Words are counted only in lines that shout at all.
+    shouted = (F.contains(line, F.lit("!!")) | F.contains(line, F.lit("??"))) & (100 * shouts > SHOUT_PERCENT * words)
+    return (100 * lost_length(line, SYMBOLS) > SYMBOL_PERCENT * chars) | shouted
 
 
 def breaks_navigation(line: Column) -> Column:
@@ -91,24 +96,29 @@ def breaks_navigation(line: Column) -> Column:
     return (marks >= MENU_MARKS) & (F.size(words_of(line)) <= (MENU_WORDS + 1) * marks)
 
 
+def has_boilerplate(text: Column) -> Column:
+    return let(F.lower(text), lambda low: functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
+
+
 def breaks_boilerplate(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(BOILERPLATE))
+    return has_boilerplate(line)
 
 
 LINE_RULES = {"punctuation": breaks_punctuation, "navigation": breaks_navigation, "boilerplate": breaks_boilerplate}
 
 
-def bad_line(line: Column) -> Column:
+def bad_line(line: Column, any_boilerplate: Column) -> Column:
+    """Whether a line breaks a rule; ``any_boilerplate`` says whether its text holds a phrase at all."""
     verdict = F.lit(False)
-    for rule in LINE_RULES.values():
-        verdict = verdict | rule(line)
+    for name, rule in LINE_RULES.items():
+        verdict = verdict | (any_boilerplate & rule(line) if name == "boilerplate" else rule(line))
     return (F.length(without(line, BLANKS)) > 0) & verdict
 
 
 def clean(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep``, the counts, the cleaned text and the verdict of each document."""
     base = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    split = base.select(*[f"`{c}`" for c in keep], "_text", words_of(F.col("_text")).alias("_words"), F.split("_text", "\n").alias("_lines"))
+    split = base.select(*[f"`{c}`" for c in keep], "_text", words_of(F.col("_text")).alias("_words"), F.split("_text", "\n").alias("_lines"), has_boilerplate(F.col("_text")).alias("_phrase"))
     full_lines = F.filter("_lines", lambda x: F.length(without(x, BLANKS)) > 0)
     judged = split.select(
         *[f"`{c}`" for c in keep],
@@ -117,7 +127,7 @@ def clean(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         lost_length(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
         let(full_lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        F.transform("_lines", lambda x: F.struct(x.alias("line"), bad_line(x).alias("bad"))).alias("_judged"),
+        F.transform("_lines", lambda x: F.struct(x.alias("line"), bad_line(x, F.col("_phrase")).alias("bad"))).alias("_judged"),
     )
     lost = F.aggregate(
         "_judged", F.lit(0).cast("long"), lambda a, x: a + F.when(x["bad"], F.length(without(x["line"], BLANKS))).otherwise(0)
@@ -156,13 +166,13 @@ WITH d AS (
   SELECT r, x, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS chars,
          len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n,
          length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols,
-         (length(x) - length(regexp_replace(x, '!!|\?\?', '', 'g'))) / 2.0 AS shouts,
+         (2 * length(x) - length(replace(x, '!!', '')) - length(replace(x, '??', ''))) / 2.0 AS shouts,
          length(x) - length(regexp_replace(x, '[|>»•·]', '', 'g')) AS marks
   FROM (SELECT r, unnest(lines) AS x FROM w)
 ), lost AS (
   SELECT r, sum(chars) AS n FROM ln
   WHERE 100 * symbols > {SYMBOL_PERCENT} * chars OR 100 * shouts > {SHOUT_PERCENT} * n
-     OR (marks >= {MENU_MARKS} AND n <= {MENU_WORDS + 1} * marks) OR regexp_matches(x, '{BOILERPLATE}')
+     OR (marks >= {MENU_MARKS} AND n <= {MENU_WORDS + 1} * marks) OR {" OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)}
   GROUP BY r
 ), c AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
