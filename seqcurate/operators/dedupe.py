@@ -44,9 +44,10 @@ def audit_exact(df: DataFrame) -> DataFrame:
 
 
 def audit_near(df: DataFrame, key: str = "perceptual_hash") -> DataFrame:
-    """Groups of a near-duplicate key with more than one sample (sort at the sink)."""
+    """Groups of a near-duplicate key with more than one sample (sort at the sink); no key is no group."""
     return (
-        df.groupBy(key)
+        df.filter(F.col(key).isNotNull())
+        .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("samples"),
             F.count_distinct("subject_id").alias("subjects"),

@@ -45,7 +45,10 @@ def make_subject_splits(df: DataFrame, test_fraction=0.20, folds=5, seed: int =
 
     marked = mark_cross_subject(df.drop("split", "fold"))
     table = subject_table(df, test_fraction, folds, seed)
-    return marked.join(table, ["dataset", "subject_id"])
+    # A row without subject or dataset stays, without a split, for the rules to report.
+    named = table.withColumnsRenamed({"dataset": "_dataset", "subject_id": "_subject"})
+    same = F.col("dataset").eqNullSafe(F.col("_dataset")) & F.col("subject_id").eqNullSafe(F.col("_subject"))
+    return marked.join(named, same, "left").drop("_dataset", "_subject")
 
 
 def subjects_per_split(df: DataFrame) -> DataFrame:
@@ -66,9 +69,9 @@ def eligible_labeled(df: DataFrame, source: str = "adjudicated", allow_provision
         S.require_columns(df, S.PREPARED_EXTRA[:4], "prepared manifest")
         label, origin = F.col("provisional_label"), F.col("provisional_source")
         version = F.col("provisional_version")
-        wrong = F.raise_error(F.lit("Provisional labels must be of medium confidence.")).cast("string")
-        confidence = F.when(F.col("provisional_confidence") == "medium", "medium").otherwise(wrong)
-        df = df.withColumn("provisional_confidence", confidence)
+        # Checked over all rows before any filter; a check inside a column would go with the column.
+        if not df.filter(~F.col("provisional_confidence").eqNullSafe("medium")).isEmpty():
+            raise S.RuleViolation("Provisional labels must be of medium confidence.")
         confidence = F.col("provisional_confidence")
     else:
         raise S.RuleViolation(f"Unknown label source: {source}")

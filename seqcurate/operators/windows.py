@@ -147,6 +147,10 @@ def overlap_average(scored: DataFrame, keys, probabilities: list[str], extra: li
     return out.withColumn("y_pred", S.phase_name(winner))
 
 
+#: Smallest probability that a logarithm is taken of.
+LEAST_PROBABILITY = 1e-7
+
+
 def sequence_scores(
     df: DataFrame,
     keys,
@@ -162,9 +166,10 @@ def sequence_scores(
     """Evaluate a saved probability table: label and boundary cross-entropy, smoothness, order.
 
     Pairs are consecutive frames (order + 1); smoothness skips pairs that end on a boundary and
-    clamps squared log changes at 4; order is the expected mass of transitions not allowed.
+    clamps squared log changes at 4; probabilities below LEAST_PROBABILITY count as that; order is the expected mass of transitions not allowed.
     """
     count = len(probabilities)
+    log = lambda p: F.ln(F.greatest(p, F.lit(LEAST_PROBABILITY)))
     rows = blocks.spread(blocks.halo(df.withColumn("_t", target), order, 1, 0), keys)
     w = blocks.per_block(keys).orderBy(order)
     pair = F.coalesce(F.lag(order).over(w) == F.col(order) - 1, F.lit(False))
@@ -176,8 +181,8 @@ def sequence_scores(
     if class_weights:
         weight = F.element_at(F.array(*[F.lit(float(class_weights[i])) for i in range(count)]), F.col("_t") + 1)
     p = F.col(boundary_probability)
-    bce = -(F.lit(float(boundary_weight)) * F.col(boundary) * F.ln(p) + (1 - F.col(boundary)) * F.ln(1 - p))
-    steps = [F.least(F.pow(F.ln(F.col(c)) - F.ln(F.col(f"_b{i}")), F.lit(2.0)), F.lit(4.0)) for i, c in enumerate(probabilities)]
+    bce = -(F.lit(float(boundary_weight)) * F.col(boundary) * log(p) + (1 - F.col(boundary)) * log(1 - p))
+    steps = [F.least(F.pow(log(F.col(c)) - log(F.col(f"_b{i}")), F.lit(2.0)), F.lit(4.0)) for i, c in enumerate(probabilities)]
     change = sum(steps[1:], steps[0]) / count
     illegal = F.lit(0.0)
     for i in range(count):
@@ -187,7 +192,7 @@ def sequence_scores(
     smooth = F.when(F.col("_pair") & (F.col(boundary) == 0), change)
     return rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("frames"),
-        (F.sum(-weight * F.ln(chosen)) / F.sum(weight)).alias("phase_loss"),
+        (F.sum(-weight * log(chosen)) / F.sum(weight)).alias("phase_loss"),
         F.avg(bce).alias("boundary_loss"),
         F.coalesce(F.avg(smooth), F.lit(0.0)).alias("smoothness_loss"),
         F.coalesce(F.avg(F.when(F.col("_pair"), illegal)), F.lit(0.0)).alias("order_loss"),

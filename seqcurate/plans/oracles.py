@@ -1162,6 +1162,7 @@ oracle(
 
 SNAP = "SELECT doc_id, source || '/' || doc_id || '.txt' AS path, lang, source, n_chars AS size_bytes"
 cte("snap_a", "", f"{SNAP}, sha256(text) AS sha256 FROM documents WHERE doc_id % 10 <> 0")
+cte("snap_all", "", f"{SNAP}, sha256(text) AS sha256 FROM documents")
 cte("snap_b", "", f"{SNAP}, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS sha256 FROM documents WHERE doc_id % 10 <> 1")
 oracle(
     "snapshot_drift",
@@ -1183,21 +1184,21 @@ oracle(
 )
 oracle(
     "duplicate_content_report",
-    "snap_a",
-    """SELECT a.path, a.sha256, copies, "group", classes, cross_class FROM snap_a a JOIN (
+    "snap_all",
+    """SELECT a.path, a.sha256, copies, "group", classes, cross_class FROM snap_all a JOIN (
       SELECT sha256, count(*) AS copies, string_agg(DISTINCT source, ' | ' ORDER BY source) AS classes,
         CASE WHEN count(DISTINCT source) > 1 THEN 'YES' ELSE 'NO' END AS cross_class,
         'SRC-DUP-' || CASE WHEN row_number() OVER (ORDER BY sha256) < 1000 THEN
           lpad(CAST(row_number() OVER (ORDER BY sha256) AS VARCHAR), 3, '0')
           ELSE CAST(row_number() OVER (ORDER BY sha256) AS VARCHAR) END AS "group"
-      FROM snap_a GROUP BY sha256 HAVING count(*) > 1) g USING (sha256)""",
+      FROM snap_all GROUP BY sha256 HAVING count(*) > 1) g USING (sha256)""",
 )
 oracle(
     "duplicate_storage",
-    "snap_a",
+    "snap_all",
     """SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS copies,
       CAST(coalesce(sum(s - m), 0) AS BIGINT) AS recoverable_bytes
-    FROM (SELECT count(*) AS n, sum(size_bytes) AS s, max(size_bytes) AS m FROM snap_a GROUP BY sha256 HAVING count(*) > 1) g""",
+    FROM (SELECT count(*) AS n, sum(size_bytes) AS s, max(size_bytes) AS m FROM snap_all GROUP BY sha256 HAVING count(*) > 1) g""",
 )
 oracle(
     "inventory_rollup",
@@ -1219,10 +1220,10 @@ oracle(
 )
 oracle(
     "collection_summary",
-    "snap_a",
+    "snap_all",
     """SELECT collection, CAST(sum(n) AS BIGINT) AS files, CAST(sum(s) AS BIGINT) AS size_bytes,
       string_agg(lang || '=' || n, '; ' ORDER BY lang) AS class_counts, count(*) AS subject_count
-    FROM (SELECT source AS collection, lang, count(*) AS n, sum(size_bytes) AS s FROM snap_a GROUP BY 1, 2) t GROUP BY 1""",
+    FROM (SELECT source AS collection, lang, count(*) AS n, sum(size_bytes) AS s FROM snap_all GROUP BY 1, 2) t GROUP BY 1""",
 )
 oracle(
     "relocation_check",

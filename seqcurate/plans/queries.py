@@ -718,13 +718,13 @@ def lineage_summary(spark, d):
 
 @query
 def duplicate_content_report(spark, d):
-    rows = G.snapshot(spark, d, "a").select("path", "sha256", F.col("source").alias("label"))
+    rows = G.snapshot(spark, d, "all").select("path", "sha256", F.col("source").alias("label"))
     return lineage.duplicate_content(rows)
 
 
 @query
 def duplicate_storage(spark, d):
-    return lineage.duplicate_storage(G.snapshot(spark, d, "a"))
+    return lineage.duplicate_storage(G.snapshot(spark, d, "all"))
 
 
 @query
@@ -740,7 +740,7 @@ def extraction_verification(spark, d):
 
 @query
 def collection_summary(spark, d):
-    rows = G.snapshot(spark, d, "a").select(
+    rows = G.snapshot(spark, d, "all").select(
         F.col("source").alias("collection"),
         F.concat("lang", F.lit(":"), "source").alias("subject_id"),
         F.col("lang").alias("label"),

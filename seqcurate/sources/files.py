@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ FRAME_NAME = r"^([^-]+)-([^_]+)_([^-]+)-(\d+)"
 
 def scan(spark: SparkSession, root: str, suffixes=S.IMAGE_SUFFIXES) -> DataFrame:
     """All files below ``root`` with the given suffixes (any case): path, length, content."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    glob = "{" + ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes)
     return df.filter(wanted).select("path", "length", "modificationTime", "content")
 
@@ -22,7 +25,9 @@ def scan(spark: SparkSession, root: str, suffixes=S.IMAGE_SUFFIXES) -> DataFrame
 def relative(path: Column, root: str) -> Column:
     """Path below ``root``; file-system prefixes in front of it are ignored."""
     clean = root.split(":", 1)[-1].strip("/") if ":" in root else root.strip("/")
-    return F.regexp_replace(F.substring_index(path, f"/{clean}/", -1), "%20", " ")
+    # Anchored at the start: scheme, authority if the root names none, root.
+    prefix = rf"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)??/*{re.escape(clean)}/+" if clean else r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?/*"
+    return F.regexp_replace(F.regexp_replace(path, prefix, ""), "%20", " ")
 
 
 def stem(path: Column) -> Column:

@@ -105,7 +105,8 @@ def read_registered_runs(spark, root: str, registry: DataFrame) -> tuple[DataFra
     """
     configs = read_run_configs(spark, root)
     registered = registry.join(configs, "run_id", "left")
-    rows = spark.read.option("header", True).csv(f"{root}/*/predictions.csv")
+    # enforceSchema off: a file whose header differs is an error, not columns by position.
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(f"{root}/*/predictions.csv")
     rows = rows.select("*", _run_of().alias("run_id"))
     preds = ids.blank_to_null(rows)
     preds = preds.withColumn("frame_index", F.col("frame_index").cast("bigint"))
@@ -116,5 +117,5 @@ def read_registered_runs(spark, root: str, registry: DataFrame) -> tuple[DataFra
 
 def read_curves(spark, root: str) -> DataFrame:
     """Learning curves of all runs: run_id, epoch, losses."""
-    df = spark.read.option("header", True).csv(f"{root}/*/learning_curves.csv").select("*", _run_of().alias("run_id"))
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(f"{root}/*/learning_curves.csv").select("*", _run_of().alias("run_id"))
     return df.select("run_id", F.col("epoch").cast("int").alias("epoch"), F.col("validation_loss").cast("double").alias("validation_loss"))

@@ -531,3 +531,26 @@ def test_digest_ignores_order_and_partitions(spark):
     many = ids.content_digest(df.orderBy(F.desc("path")).repartition(8), "path", "sha256").first()
     other = ids.content_digest(df.filter("path <> 'p3'"), "path", "sha256").first()
     assert one == many and one["digest"] != other["digest"]
+
+
+def test_rows_without_subject_keep_their_place(spark):
+    rows = split_input(spark)
+    lost = rows.limit(1).withColumn("subject_id", F.lit(None).cast("string"))
+    out = splits.make_subject_splits(rows.unionByName(lost))
+    assert out.count() == rows.count() + 1
+
+
+def test_near_audit_ignores_missing_hashes(spark):
+    rows = spark.createDataFrame(
+        [("a", "d", "q", None), ("b", "d", "q", None), ("a", "d", "q", "h"), ("b", "d", "q", "h")],
+        "subject_id string, dataset string, sequence_id string, perceptual_hash string",
+    )
+    assert [r["perceptual_hash"] for r in dedupe.audit_near(rows).collect()] == ["h"]
+
+
+def test_relative_paths_are_anchored(spark):
+    from seqcurate.sources import files
+
+    rows = [("file:/data/s1/data/f.png", "/data"), ("hdfs://nn:8020/data/s2/data/f.png", "/data"), ("s3a://data/x/data/f.png", "s3a://data")]
+    got = [spark.createDataFrame([(p,)], "p string").select(files.relative(F.col("p"), root)).first()[0] for p, root in rows]
+    assert got == ["s1/data/f.png", "s2/data/f.png", "x/data/f.png"]
