@@ -45,7 +45,7 @@ def line_set(line: str) -> np.ndarray:
     out = np.zeros(size, np.uint64)
     for k in range(CHARACTERS):
         out = out * np.uint64(0x9E3779B97F4A7C15) + cp[k : k + size]
-    return np.unique(mix(out))
+    return minhash.distinct(mix(out))
 
 
 def sign(lines: list[str]) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Near-duplicates by circulant MinHash.
 
-Two permutations of the 32-bit numbers serve all signature coordinates: the first places a shingle,
-the second, shifted circularly by k places, ranks it for coordinate k. ``ROWS`` coordinates make a
+Two permutations serve all signature coordinates: the first places a shingle on a circle of
+``PLACES`` places, the second, shifted circularly by k places, ranks it for coordinate k. Shingles that
+share a place raise the agreement of two signatures, they never lower it; links are exact. ``ROWS`` coordinates make a
 band; items that agree in a band are candidates, and a candidate pair is linked if the Jaccard
 similarity of the two full shingle sets reaches ``PERCENT``.
 
@@ -17,6 +18,7 @@ With 24 bands of 4, two sets at exactly 0.75 meet in a bucket with probability 0
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -34,6 +36,8 @@ WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 24, 4
 LIKELY = 0.55
+#: Places of the circle; a power of two, the table takes four bytes a place.
+PLACES = 1 << 20
 #: Shingles in a chunk of a bucket that is compared item by item.
 CHUNK = 200_000
 #: Members verified against a leader in one group.
@@ -41,6 +45,12 @@ GROUP = 32
 SHINGLE_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which beats a hash table on short arrays."""
+    hashes = np.sort(hashes)
+    return hashes[np.append(True, hashes[1:] != hashes[:-1])] if len(hashes) else hashes
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; of the whole sequence if it has fewer words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -53,7 +63,7 @@ def shingles(text: str | None) -> np.ndarray:
     out = np.zeros(size, np.uint64)
     for k in range(WORDS):
         out += hashes[k : k + size] * SHINGLE_WEIGHTS[k]
-    return np.unique(mix(out))
+    return distinct(mix(out))
 
 
 def _permute(x: np.ndarray) -> np.ndarray:
@@ -66,10 +76,17 @@ def _permute(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@functools.cache
+def _circle(coordinates: int) -> np.ndarray:
+    """The second permutation: row p holds the ranks of place p under each shift, a view of one table."""
+    table = _permute(np.arange(1, PLACES + 1, dtype=np.uint32))
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([table, table[: coordinates - 1]]), coordinates)
+
+
 def ranks(hashes: np.ndarray, coordinates: int) -> np.ndarray:
     """Rank of each shingle for each coordinate: both permutations applied."""
     placed = _permute((hashes ^ (hashes >> np.uint64(32))).astype(np.uint32) * np.uint32(0x9E3779B1))
-    return _permute(placed[:, None] + np.arange(1, coordinates + 1, dtype=np.uint32))
+    return _circle(coordinates)[placed & np.uint32(PLACES - 1)]
 
 
 def signature(hashes: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
