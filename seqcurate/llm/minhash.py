@@ -124,6 +124,33 @@ def _estimated(pairs: DataFrame, items: DataFrame, least: float, sized: bool) ->
     return both.where(likely("sig_a", "sig_b")).select("a", "b").distinct()
 
 
+def each_group(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
+    """(u, v) that ``work`` returns for the rows of each value of the integer keys.
+
+    As a grouped pandas function, but for many small groups: a task passes over its sorted rows
+    once and holds one batch and one unfinished group.
+    """
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for batch in batches:
+            if left is not None:
+                batch = pd.concat([left, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            key = batch[keys].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)]
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            found = [f for low, high in zip(cuts, cuts[1:], strict=False) for f in work({c: v[low:high] for c, v in columns.items()})]
+            left = batch.iloc[cuts[-1] :]
+            if found:
+                yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        if left is not None and len(left):
+            yield pd.DataFrame(work({c: left[c].to_numpy() for c in left.columns}), columns=["u", "v"], dtype="int64")
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, "u long, v long").distinct()
+
+
 def verify(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable[[str], np.ndarray]) -> DataFrame:
     """The (a, b) pairs whose full sets are similar. Rows of one id are alternatives.
 
@@ -137,13 +164,12 @@ def verify(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: C
     leaders = placed.select("a", "group", F.col("a").alias("id")).distinct()
     rows = members.unionByName(leaders).join(texts, "id")
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        lead = group["a"].iloc[0]
-        own = [sets(t) for t in group.loc[group["id"] == lead, "text"]]
-        hit = [i for i, t in zip(group["id"], group["text"], strict=True) if i != lead and any(similar(o, s) for s in [sets(t)] for o in own)]
-        return pd.DataFrame({"u": pd.Series([lead] * len(hit), dtype="int64"), "v": pd.Series(hit, dtype="int64")})
+    def work(group: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        lead, ids, texts = group["a"][0], group["id"], group["text"]
+        own = [sets(t) for t in texts[ids == lead]]
+        return [(lead, i) for i, t in zip(ids, texts, strict=True) if i != lead and any(similar(o, s) for s in [sets(t)] for o in own)]
 
-    return rows.groupBy("a", "group").applyInPandas(work, "u long, v long").distinct()
+    return each_group(rows, ["a", "group"], work)
 
 
 def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable[[str], np.ndarray]) -> DataFrame:
@@ -175,8 +201,8 @@ def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts_of: Cal
     held = members.select("band", own.alias("j"), "id", "root").join(used, "band").select("band", "i", "j", "id", "root", F.lit(False).alias("probe"))
     cells = asked.unionByName(held).join(texts, "id")
 
-    def work(cell: pd.DataFrame) -> pd.DataFrame:
-        probe, ids, root = (cell[c].to_numpy() for c in ("probe", "id", "root"))
+    def work(cell: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        probe, ids, root = cell["probe"].astype(bool), cell["id"], cell["root"]
         rows, where = np.flatnonzero(probe), np.flatnonzero(~probe)
         found: list[tuple[int, int]] = []
         if len(rows) and len(where):
@@ -195,9 +221,9 @@ def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts_of: Cal
             for k, r in enumerate(rows):
                 near = where[hit[k]]
                 found += [(ids[r], ids[near[f]]) for f in np.unique(root[near], return_index=True)[1]]
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        return found
 
-    return cells.groupBy("band", "i", "j").applyInPandas(work, "u long, v long").distinct()
+    return each_group(cells, ["band", "i", "j"], work)
 
 
 def link(
