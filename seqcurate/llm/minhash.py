@@ -181,15 +181,19 @@ def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts_of: Cal
     """
     placed = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = placed.join(items.groupBy("id").agg(F.sum("n").alias("n")), "id")
-    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark_{k}") for k in (0, 1)]
+    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"), *marks)
     state = parts.groupBy("band").agg(
         F.max_by("root", F.struct("size", "root")).alias("main"),
         F.count(F.lit(1)).alias("components"),
         F.sum("size").alias("size"),
         F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"),
+        *[F.bit_xor(f"mark_{k}").alias(f"mark_{k}") for k in (0, 1)],
     )
     # Two items that are not linked were verified against each other as member and leader.
-    state = state.where((F.col("components") > 1) & (F.col("size") > 2)).select("band", "main", "chunks")
+    state = state.where((F.col("components") > 1) & (F.col("size") > 2))
+    # Bands with the same members, told by 128 bits and their number, are one bucket.
+    state = state.groupBy("mark_0", "mark_1", "size", "main", "chunks").agg(F.min("band").alias("band")).select("band", "main", "chunks")
     members = stage(placed.join(state, "band"), "minhash-open")
     texts = stage(texts_of(members.select("id").distinct()), "minhash-texts")
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
@@ -286,9 +290,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stage(signatures(texts), "minhash-signatures")
     usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # One item a set: its smallest document stands for all exact copies.
-    best = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("s"))
+    best = stage(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("s")), "minhash-items")
     items = best.select(F.col("s.doc_id").alias("id"), "s.n", "s.bands", "s.sig")
-    items = stage(items, "minhash-items")
     copies = usable.select("doc_id", "digest").join(best.select("digest", F.col("s.doc_id").alias("first")), "digest")
     copies = stage(copies.where(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("u"), F.col("first").alias("v")), "minhash-copies")
 
