@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from seqcurate.llm import minhash
 from seqcurate.llm.common import join_lookup, stage
-from seqcurate.llm.hashing import code_points, gram_hashes, mix
+from seqcurate.llm.hashing import code_points, mix
 
+#: A power of two.
 CHARACTERS = 8
 BANDS, ROWS = 10, 3
 LIKELY = 0.45
 #: Characters signed at a time in a task.
-PIECE = 1 << 15
+PIECE = 1 << 13
 BLANKS = " \t\x0b\f\r"
 
 
@@ -38,14 +39,18 @@ def _lower(cp: np.ndarray) -> np.ndarray:
     return cp + np.where((cp >= 65) & (cp <= 90), 32, 0).astype(cp.dtype)
 
 
+def _grams(cp: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hashes of all runs of ``CHARACTERS`` code points, from runs of half the length."""
+    out, step, power = cp.astype(np.uint64), 1, 0x9E3779B97F4A7C15
+    while step < CHARACTERS:
+        out = out[:-step] * np.uint64(power) + out[step:]
+        step, power = 2 * step, power * power % (1 << 64)
+    return out
+
+
 def line_set(line: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a line's character shingles; of the line itself if it is shorter."""
-    cp = _lower(code_points(line.ljust(CHARACTERS, "\0"))).astype(np.uint64)
-    size = len(cp) - CHARACTERS + 1
-    out = np.zeros(size, np.uint64)
-    for k in range(CHARACTERS):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + cp[k : k + size]
-    return minhash.distinct(mix(out))
+    return minhash.distinct(mix(_grams(_lower(code_points(line.ljust(CHARACTERS, "\0"))))))
 
 
 def sign(lines: list[str]) -> np.ndarray:
@@ -59,15 +64,13 @@ def sign(lines: list[str]) -> np.ndarray:
         base = ends[first] - lengths[first]
         last = max(first + 1, int(np.searchsorted(ends, base + PIECE, "right")))
         if last == first + 1 and lengths[first] > PIECE:  # one very long line, piece by piece
-            grams = gram_hashes(_lower(code_points(padded[first])), CHARACTERS)
-            out[first] = minhash.signature(grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), BANDS * ROWS)
+            out[first] = minhash.signature(_grams(_lower(code_points(padded[first]))), BANDS * ROWS)
         else:
-            grams = gram_hashes(_lower(code_points("".join(padded[first:last]))), CHARACTERS)
-            ranks = minhash.ranks(grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), BANDS * ROWS)
-            ranks = np.concatenate([ranks, np.full((1, ranks.shape[1]), 0xFFFFFFFF, np.uint32)])
+            ranks = minhash.ranks(_grams(_lower(code_points("".join(padded[first:last])))), BANDS * ROWS)
             starts = ends[first:last] - lengths[first:last] - base
             bounds = np.column_stack([starts, ends[first:last] - base - CHARACTERS + 1]).ravel()
-            out[first:last] = np.minimum.reduceat(ranks, bounds, axis=0)[::2]
+            # The last line ends where the piece ends; between two lines lie runs that belong to none.
+            out[first:last] = np.minimum.reduceat(ranks, bounds[:-1], axis=0)[::2]
         first = last
     return out
 
