@@ -49,7 +49,7 @@ def number_rows(rows: DataFrame, key: str, order: list[Column], buckets: int = 1
     )
     inner = Window.partitionBy(key, "_bucket").orderBy(*order)
     local = cut.withColumn("_local", F.row_number().over(inner) - 1)
-    joined = local.join(first, local[key].eqNullSafe(first["_key"]) & (local["_bucket"] == first["_b"]))
+    joined = join_lookup(local, first, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
     return joined.withColumn("_row", F.col("_first") + F.col("_local")).drop("_key", "_b", "_first", "_local", "_bucket")
 
 

@@ -1,34 +1,44 @@
 """Mixing sources to target weights by a Pfair schedule.
 
-Each source's documents, in hashed order, form blocks of ``BLOCK`` documents. With weight w, block j
-(from 1) may be placed from slot floor((j-1)/w) on and must be placed before slot ceil(j/w); placing,
-slot by slot, the released block of the earliest deadline keeps every source within one block of its
-share at every slot. Weights are multiples of 1/``FRAME``, so all sources are level after ``FRAME``
-slots and the schedule repeats: one frame is computed, a block's slot is its frame times ``FRAME``
-plus a lookup, and no task ever sees the whole schedule.
+Each source's documents, in hashed order, form blocks of ``BLOCK`` documents; each slot takes one block.
+The ideal mixture gives every source that still has blocks its share of the weights at every moment; when
+a source runs out, the others go on with their weights renormalised, until every block is placed. A
+block may be placed from the slot on in which the ideal mixture begins it and must be placed before the
+slot in which it has ended it; while no source has run out, and with weights that add up to 1, that is from
+floor((j-1)/w) and before ceil(j/w) for block j (from 1). Placing, slot by slot, the released block of the
+earliest deadline keeps every source within one block of the ideal mixture at every slot.
 
-The mixture ends at the first slot whose source has no block left; documents of blocks before it are
-``selected``, the others keep their block but have no slot. A source's last block may be short.
+The slots are found in one pass on the driver, over blocks, not documents: it holds one entry a source
+and hands the places to Spark in tables of ``SPOOL`` slots.
+
+``selected`` marks the slots before the first source has run out: there the target weights hold. Later
+documents have slots too. A source's last block may be short.
 
 Defined cases: a null source is a source of its own; repeated rows count each; an empty table gives
-no row; sources without a weight or with weight 0 are never selected; if no weight is positive
-nothing is. Ties of deadlines go to the source that sorts first.
+no row; sources without a weight or with weight 0 have no slot; if no weight is positive
+nothing has. Ties of deadlines go to the source that sorts first.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcurate.llm.common import number_rows
+from seqcurate.llm.common import LOOKUP_ROWS, number_rows, stage
 
 BLOCK = 16
 FRAME = 4096
 #: Without target weights a source weighs as the number of its documents to this power.
 SMOOTHING = 0.7
+#: Slots that the driver holds at a time.
+SPOOL = 1 << 20
 #: More sources than a frame has slots cannot be placed.
 MAX_SOURCES = FRAME
 
@@ -50,66 +60,97 @@ def quotas(weights: dict[str | None, float], frame: int = FRAME) -> dict[str | N
     return out
 
 
-def frame_slots(quota: dict[str | None, int], frame: int = FRAME) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block within the frame from 0, slot, release, deadline), earliest deadline first."""
-    waiting = [((j * frame) // q, -(-(j + 1) * frame // q), s is not None, s or "", j) for s, q in quota.items() for j in range(q)]
-    waiting.sort()
+def ideal(weights: list[float], blocks: list[int]) -> Callable[[float], float]:
+    """Blocks placed by the ideal mixture once each source has had ``v`` blocks per unit of weight, or all it has."""
+    order = sorted(range(len(weights)), key=lambda s: blocks[s] / weights[s])
+    ends = [blocks[s] / weights[s] for s in order]
+    spent = list(itertools.accumulate((blocks[s] for s in order), initial=0))
+    rest = list(itertools.accumulate((weights[s] for s in reversed(order)), initial=0.0))[::-1]
+
+    def placed(v: float) -> float:
+        k = bisect.bisect_left(ends, v)
+        return spent[k] + rest[k] * v
+
+    return placed
+
+
+def snapped(x: float, up: bool) -> int:
+    """Floor or ceiling; what rounding has moved off a whole number counts as that number."""
+    slack = 1e-9 + 1e-12 * x
+    return math.ceil(x - slack) if up else math.floor(x + slack)
+
+
+def earliest_deadline(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block from 0, slot, release, deadline) of all blocks in order of slots; weights and blocks are positive."""
+    placed = ideal(weights, blocks)
+
+    def window(s: int, j: int, begin: float) -> tuple[int, int, int, int, float]:
+        end = placed((j + 1) / weights[s])
+        return snapped(begin, False), snapped(end, True), s, j, end
+
+    waiting = [window(s, 0, 0.0) for s in range(len(weights))]
+    heapq.heapify(waiting)
     ready: list = []
-    out, at, slot = [], 0, 0
-    while at < len(waiting) or ready:
-        while at < len(waiting) and waiting[at][0] <= slot:
-            release, deadline, named, source, j = waiting[at]
-            heapq.heappush(ready, (deadline, named, source, j, release))
-            at += 1
-        if ready:
-            deadline, named, source, j, release = heapq.heappop(ready)
-            out.append((source if named else None, j, slot, release, deadline))
+    slot = 0
+    while waiting or ready:
+        # Rounding may release a block too late; a slot is never left empty for it.
+        while waiting and (waiting[0][0] <= slot or not ready):
+            release, deadline, s, j, end = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, j, release, end))
+        deadline, s, j, release, end = heapq.heappop(ready)
+        yield s, j, slot, release, deadline
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, window(s, j + 1, end))
         slot += 1
-    return out
 
 
-def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """Each document's source, block, slot (null if not selected), release and deadline slot, and ``selected``."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"))
+def frame_slots(quota: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
+    """(source, block within the frame from 0, slot, release, deadline) of one frame of whole quotas."""
+    names = sorted(quota, key=lambda s: (s is not None, s or ""))
+    q = [quota[s] for s in names]
+    return [(names[s], *rest) for s, *rest in earliest_deadline(q, q)]
+
+
+def slot_table(spark: SparkSession, names: list[str | None], weights: list[float], blocks: list[int]) -> DataFrame:
+    """(_source, _block, slot, release, deadline) of all blocks."""
+    schema = "_source string, _block long, slot long, release long, deadline long"
+    parts, places, total = [], earliest_deadline(weights, blocks), sum(blocks)
+    label = pa.array(names, pa.string())
+    while rows := list(itertools.islice(places, SPOOL)):
+        s, *numbers = zip(*rows, strict=True)
+        columns = [label.take(pa.array(s, pa.int64())), *[pa.array(n, pa.int64()) for n in numbers]]
+        part = spark.createDataFrame(pa.table(columns, names=["_source", "_block", "slot", "release", "deadline"]))
+        parts.append(part if total <= SPOOL else stage(part, "slots"))
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return F.broadcast(out) if total <= LOOKUP_ROWS else out
+
+
+def place(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """Each row as the struct ``_doc``, with its doc_id, source, block, slot (null without a weight), release, deadline and ``selected``."""
+    # Rows of one id, or of none, are told apart by their other columns.
+    plain = [F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        F.col(doc_id).alias("doc_id"),
+        F.col(source).cast("string").alias("source"),
+        F.xxhash64(*plain).alias("_tie"),
+    )
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    target = {s: (n**SMOOTHING if weights is None else weights.get(s, 0.0)) for s, n in counts.items()}
-    quota = quotas(target)
-    slots = frame_slots(quota)
-    place = {(s, j): slot for s, j, slot, _, _ in slots}
-    # The first slot whose source has run out ends the mixture.
-    ends = [
-        (blocks // quota[s]) * FRAME + place[s, blocks % quota[s]] for s in quota for blocks in [-(-counts[s] // BLOCK)]
-    ]
-    end = min(ends) if len(quota) == len([w for w in target.values() if w > 0]) and ends else 0
-    spark = docs.sparkSession
-    lookup = spark.createDataFrame(
-        [(s, quota[s], j, slot, release, deadline) for s, j, slot, release, deadline in slots],
-        "source string, quota int, turn int, place int, released int, due int",
-    )
-    numbered = number_rows(rows, "source", [F.col("doc_id"), F.hash("doc_id")])
-    quota_of = spark.createDataFrame(list(quota.items()), "source string, quota int")
-    blocks = numbered.select("doc_id", "source", F.floor(F.col("_row") / BLOCK).alias("block"))
-    with_quota = _lookup(blocks, quota_of, ["source"]).withColumn("turn", (F.col("block") % F.col("quota")).cast("int"))
-    placed = _lookup(with_quota, lookup.drop("quota"), ["source", "turn"])
-    start: Column = F.floor(F.col("block") / F.col("quota")) * FRAME
-    slot = start + F.col("place")
-    return placed.select(
-        "doc_id",
-        "source",
-        "block",
-        F.when(slot < end, slot).alias("slot"),
-        (start + F.col("released")).alias("release"),
-        (start + F.col("due")).alias("deadline"),
-        F.coalesce(slot < end, F.lit(False)).alias("selected"),
-    )
+    target = quotas({s: (n**SMOOTHING if weights is None else weights.get(s, 0.0)) for s, n in counts.items()})
+    names = sorted(target, key=lambda s: (s is not None, s or ""))
+    shares, blocks = [target[s] for s in names], [-(-counts[s] // BLOCK) for s in names]
+    # The first source to run out ends the part in which the target weights hold.
+    end = snapped(ideal(shares, blocks)(min(n / w for n, w in zip(blocks, shares, strict=True))), False) if names else 0
+    numbered = number_rows(rows, "source", [F.col("doc_id"), F.col("_tie")]).withColumn("block", F.floor(F.col("_row") / BLOCK))
+    slots = slot_table(docs.sparkSession, names, shares, blocks)
+    placed = numbered.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
+    return placed.select("_doc", "doc_id", "source", "block", "slot", "release", "deadline", F.coalesce(F.col("slot") < end, F.lit(False)).alias("selected"))
 
 
-def _lookup(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join with a table of at most FRAME rows, null keys equal; broadcast."""
-    renamed = small.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in small.columns])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & rows[k].eqNullSafe(renamed[f"_{k}"])
-    return rows.join(F.broadcast(renamed), condition, "left").drop(*[f"_{k}" for k in keys])
+def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """Each document's source, block, slot, release and deadline slot, and ``selected``."""
+    return place(docs, weights, doc_id, source).drop("_doc")

@@ -250,6 +250,34 @@ def test_mixing(spark, odd_docs, no_docs):
     assert all(sorted(g._row) == list(range(len(g))) for _, g in rows.groupby("source", dropna=False))
 
 
+def test_mixing_goes_on(spark):
+    """A tiny source, a hot one, repeated and null ids: every row has a slot, within the windows of a plain schedule."""
+    rows = [(k, f"hot {k}", "hot") for k in range(4000)] + [(k, f"{k}", "even") for k in range(1500)] + [(1, "x", "tiny"), (2, "y", None)]
+    rows += [(7, f"again {k}", "even") for k in range(40)] + [(None, f"none {k}", "hot") for k in range(40)] + [(7, "same", "even")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.schedule(docs).toPandas()
+    assert len(got) == len(rows) and got.slot.notna().all() and (got.release <= got.slot).all() and (got.slot < got.deadline).all()
+    blocks = got.drop_duplicates("slot").sort_values("slot")
+    assert blocks.slot.tolist() == list(range(len(blocks))) and (got.groupby("slot").size() <= mixing.BLOCK).all()
+    # Plain: each slot is shared by the sources that still have blocks, by weight.
+    size = got.source.fillna("-").value_counts()
+    left, weight = {s: float(-(-n // mixing.BLOCK)) for s, n in size.items()}, {s: n**mixing.SMOOTHING for s, n in size.items()}
+    ahead = dict.fromkeys(left, 0.0)
+    for source in blocks.source.fillna("-"):
+        room = 1.0
+        while room > 1e-9 and (active := [s for s in left if left[s] > 1e-9]):
+            total = sum(weight[s] for s in active)
+            step = min(room / total, *[left[s] / weight[s] for s in active])
+            for s in active:
+                left[s] -= step * weight[s]
+                ahead[s] -= step * weight[s]
+            room -= step * total
+        ahead[source] += 1
+        assert all(abs(x) < 1 + 1e-6 for x in ahead.values())
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert mixed.columns == docs.columns and sorted(mixed.collect(), key=str) == sorted(docs.collect(), key=str)
+
+
 def test_bpe(spark, sf_dir, texts, odd_docs, no_docs):
     library = tokenizers.Tokenizer.from_file(PATH)
     got = QUERIES["op7_bpe"](spark, sf_dir).toPandas().set_index("doc_id")
