@@ -34,13 +34,12 @@ from pyspark.sql import functions as F
 from seqcurate.llm.common import LOOKUP_ROWS, number_rows, stage
 
 BLOCK = 16
+#: Slots of a frame of whole quotas (``quotas``, ``frame_slots``); the schedule takes the weights as they are.
 FRAME = 4096
 #: Without target weights a source weighs as the number of its documents to this power.
 SMOOTHING = 0.7
 #: Slots that the driver holds at a time.
 SPOOL = 1 << 20
-#: More sources than a frame has slots cannot be placed.
-MAX_SOURCES = FRAME
 
 
 def quotas(weights: dict[str | None, float], frame: int = FRAME) -> dict[str | None, int]:
@@ -137,11 +136,9 @@ def place(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_i
         F.col(source).cast("string").alias("source"),
         F.xxhash64(*plain).alias("_tie"),
     )
-    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    target = quotas({s: (n**SMOOTHING if weights is None else weights.get(s, 0.0)) for s, n in counts.items()})
-    names = sorted(target, key=lambda s: (s is not None, s or ""))
+    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    target = {s: (n**SMOOTHING if weights is None else weights.get(s, 0.0)) for s, n in counts.items()}
+    names = sorted((s for s, w in target.items() if w and w > 0), key=lambda s: (s is not None, s or ""))
     shares, blocks = [target[s] for s in names], [-(-counts[s] // BLOCK) for s in names]
     # The first source to run out ends the part in which the target weights hold.
     end = snapped(ideal(shares, blocks)(min(n / w for n, w in zip(blocks, shares, strict=True))), False) if names else 0

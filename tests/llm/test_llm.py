@@ -278,6 +278,32 @@ def test_mixing_goes_on(spark):
     assert mixed.columns == docs.columns and sorted(mixed.collect(), key=str) == sorted(docs.collect(), key=str)
 
 
+def test_true_weights():
+    """Shares over ten frames stay within one block of the weights themselves, also of a weight below a slot a frame."""
+    slots = 10 * mixing.FRAME
+    for weights in ([1 / 40960, 0.3, 0.7 - 1 / 40960], [0.1] * 7 + [0.3], [0.5 / 5000] * 5000 + [0.5], [n**0.7 for n in (3, 50, 1234, 99999)]):
+        total = sum(weights)
+        share = [w / total for w in weights]
+        blocks = [int(w * slots) + 2 for w in share]
+        until = int(min(n / w for n, w in zip(blocks, share)))
+        assert until >= slots
+        done = np.zeros(len(weights))
+        for source, block, slot, release, deadline in mixing.earliest_deadline(weights, blocks):
+            if slot >= until:
+                break
+            assert block == done[source] and release <= slot < deadline
+            done[source] += 1
+            if slot % 97 == 0 or slot == slots - 1:
+                assert (abs(done - np.array(share) * (slot + 1)) < 1 + 1e-6).all()
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPOOL", 1000)
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('domain', id % 5000) AS source")
+    got = mixing.schedule(docs).toPandas()
+    assert len(got) == 6000 and sorted(got.slot.unique()) == list(range(5000)) and (got.groupby("slot").source.nunique() == 1).all()
+
+
 def test_bpe(spark, sf_dir, texts, odd_docs, no_docs):
     library = tokenizers.Tokenizer.from_file(PATH)
     got = QUERIES["op7_bpe"](spark, sf_dir).toPandas().set_index("doc_id")
