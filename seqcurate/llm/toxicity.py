@@ -7,8 +7,9 @@ order lies one level shared by the classes: in how many contexts a letter follow
 class. The discount follows the class size and the mass given to the next lower level is the same
 for both classes, so an expression too rare to tell the classes apart gets the same probability
 from both and says nothing. A document's evidence is the difference of the log-likelihoods of its
-different n-grams over their number; a logistic curve, fitted on training documents left out of the
-counts, turns it into a score. (Word bigrams were tried first: with the same smoothing they ranked
+different n-grams over their number; a logistic curve turns it into a score. The curve is cross-fitted:
+each labelled training document gets its evidence from the counts of the other ``FOLDS`` - 1 folds, and
+the curve is fitted on all of them, while documents are scored with the counts of all folds. (Word bigrams were tried first: with the same smoothing they ranked
 held-out documents worse, AUC 0.80 against 0.99, as most words are too rare.)
 
 N-grams are hashed to ``CELLS`` cells, which bounds the model whatever the corpus.
@@ -24,10 +25,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqcurate.llm.common import fold, join_lookup, labelled
+from seqcurate.llm.common import fold, join_lookup, labelled, stage
 from seqcurate.llm.hashing import gram_hashes
 from seqcurate.llm.lid import letter_stream
 
@@ -37,8 +39,8 @@ ORDERS = (3, 4)
 DISCOUNT = 1.0
 #: Added to the contexts of each letter in the shared level, of about LETTERS letters.
 FLOOR, LETTERS = 1e-3, 30
-#: Bound of the rows that the logistic curve is fitted on.
-CALIBRATION_ROWS = 4000
+#: Folds of the training rows; a fold's evidence for the curve comes from the counts of the others.
+FOLDS = 4
 #: The curve takes evidence beyond this as this: texts unlike the training rows are extreme on either side.
 EXTREME = 0.25
 
@@ -58,13 +60,14 @@ def cells(letters: np.ndarray, n: int) -> np.ndarray:
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """Documents with each n-gram by class, over (text, label) rows: n, cell, context, tail, toxic, plain."""
+    """Documents with each n-gram by class and fold, over (text, label, part) rows: n, cell, context, tail, toxic0, plain0, toxic1, ..."""
+    by_part = [f"{c}{k}" for k in range(FOLDS) for c in ("toxic", "plain")]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((len(ORDERS), 2, CELLS), np.int64)
+        counts = np.zeros((len(ORDERS), FOLDS, 2, CELLS), np.int32)
         context, tail = np.zeros((len(ORDERS), CELLS), np.int32), np.zeros((len(ORDERS), CELLS), np.int32)
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
+            for text, label, part in zip(batch["text"], batch["label"], batch["part"], strict=True):
                 stream = letter_stream(text)
                 if stream is None:
                     continue
@@ -73,16 +76,22 @@ def count_grams(rows: DataFrame) -> DataFrame:
                         grams = cells(stream, n)
                         context[k][grams] = cells(stream[:-1], n - 1)
                         tail[k][grams] = cells(stream[1:], n - 1)
-                        counts[k][label][np.unique(grams)] += 1
+                        counts[k][part][label][np.unique(grams)] += 1
         for k, n in enumerate(ORDERS):
-            at = np.flatnonzero(counts[k].sum(axis=0))
+            at = np.flatnonzero(counts[k].any(axis=(0, 1)))
             if len(at):
-                yield pd.DataFrame(
-                    {"n": np.int32(n), "cell": at.astype(np.int32), "context": context[k][at], "tail": tail[k][at], "toxic": counts[k][1][at], "plain": counts[k][0][at]}
-                )
+                found = {f"{c}{part}": counts[k][part][y][at].astype(np.int64) for part in range(FOLDS) for c, y in (("toxic", 1), ("plain", 0))}
+                yield pd.DataFrame({"n": np.int32(n), "cell": at.astype(np.int32), "context": context[k][at], "tail": tail[k][at], **found})
 
-    found = rows.select("text", "label").mapInPandas(work, "n int, cell int, context int, tail int, toxic long, plain long")
-    return found.groupBy("n", "cell").agg(*[F.max(c).alias(c) for c in ("context", "tail")], *[F.sum(c).alias(c) for c in ("toxic", "plain")])
+    schema = "n int, cell int, context int, tail int, " + ", ".join(f"{c} long" for c in by_part)
+    found = rows.select("text", "label", "part").mapInPandas(work, schema)
+    return found.groupBy("n", "cell").agg(*[F.max(c).alias(c) for c in ("context", "tail")], *[F.sum(c).alias(c) for c in by_part])
+
+
+def without_part(grams: pd.DataFrame, out: int | None) -> pd.DataFrame:
+    """The counts of all folds but ``out``, n-grams of no other fold dropped."""
+    sums = {c: sum(grams[f"{c}{k}"] for k in range(FOLDS) if k != out) for c in ("toxic", "plain")}
+    return grams[["n", "cell", "context", "tail"]].assign(**sums)[(sums["toxic"] + sums["plain"]) > 0]
 
 
 def estimate(grams: pd.DataFrame) -> Model | None:
@@ -130,21 +139,25 @@ def evidence(text: str | None, model: Model | None) -> float:
     return float(np.mean(np.log(toxic) - np.log(plain), dtype=np.float64))
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic regression of y on x, by Newton steps with a weak pull to 0."""
-    scale = float(x.std()) or 1.0
-    design = np.column_stack([x / scale, np.ones(len(x))])
+def curve(points: DataFrame) -> tuple[float, float]:
+    """Slope and offset of a logistic regression of label on x over all points, by Newton steps with a weak pull to 0."""
+    scale = points.agg(F.stddev_pop("x")).first()[0] or 1.0
+    z, y = F.col("x") / scale, F.col("label").cast("double")
     w = np.zeros(2)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag([1e-2, 1e-6])
-        w -= np.linalg.solve(hessian, design.T @ (p - y) + np.array([1e-2, 1e-6]) * w)
+        bounded = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z * float(w[0]) + float(w[1])))
+        rows = points.select(z.alias("z"), y.alias("y"), (1 / (1 + F.exp(-bounded))).alias("p"))
+        spread, miss = F.col("p") * (1 - F.col("p")), F.col("p") - F.col("y")
+        sums = rows.agg(*[F.sum(c) for c in (spread * F.col("z") * F.col("z"), spread * F.col("z"), spread, miss * F.col("z"), miss)]).first()
+        hessian = np.array([[sums[0], sums[1]], [sums[1], sums[2]]]) + np.diag([1e-2, 1e-6])
+        step = np.linalg.solve(hessian, np.array([sums[3], sums[4]]) + np.array([1e-2, 1e-6]) * w)
+        w -= step
+        if abs(step).max() < 1e-9:
+            break
     return float(w[0] / scale), float(w[1])
 
 
-def with_evidence(docs: DataFrame, model: Model | None, keep: list[str], name: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
+def with_evidence(docs: DataFrame, held: Broadcast[Model | None], keep: list[str], name: str) -> DataFrame:
     @F.pandas_udf("double")
     def found(text: pd.Series) -> pd.Series:
         return pd.Series([evidence(t, held.value) for t in text], dtype="float64")
@@ -153,24 +166,36 @@ def with_evidence(docs: DataFrame, model: Model | None, keep: list[str], name: s
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> Model | None:
-    """Counts three quarters of the usable labelled rows; the rest, bounded, fits the curve."""
+    """Counts all usable labelled rows and fits the curve on all of them, each by the counts of the other folds."""
     known = labelled(labels, label).where(usable)
-    rest = fold(F.concat(F.lit("curve"), F.col("doc_id").cast("string")), 4) == 0
-    texts = docs.select("doc_id", "text")
-    model = estimate(count_grams(join_lookup(texts, known.where(~rest), "doc_id")).toPandas())
+    part = fold(F.concat(F.lit("curve"), F.col("doc_id").cast("string")), FOLDS)
+    rows = join_lookup(docs.select("doc_id", "text"), known.withColumn("part", part.cast("int")), "doc_id")
+    grams = count_grams(rows).toPandas()
+    model = estimate(without_part(grams, None))
     if model is None:
         return None
-    picked = known.where(rest).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    points = with_evidence(texts.join(F.broadcast(picked), "doc_id"), model, ["label"], "x").toPandas()
-    if points["label"].nunique() < 2:
+    points = None
+    for k in range(FOLDS):
+        other = estimate(without_part(grams, k))
+        if other is None:  # a fold that holds all rows of a class: the others' evidence says nothing about it
+            continue
+        held = docs.sparkSession.sparkContext.broadcast(other)
+        found = with_evidence(rows.where(F.col("part") == k), held, ["label"], "x")
+        bounded = F.greatest(F.lit(-EXTREME), F.least(F.lit(EXTREME), F.col("x")))
+        part_points = stage(found.select("label", bounded.alias("x")), "toxicity-points")
+        held.destroy()
+        points = part_points if points is None else points.unionByName(part_points)
+    if points is None:
+        return model
+    if points.select("label").distinct().count() < 2:
         return model
-    slope, offset = curve(points["x"].to_numpy(np.float64).clip(-EXTREME, EXTREME), points["label"].to_numpy(np.float64))
+    slope, offset = curve(points)
     return model._replace(slope=slope, offset=offset)
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str], name: str = "score") -> DataFrame:
     """The columns ``keep``, the evidence and the score of each document."""
     slope, offset = (model.slope, model.offset) if model is not None else (0.0, 0.0)
-    rows = with_evidence(docs, model, keep, "evidence")
+    rows = with_evidence(docs, docs.sparkSession.sparkContext.broadcast(model), keep, "evidence")
     bounded = F.greatest(F.lit(-EXTREME), F.least(F.lit(EXTREME), F.col("evidence")))
     return rows.withColumn(name, 1 / (1 + F.exp(-(F.lit(slope) * bounded + F.lit(offset)))))

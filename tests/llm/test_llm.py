@@ -136,6 +136,19 @@ def test_toxicity_finds_marked_texts(spark):
     assert ((got.score >= 0.5) == (got.doc_id % 3 == 0)).mean() > 0.95
 
 
+def test_toxicity_counts_all_rows(spark):
+    """An ending that two labelled rows show speaks for their class, whichever rows they are."""
+    rng = random.Random(4)
+    syllables = ["ba", "ko", "ri", "tu", "me"]
+    plain = lambda: " ".join("".join(rng.choices(syllables, k=3)) for _ in range(30))
+    marks = [syllables[3 * k % 5] + syllables[k % 5] + "qxzwvjyf"[k // 5] for k in range(40)]
+    docs = [(k, f"{plain()} {marks[k % 40]}") for k in range(80)] + [(80 + k, plain()) for k in range(80)] + [(1000 + k, marks[k]) for k in range(40)]
+    labels = spark.createDataFrame([(k, int(k < 80)) for k in range(160)], "doc_id long, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = toxicity.score(frame, toxicity.train(frame, labels, F.lit(True)), ["doc_id"]).where("doc_id >= 1000").toPandas()
+    assert len(got) == 40 and (got.evidence > 0.1).all(), sorted(got.evidence)
+
+
 def test_classifiers_odd(odd_docs, no_docs, odd_labels):
     for docs, labels in ((odd_docs, odd_labels), (odd_docs, odd_labels.limit(0)), (no_docs, odd_labels)):
         n = docs.count()
