@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcurate.llm import bpe, lid, lines, merkle, minhash, mixing, pii, quality, rules, toxicity
+from seqcurate.llm import bpe, decontam, lid, lines, merkle, minhash, mixing, pii, quality, rules, toxicity
 from seqcurate.llm.common import fold, table
 
 
@@ -71,5 +71,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_circulant_minhash, op2_quality_classifier, op3_disclosure, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op8_fuzzy_lines, op9_line_rules, op10_toxicity)}
-ORACLES: dict[str, str] = {"op9_line_rules": rules.SQL}
+def op12_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "kept.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_circulant_minhash, op2_quality_classifier, op3_disclosure, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op8_fuzzy_lines, op9_line_rules, op10_toxicity, op12_prefix_join)}
+ORACLES: dict[str, str] = {"op9_line_rules": rules.SQL, "op12_prefix_join": decontam.SQL}
