@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcurate.llm import bpe, decontam, lid, lines, merkle, minhash, mixing, pii, quality, rules, toxicity
+from seqcurate.llm import bpe, decontam, lid, lines, merkle, minhash, mixing, pii, quality, repair, rules, toxicity, whitening
 from seqcurate.llm.common import fold, table
 
 
@@ -71,6 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select(
@@ -83,5 +87,10 @@ def op12_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_circulant_minhash, op2_quality_classifier, op3_disclosure, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op8_fuzzy_lines, op9_line_rules, op10_toxicity, op12_prefix_join)}
-ORACLES: dict[str, str] = {"op9_line_rules": rules.SQL, "op12_prefix_join": decontam.SQL}
+def op13_cyk_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damage(rows), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_circulant_minhash, op2_quality_classifier, op3_disclosure, op4_merkle, op5_pfair_mixing, op6_language_mixture, op7_bpe, op8_fuzzy_lines, op9_line_rules, op10_toxicity, op11_feast_whitening, op12_prefix_join, op13_cyk_repair)}
+ORACLES: dict[str, str] = {"op9_line_rules": rules.SQL, "op12_prefix_join": decontam.SQL, "op13_cyk_repair": repair.SQL}
