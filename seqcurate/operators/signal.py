@@ -5,8 +5,11 @@ Frames of a sequence are consecutive integers; all windows run on (sequence, blo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from . import blocks
 MIN_DISTANCE = 7
 PROMINENCE = 0.015
 #: Candidate blocks and their context, in frames (see ``suppress``).
-CANDIDATE_SPAN = 256
+CANDIDATE_SPAN = 16_384
 CANDIDATE_HALO = 128
 
 
@@ -91,47 +94,50 @@ def peak_candidates(
     return out.filter(F.col("prominence") >= prominence).select(*keys, order, "prominence", "signal")
 
 
-def _resolve(df: DataFrame, keys, order: str, min_distance: int, span: int, context: int) -> DataFrame:
-    """Greedy choice inside each block, with the undecided rows marked ``open``.
-
-    Rows near the outer edge may depend on candidates the block cannot see; they and whatever
-    hangs on them stay open. A decided row is decided for good. Input column ``fixed`` marks
-    rows already known to be kept.
-    """
-    # One list per (sequence, block): at most span + 2 * context entries.
-    item = F.struct(
-        F.col("fixed"), F.col("prominence"), F.col("signal"), F.col(order).alias("at"), F.col("_core").alias("own")
-    )
-    lists = (
-        blocks.halo(df, order, context, context, span)
-        .groupBy(*keys, blocks.BLOCK)
-        .agg(F.sort_array(F.collect_list(item), asc=False).alias("_items"))
-    )
-    low = F.col(blocks.BLOCK) * span - context
-    high = (F.col(blocks.BLOCK) + 1) * span + context - 1
-    near = lambda marks, at: F.exists(marks, lambda m: F.abs(m - at) < min_distance)
-
-    def step(acc, item):
-        at = item["at"]
-        unseen = (at - low < min_distance - 1) | (high - at < min_distance - 1)
-        waits = ~item["fixed"] & (unseen | near(acc["open"], at))
-        keep = F.struct(F.array_append(acc["kept"], at).alias("kept"), acc["open"].alias("open"))
-        wait = F.struct(acc["kept"].alias("kept"), F.array_append(acc["open"], at).alias("open"))
-        return F.when(~item["fixed"] & near(acc["kept"], at), acc).when(waits, wait).otherwise(keep)
-
-    empty = F.expr("named_struct('kept', cast(array() as array<bigint>), 'open', cast(array() as array<bigint>))")
-    out = lists.withColumn("_state", F.aggregate("_items", empty, step))
-    rows = out.select(*keys, "_state", F.explode("_items").alias("_i")).filter("_i.own")
-    at = F.col("_i.at")
-    rows = rows.select(
-        *keys,
-        at.alias(order),
-        F.col("_i.prominence").alias("prominence"),
-        F.col("_i.signal").alias("signal"),
-        F.array_contains("_state.kept", at).alias("fixed"),
-        F.array_contains("_state.open", at).alias("open"),
-    )
-    return rows.filter(F.col("fixed") | F.col("open"))
+def _decide(distance: int, span: int, context: int, keys: list[str], order: str):
+    """The greedy choice of each block of a sorted stream; see ``suppress``."""
+
+    def block(at, strength, level, fixed, low, high):
+        """0 removed, 1 kept, 2 open; nothing is known of rows outside [low, high]."""
+        place = at - low + distance
+        kept, waits = bytearray(high - low + 1 + 2 * distance), bytearray(high - low + 1 + 2 * distance)
+        state = np.zeros(len(at), np.int8)
+        for i in np.flatnonzero(fixed).tolist():
+            kept[place[i]] = state[i] = 1
+        unseen = ((at - low < distance - 1) | (high - at < distance - 1)).tolist()
+        for i in np.lexsort((at, level, strength))[::-1].tolist():
+            p = int(place[i])
+            near = (p - distance + 1, p + distance)
+            if state[i] or kept.find(1, *near) >= 0:
+                continue
+            if unseen[i] or waits.find(1, *near) >= 0:
+                waits[p], state[i] = 1, 2
+            else:
+                kept[p] = state[i] = 1
+        return state
+
+    def groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole blocks of the stream; a block has at most span + 2 context positions."""
+        rest = None
+        for rows in frames:
+            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            cells = rows[[*keys, blocks.BLOCK]]
+            borders = np.flatnonzero((cells != cells.shift()).any(axis=1).to_numpy()).tolist()
+            for lo, hi in zip(borders, borders[1:]):
+                yield rows.iloc[lo:hi]
+            rest = rows.iloc[borders[-1] :] if borders else None
+        if rest is not None:
+            yield rest
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in groups(frames):
+            number = int(rows[blocks.BLOCK].iloc[0])
+            values = [rows[c].to_numpy() for c in (order, "prominence", "signal", "fixed")]
+            state = block(*values, number * span - context, (number + 1) * span + context - 1)
+            stays = rows["_core"].to_numpy() & (state > 0)
+            yield rows[stays].assign(fixed=state[stays] == 1)[[*keys, order, "prominence", "signal", "fixed"]]
+
+    return decide
 
 
 def suppress(
@@ -144,18 +150,21 @@ def suppress(
 ) -> DataFrame:
     """Greedy separation: by prominence, value and position, keep what is far from all kept.
 
-    The choice is global per sequence, but a decision only depends on a chain of stronger
-    neighbours closer than ``min_distance``; such chains are short. Blocks with context decide
-    nearly all rows at once; rows whose chain leaves the context are decided in further rounds
-    with a wider one, so the result equals the sequential rule for every input.
+    A candidate is decided by its stronger neighbours closer than ``min_distance`` alone: it goes when one of
+    them is kept and stays when all of them are gone. Blocks of a fixed span decide in parallel, each with some
+    context; a candidate that hangs on an undecided one outside waits for the next round, when its
+    neighbour's choice is known. Every round carries a chain of such candidates through a whole block, so there are
+    (chain length / span) rounds at most, blocks never grow, and the result is that of the sequential rule.
     """
-    state = candidates.withColumn("fixed", F.lit(False))
+    context = max(context, min_distance - 1)
+    decide = _decide(min_distance, span, context, list(keys), order)
+    state = candidates.select(*keys, order, "prominence", "signal", F.lit(False).alias("fixed"))
     while True:
-        state = stage(_resolve(state, keys, order, min_distance, span, context), "peaks")
-        if state.filter("open").isEmpty():
-            return state.select(*keys, order, "prominence", "signal")
-        state = state.drop("open")
-        span, context = span * 8, context * 8
+        placed = blocks.spread(blocks.halo(state, order, context, context, span), keys)
+        placed = placed.sortWithinPartitions(*keys, blocks.BLOCK, order)
+        state = stage(placed.mapInPandas(decide, state.schema), "peaks")
+        if state.filter("not fixed").isEmpty():
+            return state.drop("fixed")
 
 
 def contact_peaks(df: DataFrame, keys, order: str, value: str, min_distance=MIN_DISTANCE, prominence=PROMINENCE):

@@ -109,19 +109,35 @@ def test_signal_and_labels_match_the_loops(spark, sequences, monkeypatch, span):
         assert (row["cell_start"], row["cell_end"]) == (start, points[points.index(start) + 1])
 
 
-def test_greedy_choice_with_long_chains(spark):
-    """Strength rises along the sequence, so each choice hangs on the next: no context is wide enough at first."""
+@pytest.mark.parametrize(("span", "context"), [(64, 0), (256, 16), (16_384, 128)])
+def test_greedy_choice_with_long_chains(spark, span, context):
+    """Strength rises along the sequence, or is the same everywhere, so each choice hangs on the next over many blocks."""
+    rng = random.Random(8)
     rows = [("s", 3 * i, float(i), 0.0) for i in range(300)] + [("t", 5 * i, float(-i), 0.0) for i in range(100)]
+    rows += [("same", 4 * i, 0.5, 0.5) for i in range(250)] + [("any", i, rng.choice([0.1, 0.2, rng.random()]), rng.random()) for i in range(-300, 700)]
     df = spark.createDataFrame(rows, "sequence_id string, frame_index bigint, prominence double, signal double")
-    got = signal.suppress(df, KEYS, ORDER, span=16, context=16).collect()
-    for name in ("s", "t"):
+    got = signal.suppress(df.repartition(3), KEYS, ORDER, span=span, context=context).collect()
+    for name in ("s", "t", "same", "any"):
         kept = []
-        for _, at in sorted(((p, i) for n, i, p, _ in rows if n == name), reverse=True):
+        for _, _, at in sorted(((p, v, i) for n, i, p, v in rows if n == name), reverse=True):
             if all(abs(at - k) >= 7 for k in kept):
                 kept.append(at)
         assert sorted(r["frame_index"] for r in got if r["sequence_id"] == name) == sorted(kept)
 
 
+def test_greedy_choice_in_small_batches(spark):
+    """A block reaches Python in pieces."""
+    rng = random.Random(9)
+    rows = [(f"s{k}", i, rng.random(), 0.0) for k in range(3) for i in range(200)]
+    df = spark.createDataFrame(rows, "sequence_id string, frame_index bigint, prominence double, signal double")
+    want = sorted(map(tuple, signal.suppress(df, KEYS, ORDER).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, signal.suppress(df, KEYS, ORDER, span=50).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("span", [5, 65_536])
 def test_segments_runs_and_clips(spark, monkeypatch, span):
     monkeypatch.setattr(blocks, "SPAN", span)
