@@ -79,8 +79,7 @@ def annotation_report(bounds: DataFrame, fps: float, gate: float = S.KAPPA_GATE)
     who = [row[0] for row in bounds.select("annotator_id").distinct().orderBy("annotator_id").limit(3).collect()]
     if len(who) != 2:
         raise S.RuleViolation("The agreement report needs exactly two annotators.")
-    pairs = agreement.pairs(L.expand(bounds, ["sequence_id", "cycle_id", "annotator_id"], S.HUMAN_MARKS), *who)
-    return blocks.one_row(agreement.report(pairs, gate=gate), agreement.boundary_disagreement(bounds, *who, fps))
+    return blocks.one_row(agreement.interval_report(bounds, *who, gate=gate), agreement.boundary_disagreement(bounds, *who, fps))
 
 
 def annotation_pilot(manifest: DataFrame, quota: int = 3, seed: int = S.SEED, **options) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -19,28 +19,57 @@ def pairs(expanded: DataFrame, first: str, second: str, on=("sequence_id", "cycl
     return both.select(*on, S.phase_name(F.col("_a")).alias("label_a"), S.phase_name(F.col("_b")).alias("label_b"))
 
 
-def report(paired: DataFrame, keys=(), gate: float = S.KAPPA_GATE) -> DataFrame:
-    """Raw agreement and quadratic weighted kappa.
+def overlap_cells(bounds: DataFrame, first: str, second: str, keys=(), columns=S.HUMAN_MARKS) -> DataFrame:
+    """Frames by label of either annotator (``_c<i><j>``), per key, without a row per frame.
 
-    Kappa weights are squared rank distances among the labels either side uses, so an unused
-    middle label does not stretch the scale. One constant label on both sides gives null.
+    A cycle's marks cut half-open intervals; both annotators' records meet in one grouping on
+    cycles and the shared frames of two intervals are min(ends) - max(starts). Of repeated records the greatest holds.
     """
+    side = lambda who: F.max(F.when(F.col("annotator_id") == who, F.struct(*columns)))
+    cycles = bounds.groupBy(*keys, "sequence_id", "cycle_id").agg(side(first).alias("_a"), side(second).alias("_b"))
+    span = lambda who, i: (F.col(f"{who}.{columns[i]}"), F.col(f"{who}.{columns[i + 1]}"))
+
+    def shared(i, j):
+        (a0, a1), (b0, b1) = span("_a", i), span("_b", j)
+        known = a0.isNotNull() & a1.isNotNull() & b0.isNotNull() & b1.isNotNull()
+        return F.when(known, F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0))).otherwise(0).cast("bigint")
+
+    every = [(i, j) for i in range(K) for j in range(K)]
+    return cycles.groupBy(*keys).agg(*[F.coalesce(F.sum(shared(i, j)), F.lit(0)).alias(f"_c{i}{j}") for i, j in every])
+
+
+def interval_report(bounds: DataFrame, first: str, second: str, keys=(), gate: float = S.KAPPA_GATE) -> DataFrame:
+    """Raw agreement and weighted kappa of two annotators' cycles, from interval overlaps."""
+    return _scores(overlap_cells(bounds, first, second, keys), keys, gate)
+
+
+def report(paired: DataFrame, keys=(), gate: float = S.KAPPA_GATE) -> DataFrame:
+    """The same scores for labels that are paired frame by frame."""
     a, b = S.phase_index(F.col("label_a"), True), S.phase_index(F.col("label_b"), True)
     rows = paired.withColumn("_a", a).withColumn("_b", b)
     cells = [F.count_if((F.col("_a") == i) & (F.col("_b") == j)).alias(f"_c{i}{j}") for i in range(K) for j in range(K)]
-    wide = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), *cells)
+    return _scores(rows.groupBy(*keys).agg(*cells), keys, gate)
+
+
+def _scores(wide: DataFrame, keys, gate: float) -> DataFrame:
+    """Raw agreement and quadratic weighted kappa of a table of label pairs.
+
+    Kappa weights are squared rank distances among the labels either side uses, so an unused
+    middle label does not stretch the scale. One constant label on both sides gives null.
+    """
     cell = lambda i, j: F.col(f"_c{i}{j}")
     total = lambda parts: sum(parts[1:], parts[0])
+    every = [(i, j) for i in range(K) for j in range(K)]
+    wide = wide.withColumn("frames", total([cell(i, j) for i, j in every]))
     wide = wide.withColumns({f"_r{i}": total([cell(i, j) for j in range(K)]) for i in range(K)})
     wide = wide.withColumns({f"_s{j}": total([cell(i, j) for i in range(K)]) for j in range(K)})
     used = [F.when(F.col(f"_r{i}") + F.col(f"_s{i}") > 0, 1).otherwise(0) for i in range(K)]
     wide = wide.withColumns({f"_k{i}": total([F.lit(0), *used[:i]]) for i in range(K)})
     weight = lambda i, j: (F.col(f"_k{i}") - F.col(f"_k{j}")) * (F.col(f"_k{i}") - F.col(f"_k{j}"))
-    every = [(i, j) for i in range(K) for j in range(K)]
     seen = total([weight(i, j) * cell(i, j) for i, j in every])
-    chance = total([weight(i, j) * F.col(f"_r{i}") * F.col(f"_s{j}") for i, j in every])
+    chance = total([(weight(i, j) * F.col(f"_r{i}")).cast("double") * F.col(f"_s{j}") for i, j in every])
     same = total([cell(i, i) for i in range(K)])
-    kappa = F.lit(1.0) - F.try_divide(seen.cast("double"), chance / F.col("frames"))
+    kappa = F.lit(1.0) - F.try_divide(seen.cast("double"), F.try_divide(chance, F.col("frames")))
     out = wide.select(*keys, "frames", F.try_divide(same, F.col("frames")).alias("raw_agreement"), kappa.alias("weighted_kappa"))
     status = F.when(F.col("weighted_kappa") >= gate, "PASS").otherwise("FAIL")
     return out.withColumn("status", status)

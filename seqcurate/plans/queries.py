@@ -343,7 +343,7 @@ def annotator_pairs(spark, d):
 
 @query
 def annotator_agreement(spark, d):
-    return agreement.report(annotator_rows(spark, d))
+    return agreement.interval_report(G.human_boundaries(spark, d), "annotator_1", "annotator_2")
 
 
 @query

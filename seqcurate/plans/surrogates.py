@@ -202,20 +202,15 @@ def runs(spark, sf_dir) -> DataFrame:
 def human_boundaries(spark, sf_dir) -> DataFrame:
     """Two annotators: the machine's cycles, and the same with inner marks moved where order allows."""
     cycles = boundaries(spark, sf_dir)
-    first = cycles.select(
-        *S.MACHINE_BOUNDARY_COLUMNS[:4],
-        *[F.col(m).alias(h) for m, h in zip(S.MACHINE_MARKS, S.HUMAN_MARKS)],
-        F.lit("annotator_1").alias("annotator_id"),
-        "confidence",
-        F.lit("").alias("notes"),
-    )
+    start, a, b, c, stop = (F.col(m) for m in S.MACHINE_MARKS)
     move = F.pmod(F.split("subject_id", ":")[1].cast("bigint"), F.lit(3)) - 1
-    start, a, b, c, stop = S.HUMAN_MARKS
-    moved = first.withColumn("_m", move)
-    fits = (F.col(a) + F.col("_m") > F.col(start)) & (F.col(c) + F.col("_m") < F.col(stop))
-    step = F.when(fits, F.col("_m")).otherwise(0)
-    second = moved.withColumns({name: F.col(name) + step for name in (a, b, c)}).drop("_m")
-    return first.unionByName(second.withColumn("annotator_id", F.lit("annotator_2")))
+    step = F.when((a + move > start) & (c + move < stop), move).otherwise(0)
+    side = lambda who, by: F.struct(
+        *[v.alias(h) for h, v in zip(S.HUMAN_MARKS, (start, a + by, b + by, c + by, stop))], F.lit(who).alias("annotator_id")
+    )
+    both = F.explode(F.array(side("annotator_1", F.lit(0)), side("annotator_2", step))).alias("side")
+    rows = cycles.select(*S.MACHINE_BOUNDARY_COLUMNS[:4], "confidence", both)
+    return rows.select(*S.MACHINE_BOUNDARY_COLUMNS[:4], "side.*", "confidence", F.lit("").alias("notes"))
 
 
 # --- turns, vectors, curves, snapshots, inventory -----------------------------------------

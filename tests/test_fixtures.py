@@ -207,6 +207,31 @@ def test_expansion_and_disagreement(spark):
         agreement.boundary_disagreement(a, "a", "b", 25.0).collect()
 
 
+def test_interval_agreement_equals_frame_pairs(spark):
+    """Overlaps of intervals against one row per frame, with missing partners, empty intervals and open marks."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for cycle in range(60):
+        start = 100 * cycle
+        for who in ("a", "b"):
+            marks = sorted(start + rng.choice([0, 2, 2, 5, 9, 14, 30]) for _ in range(5))
+            if cycle % 11:
+                rows.append(("s", str(cycle), *marks, who))
+        if cycle % 13 == 0:
+            rows = rows[:-1]
+    rows.append(("s", "open", 1, 2, None, 9, 12, "a"))
+    rows.append(("s", "open", 1, 3, 5, 8, 12, "b"))
+    bounds = spark.createDataFrame(rows, "sequence_id string, cycle_id string, " + ", ".join(f"{c} bigint" for c in S.HUMAN_MARKS) + ", annotator_id string")
+    pairs = agreement.pairs(labels.expand(bounds, ["sequence_id", "cycle_id", "annotator_id"], S.HUMAN_MARKS), "a", "b")
+    got, want = agreement.interval_report(bounds, "a", "b").first(), agreement.report(pairs).first()
+    assert got["frames"] == want["frames"] > 500
+    assert got["raw_agreement"] == pytest.approx(want["raw_agreement"]) and got["weighted_kappa"] == pytest.approx(want["weighted_kappa"])
+    none = agreement.interval_report(bounds.limit(0), "a", "b").first()
+    assert (none["frames"], none["raw_agreement"], none["weighted_kappa"], none["status"]) == (0, None, None, "FAIL")
+
+
 def test_kappa_ranks_present_labels(spark):
     def pair(rows):
         return agreement.report(spark.createDataFrame(rows, "label_a string, label_b string")).first()
