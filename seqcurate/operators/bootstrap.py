@@ -1,15 +1,15 @@
 """Subject-clustered resampling.
 
 Draws are hash counters (iteration, position), so any engine and any partitioning gives the
-same resamples. A resample is a mean of subject scores: iterations x subjects small rows are
-generated from the score table in parallel and combined before the shuffle.
+same resamples. A subject is a row of sufficient statistics that add up (a score and a count, or label
+counts); a resample is the sum of the drawn rows, and a metric is an expression over the sums. Iterations x
+subjects small rows are generated in parallel and combined before the shuffle; the rows behind the
+statistics are read once, whatever the number of iterations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -23,8 +23,6 @@ ITERATIONS = 2000
 WORDS = 8
 #: Iterations generated per input row after they are spread over the tasks.
 CHUNK = 100
-#: Largest score table (rows) that is broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def _checked(iterations: int) -> None:
@@ -32,12 +30,12 @@ def _checked(iterations: int) -> None:
         raise ValueError("Use at least 100 bootstrap iterations.")
 
 
-def numbered(scores: DataFrame, keys, value: str) -> DataFrame:
-    """Positions of the subjects in hash order, and their number (two at least)."""
-    rows = scores.select(*keys, "subject_id", value).withColumn("_h", F.sha2("subject_id", 256))
+def numbered(stats: DataFrame, keys, values: list[str]) -> DataFrame:
+    """Positions of the subjects in hash order, and their number (two at least), written once."""
+    rows = stats.select(*keys, "subject_id", *values).withColumn("_h", F.sha2("subject_id", 256))
     out = blocks.rank(rows, list(keys), ["_h", "subject_id"], F.substring("_h", 1, 3), "_pos", "_size")
     few = F.raise_error(F.lit("Clustered bootstrap needs at least two subjects.")).cast("bigint")
-    return out.withColumn("_size", F.when(F.col("_size") < 2, few).otherwise(F.col("_size"))).drop("_h")
+    return stage(out.withColumn("_size", F.when(F.col("_size") < 2, few).otherwise(F.col("_size"))).drop("_h"), "statistics")
 
 
 def draws(scores: DataFrame, keys, iterations: int, seed: int) -> DataFrame:
@@ -61,66 +59,91 @@ def draws(scores: DataFrame, keys, iterations: int, seed: int) -> DataFrame:
     return rows.select(*keys, "_b", (F.col("_pos") + F.col("_k")).alias("_at"), draw.alias("_draw"))
 
 
-def resampled_means(scores: DataFrame, keys, value: str, iterations: int, seed: int) -> DataFrame:
-    """Mean of the drawn scores per (key, iteration).
+def resampled(base: DataFrame, keys, values: list[str], iterations: int, seed: int) -> DataFrame:
+    """Sums of the drawn statistics per (key, iteration); ``_size`` subjects each.
 
-    The score table (one row per subject) is staged, so its size is known: up to
-    ``BROADCAST_ROWS`` it is broadcast and the draws are reduced where they are made, beyond
-    that the draws are shuffled to the scores.
+    ``base`` is a written table, so Spark knows its size and broadcasts it or shuffles the draws to it.
     """
-    base = stage(numbered(scores, keys, value), "scores")
-    values = base.select(*keys, "_pos", value)
-    if base.count() <= BROADCAST_ROWS:
-        values = F.broadcast(values)
-    picked = draws(base, keys, iterations, seed).drop("_at").withColumnRenamed("_draw", "_pos")
-    return picked.join(values, [*keys, "_pos"]).groupBy(*keys, "_b").agg(F.avg(value).alias("_mean"))
+    picked = draws(base, keys, iterations, seed).drop("_at", "_size").withColumnRenamed("_draw", "_pos")
+    sums = [F.sum(v).alias(v) for v in values]
+    return picked.join(base.select(*keys, "_pos", "_size", *values), [*keys, "_pos"]).groupBy(*keys, "_b", "_size").agg(*sums)
 
 
 def _combine(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.join(right, list(keys)) if keys else blocks.one_row(left, right)
 
 
+def _bounds(column: str, confidence: float) -> list[Column]:
+    alpha = (1.0 - confidence) / 2.0
+    return [F.percentile(column, F.lit(alpha)).alias("lower"), F.percentile(column, F.lit(1.0 - alpha)).alias("upper")]
+
+
 def interval(
     scores: DataFrame, keys=(), value: str = "macro_f1", iterations: int = ITERATIONS, confidence: float = 0.95, seed: int = S.SEED
 ) -> DataFrame:
     """Percentile interval of the mean subject score."""
     _checked(iterations)
-    alpha = (1.0 - confidence) / 2.0
-    means = resampled_means(scores, keys, value, iterations, seed)
-    bounds = means.groupBy(*keys).agg(
-        F.percentile("_mean", F.lit(alpha)).alias("lower"), F.percentile("_mean", F.lit(1.0 - alpha)).alias("upper")
-    )
-    point = scores.groupBy(*keys).agg(F.avg(value).alias("estimate"), F.count(F.lit(1)).alias("subjects"))
+    base = numbered(scores, keys, [value])
+    means = resampled(base, keys, [value], iterations, seed).withColumn("_mean", F.col(value) / F.col("_size"))
+    bounds = means.groupBy(*keys).agg(*_bounds("_mean", confidence))
+    point = base.groupBy(*keys).agg(F.avg(value).alias("estimate"), F.count(F.lit(1)).alias("subjects"))
     out = _combine(point, bounds, keys)
     return out.withColumn("confidence", F.lit(confidence)).withColumn("iterations", F.lit(iterations).cast("bigint"))
 
 
+def metric_intervals(
+    stats: DataFrame,
+    metrics_of: dict[str, Column],
+    keys=(),
+    iterations: int = ITERATIONS,
+    confidence: float = 0.95,
+    seed: int = S.SEED,
+) -> DataFrame:
+    """Percentile intervals of any metrics of summed subject statistics, one row per key and metric.
+
+    ``stats`` has one row per (key, subject) whose numeric columns add up (``metrics.subject_counts``);
+    ``metrics_of`` maps names to expressions over the sums (``metrics.frame_metrics``). A subject drawn
+    twice counts twice. All metrics share the draws.
+    """
+    _checked(iterations)
+    values = [c for c in stats.columns if c not in (*keys, "subject_id")]
+    base = numbered(stats, keys, values)
+    drawn = resampled(base, keys, values, iterations, seed)
+    whole = base.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values], F.count(F.lit(1)).alias("subjects"))
+    each = lambda sums, *more: sums.select(
+        *keys, *more, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), m.alias("value")) for n, m in metrics_of.items()])).alias("_m")
+    ).select(*keys, *more, "_m.*")
+    bounds = each(drawn).groupBy(*keys, "metric").agg(*_bounds("value", confidence))
+    out = each(whole, "subjects").withColumnRenamed("value", "estimate").join(bounds, [*keys, "metric"])
+    out = out.withColumn("confidence", F.lit(confidence)).withColumn("iterations", F.lit(iterations).cast("bigint"))
+    return out.select(*keys, "metric", "estimate", "lower", "upper", "subjects", "confidence", "iterations")
+
+
 def paired(left: DataFrame, right: DataFrame, keys=(), iterations: int = ITERATIONS, seed: int = S.SEED) -> DataFrame:
     """Resampled mean difference of subject scores of two prediction tables.
 
     ``unpaired_rows`` counts rows of either side without an exact partner (sample, subject,
-    truth) and must be zero for a valid comparison.
+    truth) and must be zero for a valid comparison. Both sides are read once: a subject's label counts
+    of either side and its unpaired rows come from one grouping of the join.
     """
     _checked(iterations)
     on = [*keys, "sample_id", "subject_id", "y_true"]
     a = left.select(*on, F.col("y_pred").alias("_left"))
     b = right.select(*on, F.col("y_pred").alias("_right"))
     both = a.join(b, on, "full_outer")
-    missing = both.groupBy(*keys).agg(
-        F.count_if(F.col("_left").isNull() | F.col("_right").isNull()).alias("unpaired_rows")
-    )
-    matched = both.filter("_left is not null and _right is not null")
-    long = matched.select(*on, F.expr("stack(2, 1, _left, -1, _right) as (_sign, y_pred)"))
-    scores = metrics.subject_scores(long, [*keys, "_sign"])
-    gaps = scores.groupBy(*keys, "subject_id").agg(F.sum(F.col("_sign") * F.col("macro_f1")).alias("difference"))
-    means = resampled_means(gaps, keys, "difference", iterations, seed)
-    bounds = means.groupBy(*keys).agg(
-        F.percentile("_mean", F.lit(0.025)).alias("lower"),
-        F.percentile("_mean", F.lit(0.975)).alias("upper"),
-        F.avg((F.col("_mean") > 0).cast("double")).alias("probability_left_better"),
+    matched = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    sides = {"_left": 1, "_right": -1}
+    counts = [c for side in sides for c in metrics.label_counts("y_true", side, matched, side)]
+    wide = both.groupBy(*keys, "subject_id").agg(F.count_if(~matched).alias("_unpaired"), F.count_if(matched).alias("_matched"), *counts)
+    gap = sum((sign * metrics.macro_f1(side) for side, sign in sides.items()), F.lit(0.0))
+    gaps = stage(wide.select(*keys, "subject_id", "_unpaired", "_matched", gap.alias("difference")), "differences")
+    base = numbered(gaps.filter("_matched > 0"), keys, ["difference"])
+    means = resampled(base, keys, ["difference"], iterations, seed).withColumn("_mean", F.col("difference") / F.col("_size"))
+    bounds = means.groupBy(*keys).agg(*_bounds("_mean", 0.95), F.avg((F.col("_mean") > 0).cast("double")).alias("probability_left_better"))
+    point = gaps.groupBy(*keys).agg(
+        F.avg(F.when(F.col("_matched") > 0, F.col("difference"))).alias("estimate"), F.sum("_unpaired").alias("unpaired_rows")
     )
-    point = gaps.groupBy(*keys).agg(F.avg("difference").alias("estimate"))
-    return _combine(_combine(point, bounds, keys), missing, keys)
+    return _combine(point, bounds, keys)
 
 
 def paired_checked(left: DataFrame, right: DataFrame, keys=(), iterations: int = ITERATIONS, seed: int = S.SEED) -> DataFrame:
@@ -129,36 +152,3 @@ def paired_checked(left: DataFrame, right: DataFrame, keys=(), iterations: int =
     out = paired(left, right, keys, iterations, seed)
     ok = F.when(F.col("unpaired_rows") == 0, F.col("estimate")).otherwise(F.raise_error(text).cast("double"))
     return out.withColumn("estimate", ok).drop("unpaired_rows")
-
-
-def generic_interval(
-    df: DataFrame,
-    metric: Callable[[DataFrame, list[str]], DataFrame],
-    iterations: int = ITERATIONS,
-    confidence: float = 0.95,
-    seed: int = S.SEED,
-) -> DataFrame:
-    """Interval of any keyed metric, for those that do not decompose by subject.
-
-    ``metric(table, keys)`` returns one row per key with a ``value`` column, as the functions
-    of ``metrics`` do; all resamples are scored by one keyed aggregation. A subject drawn twice
-    counts as two subjects.
-    """
-    _checked(iterations)
-    subjects = numbered(df.select("subject_id").distinct().withColumn("_v", F.lit(0)), (), "_v")
-    plan = draws(subjects, (), iterations, seed).withColumnRenamed("_draw", "_pos")
-    plan = plan.join(subjects.select("_pos", "subject_id"), "_pos").select("_b", "_at", "subject_id")
-    again = df.join(plan, "subject_id").withColumn(
-        "subject_id", F.concat("subject_id", F.lit("#bootstrap-"), F.col("_at").cast("string"))
-    )
-    scored = metric(again.drop("_at"), ["_b"]).select("_b", "value")
-    point = metric(df, []).select(F.lit(-1).alias("_b"), "value")
-    alpha = (1.0 - confidence) / 2.0
-    sample = F.when(F.col("_b") >= 0, F.col("value"))
-    return scored.unionByName(point).agg(
-        F.max(F.when(F.col("_b") < 0, F.col("value"))).alias("estimate"),
-        F.percentile(sample, F.lit(alpha)).alias("lower"),
-        F.percentile(sample, F.lit(1.0 - alpha)).alias("upper"),
-        F.lit(confidence).alias("confidence"),
-        F.lit(iterations).cast("bigint").alias("iterations"),
-    )

@@ -19,16 +19,27 @@ def _indexed(df: DataFrame) -> DataFrame:
     return df.withColumn("_t", S.phase_index(F.col("y_true"), True)).withColumn("_p", S.phase_index(F.col("y_pred"), True))
 
 
-def _counts() -> list[Column]:
-    hit = (F.col("_t") == F.col("_p"))
-    out = [F.count(F.lit(1)).alias("_n")]
+def _tallies(true: Column, found: Column, rows: Column, prefix: str = "") -> list[Column]:
+    """Rows by label index, true, predicted and both, among ``rows``."""
+    out = []
     for i in range(K):
-        out.append(F.count_if(F.col("_t") == i).alias(f"_t{i}"))
-        out.append(F.count_if(F.col("_p") == i).alias(f"_p{i}"))
-        out.append(F.count_if(hit & (F.col("_t") == i)).alias(f"_h{i}"))
+        out.append(F.count_if(rows & (true == i)).alias(f"{prefix}_t{i}"))
+        out.append(F.count_if(rows & (found == i)).alias(f"{prefix}_p{i}"))
+        out.append(F.count_if(rows & (true == i) & (found == i)).alias(f"{prefix}_h{i}"))
     return out
 
 
+def label_counts(true: str, found: str, rows: Column, prefix: str = "") -> list[Column]:
+    """Aggregates of two label columns, of the rows where ``rows`` holds; the counts that all scores come from."""
+    # An unknown label stops the job; a row outside ``rows`` has none to check.
+    index = lambda c: F.when(rows, S.phase_index(F.col(c), True))
+    return _tallies(index(true), index(found), rows, prefix)
+
+
+def _counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("_n"), *_tallies(F.col("_t"), F.col("_p"), F.lit(True))]
+
+
 _COUNT_NAMES = ["_n"] + [f"_{kind}{i}" for i in range(K) for kind in "tph"]
 
 
@@ -36,20 +47,27 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
-def _f1(i: int) -> Column:
-    return _ratio(2 * F.col(f"_h{i}"), F.col(f"_t{i}") + F.col(f"_p{i}"))
+def _f1(i: int, prefix: str = "") -> Column:
+    return _ratio(2 * F.col(f"{prefix}_h{i}"), F.col(f"{prefix}_t{i}") + F.col(f"{prefix}_p{i}"))
 
 
-def _macro_f1() -> Column:
-    return sum((_f1(i) for i in range(1, K)), _f1(0)) / F.lit(float(K))
+def macro_f1(prefix: str = "") -> Column:
+    """Mean F1 over all labels of summed label counts; an absent label counts as zero."""
+    return sum((_f1(i, prefix) for i in range(1, K)), _f1(0, prefix)) / F.lit(float(K))
 
 
-def _balanced() -> Column:
+def balanced_accuracy() -> Column:
+    """Mean recall over the labels that occur, of summed label counts."""
     total, present = F.lit(0.0), F.lit(0)
     for i in range(K):
         total = total + _ratio(F.col(f"_h{i}"), F.col(f"_t{i}"))
         present = present + F.when(F.col(f"_t{i}") > 0, 1).otherwise(0)
-    return total / present
+    return F.try_divide(total, present)
+
+
+def frame_metrics() -> dict[str, Column]:
+    """Metrics of summed subject counts, by name."""
+    return {"frame_macro_f1": macro_f1(), "balanced_accuracy": balanced_accuracy()}
 
 
 def subject_counts(df: DataFrame, keys=()) -> DataFrame:
@@ -58,13 +76,13 @@ def subject_counts(df: DataFrame, keys=()) -> DataFrame:
 
 def subject_scores(df: DataFrame, keys=()) -> DataFrame:
     """Macro-F1 per subject over all labels; an absent label counts as zero."""
-    out = subject_counts(df, keys).withColumn("macro_f1", _macro_f1())
+    out = subject_counts(df, keys).withColumn("macro_f1", macro_f1())
     return out.select(*keys, "subject_id", F.col("_n").alias("samples"), "macro_f1")
 
 
 def overall(df: DataFrame, keys=()) -> DataFrame:
     """Samples, subjects, subject and frame macro-F1 and balanced accuracy per key."""
-    per_subject = subject_counts(df, keys).withColumn("_score", _macro_f1())
+    per_subject = subject_counts(df, keys).withColumn("_score", macro_f1())
     sums = [F.sum(c).alias(c) for c in _COUNT_NAMES]
     out = per_subject.groupBy(*keys).agg(
         *sums, F.count(F.lit(1)).alias("subjects"), F.avg("_score").alias("subject_macro_f1")
@@ -74,8 +92,8 @@ def overall(df: DataFrame, keys=()) -> DataFrame:
         F.col("_n").alias("samples"),
         "subjects",
         "subject_macro_f1",
-        _macro_f1().alias("frame_macro_f1"),
-        _balanced().alias("balanced_accuracy"),
+        macro_f1().alias("frame_macro_f1"),
+        balanced_accuracy().alias("balanced_accuracy"),
     )
 
 

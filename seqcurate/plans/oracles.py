@@ -817,6 +817,37 @@ oracle(
     FROM (SELECT avg(macro_f1) AS e, count(*) AS subjects FROM scores) a,
       (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM ({resample('scores', 'macro_f1')}) r) b""",
 )
+cte("boot_cells", "base ids", f"{class_counts('base', 'condition, subject_id')}")
+cte(
+    "boot_members",
+    "boot_cells",
+    """SELECT condition, subject_id, row_number() OVER (PARTITION BY condition ORDER BY sha256(subject_id)) - 1 AS pos,
+      count(*) OVER (PARTITION BY condition) AS size FROM (SELECT DISTINCT condition, subject_id FROM boot_cells) m""",
+)
+cte(
+    "boot_drawn",
+    "boot_members",
+    """SELECT x.condition, x.b, y.subject_id FROM (
+      SELECT m.condition, d.b, CAST('0x' || substr(sha256('20260827:' || d.b || ':' || (m.pos // 8)), 1 + 8 * (m.pos % 8), 8) AS BIGINT) % m.size AS pos
+      FROM boot_members m, (SELECT unnest(generate_series(0, 1999)) AS b) d) x JOIN boot_members y USING (condition, pos)
+    UNION ALL SELECT condition, -1, subject_id FROM boot_members""",
+)
+cte(
+    "boot_resampled",
+    "boot_drawn boot_cells",
+    f"""SELECT condition, b, avg({F1}) AS frame_macro_f1, avg(CASE WHEN nt > 0 THEN nh / nt END) AS balanced_accuracy
+    FROM (SELECT condition, b, i, sum(nt) AS nt, sum(np) AS np, sum(nh) AS nh FROM boot_drawn JOIN boot_cells USING (condition, subject_id) GROUP BY 1, 2, 3) c
+    GROUP BY 1, 2""",
+)
+oracle(
+    "metric_intervals",
+    "boot_resampled boot_members",
+    """SELECT condition, metric, round(max(v) FILTER (WHERE b = -1), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (WHERE b >= 0), 6) AS lower,
+      round(quantile_cont(v, 0.975) FILTER (WHERE b >= 0), 6) AS upper, any_value(size) AS subjects,
+      CAST(0.95 AS DOUBLE) AS confidence, 2000::BIGINT AS iterations
+    FROM (SELECT condition, b, unnest(['frame_macro_f1', 'balanced_accuracy']) AS metric, unnest([frame_macro_f1, balanced_accuracy]) AS v FROM boot_resampled) r
+    JOIN (SELECT DISTINCT condition, size FROM boot_members) s USING (condition) GROUP BY 1, 2""",
+)
 cte("wscores", "wide ids", f"SELECT subject_id, avg({F1}) AS macro_f1 FROM ({class_counts('wide', 'subject_id')}) c GROUP BY 1")
 cte("gaps", "scores wscores", "SELECT subject_id, s.macro_f1 - w.macro_f1 AS d FROM scores s JOIN wscores w USING (subject_id)")
 oracle(

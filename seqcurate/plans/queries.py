@@ -446,6 +446,12 @@ def bootstrap_interval(spark, d):
     return bootstrap.interval(metrics.subject_scores(G.predictions(spark, d)))
 
 
+@query
+def metric_intervals(spark, d):
+    counts = metrics.subject_counts(G.predictions(spark, d), ["condition"])
+    return bootstrap.metric_intervals(counts, metrics.frame_metrics(), ["condition"])
+
+
 @query
 def paired_difference(spark, d):
     return bootstrap.paired(G.predictions(spark, d, "base"), G.predictions(spark, d, "wide"))

@@ -314,11 +314,42 @@ def test_unknown_label_stops(spark):
         metrics.overall(df).collect()
 
 
-def test_generic_interval_equals_the_fast_one(spark):
+def test_metric_intervals_equal_scored_resamples(spark):
+    """Summed statistics against scoring every resample's own rows."""
+    import hashlib
+    import statistics
+
+    rows = [(f"{s}{i}", s, P[(i * k) % 4], P[(i * k + (i % (k + 2) == 0)) % 4]) for k, s in enumerate("uvwxyz") for i in range(5 + 3 * k)]
+    df = spark.createDataFrame(rows, "sample_id string, subject_id string, y_true string, y_pred string")
+    got = {r["metric"]: r for r in bootstrap.metric_intervals(metrics.subject_counts(df), metrics.frame_metrics(), iterations=100).collect()}
+
+    def scores(sample):
+        f1, recall = [], []
+        for p in P:
+            t, g, h = (sum(n) for n in zip(*[(r[2] == p, r[3] == p, r[2] == r[3] == p) for r in sample]))
+            f1.append(2 * h / (t + g) if t + g else 0.0)
+            recall += [h / t] if t else []
+        return statistics.mean(f1), statistics.mean(recall)
+
+    names = sorted("uvwxyz", key=lambda s: hashlib.sha256(s.encode()).hexdigest())
+    draws = []
+    for b in range(100):
+        words = hashlib.sha256(f"{S.SEED}:{b}:0".encode()).hexdigest()
+        picked = [names[int(words[8 * k : 8 * k + 8], 16) % 6] for k in range(6)]
+        draws.append(scores([r for name in picked for r in rows if r[1] == name]))
+    cut = lambda values, q: sorted(values)[int(q)] + (q % 1) * (sorted(values)[int(q) + 1] - sorted(values)[int(q)])
+    for k, name in enumerate(("frame_macro_f1", "balanced_accuracy")):
+        values = [d[k] for d in draws]
+        assert got[name]["estimate"] == pytest.approx(scores(rows)[k]) and got[name]["subjects"] == 6
+        assert got[name]["lower"] == pytest.approx(cut(values, 99 * 0.025)) and got[name]["upper"] == pytest.approx(cut(values, 99 * 0.975))
+
+
+def test_metric_intervals_of_means_equal_the_fast_ones(spark):
     df = predictions(spark, {("u", 1), ("u", 2)})
-    fast = bootstrap.interval(metrics.subject_scores(df), iterations=100).first()
-    score = lambda t, keys: metrics.overall(t, keys).select(*keys, F.col("subject_macro_f1").alias("value"))
-    slow = bootstrap.generic_interval(df, score, iterations=100).first()
+    scores = metrics.subject_scores(df)
+    fast = bootstrap.interval(scores, iterations=100).first()
+    stats = scores.select("subject_id", "macro_f1", F.lit(1).alias("n"))
+    slow = bootstrap.metric_intervals(stats, {"mean": F.col("macro_f1") / F.col("n")}, iterations=100).first()
     for name in ("estimate", "lower", "upper"):
         assert slow[name] == pytest.approx(fast[name], abs=1e-12)
     one = df.filter("subject_id = 'u'")
