@@ -1279,3 +1279,36 @@ oracle(
     FROM (SELECT vec_id, list_transform(generate_series(1, len(embedding)), lambda i: abs(embedding[i] - prev[i])) AS m
       FROM (SELECT *, coalesce(lag(embedding) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id), embedding) AS prev FROM embeddings) a) b""",
 )
+
+# --- hashes within a Hamming distance -----------------------------------------------------------
+
+_OFTEN = ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz")
+_SKETCH = " || ".join(f"CASE WHEN n[{i + 1}] > n[{i + step + 1}] THEN '1' ELSE '0' END" for step, size in ((1, 25), (2, 24), (3, 15)) for i in range(size))
+cte(
+    "sketches",
+    "",
+    f"""SELECT lang, lang || ':' || source AS subject_id, bits, array_to_string(list_transform(range(0, 16), lambda i:
+        substr('0123456789abcdef', 1 + 8 * CAST(bits[4 * i + 1] AS INT) + 4 * CAST(bits[4 * i + 2] AS INT) + 2 * CAST(bits[4 * i + 3] AS INT) + CAST(bits[4 * i + 4] AS INT), 1)), '') AS sketch
+    FROM (SELECT *, {_SKETCH} AS bits FROM (SELECT lang, source, [{_OFTEN}] AS n FROM (SELECT lang, source, lower(coalesce(text, '')) AS t FROM documents) d) c) b""",
+)
+cte(
+    "sketch_links",
+    "sketches",
+    """SELECT a.sketch AS u, b.sketch AS v FROM (SELECT DISTINCT sketch, bits FROM sketches) a, (SELECT DISTINCT sketch, bits FROM sketches) b
+    WHERE bit_count(xor(CAST(a.bits AS BIT), CAST(b.bits AS BIT))) <= 2""",
+)
+cte(
+    "sketch_walk",
+    "sketch_links",
+    """SELECT u, v FROM sketch_links UNION SELECT w.u, l.v FROM sketch_walk w JOIN sketch_links l ON w.v = l.u""",
+)
+cte("sketch_groups", "sketch_walk", "SELECT u AS sketch, min(v) AS near_group FROM sketch_walk GROUP BY 1")
+oracle("near_hash_groups", "sketch_groups sketches", "SELECT sketch, count(*) AS samples, any_value(near_group) AS near_group FROM sketches JOIN sketch_groups USING (sketch) GROUP BY 1")
+oracle(
+    "near_hash_audit",
+    "sketch_groups sketches",
+    """SELECT near_group, count(*) AS samples, count(DISTINCT subject_id) AS subjects, count(DISTINCT lang) AS datasets, count(DISTINCT subject_id) AS sequences
+    FROM sketches JOIN sketch_groups USING (sketch) GROUP BY 1 HAVING count(*) > 1""",
+)
+for _name in ("near_hash_groups", "near_hash_audit"):
+    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)

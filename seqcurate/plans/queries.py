@@ -15,6 +15,7 @@ from ..operators import (
     bootstrap,
     catalogue,
     dedupe,
+    hamming,
     labels,
     lineage,
     metrics,
@@ -89,6 +90,18 @@ def duplicate_audit_perceptual(spark, d):
     return out.orderBy(F.desc("subjects"), F.desc("samples"), "perceptual_hash")
 
 
+@query
+def near_hash_groups(spark, d):
+    return hamming.near_groups(G.sketches(spark, d), "sketch")
+
+
+@query
+def near_hash_audit(spark, d):
+    rows = G.sketches(spark, d)
+    groups = hamming.near_groups(rows, "sketch").select("sketch", "near_group")
+    return dedupe.audit_near(rows.join(groups, "sketch"), "near_group")
+
+
 @query
 def duplicate_audit_summary(spark, d):
     df = G.grouped(spark, d)

@@ -89,6 +89,27 @@ def manifest(spark, sf_dir) -> DataFrame:
     return shared(spark, sf_dir, "manifest", build)
 
 
+#: Letter distances whose counts are compared: 25 + 24 + 15 = 64 bits.
+SKETCH = ((1, 25), (2, 24), (3, 15))
+
+
+def sketches(spark, sf_dir) -> DataFrame:
+    """A 64-bit sketch of each document: which of two letters is the more frequent. Close texts differ in few bits."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.alias("_text"))
+    often = F.array(*[F.length("_text") - F.length(F.replace("_text", F.lit(c), F.lit(""))) for c in letters])
+    rows = rows.select("doc_id", "lang", "source", often.alias("_n"))
+    bits = [F.when(F.get("_n", F.lit(i)) > F.get("_n", F.lit(i + step)), "1").otherwise("0") for step, n in SKETCH for i in range(n)]
+    return rows.select(
+        F.col("doc_id").cast("string").alias("sample_id"),
+        F.col("lang").alias("dataset"),
+        ids.namespaced("lang", "source").alias("subject_id"),
+        ids.namespaced("lang", "source").alias("sequence_id"),
+        F.lower(F.lpad(F.conv(F.concat(*bits), 2, 16), 16, "0")).alias("sketch"),
+    )
+
+
 # --- signal: events in time order per user ------------------------------------------------
 
 
