@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from . import dedupe
 
 
@@ -119,21 +120,51 @@ def collections(df: DataFrame, key: str = "collection", subject: str = "subject_
     return whole.join(subjects, key)
 
 
+#: Paths under one folder of a move list that meet it in one join key.
+UNDER = 65_536
+
+
+def _prefixes(depths: list[int]) -> Column:
+    """(depth, prefix) of a path at the given depths that it has; depth 0 stands for no move."""
+    parts = F.split(F.coalesce("path", F.lit("")), "/")
+    cut = F.transform(F.array(*[F.lit(d) for d in depths]), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, 1, d), "/").alias("source")))
+    return F.filter(cut, lambda c: c["depth"] <= F.size(parts))
+
+
+def _spread(before: DataFrame, moves: DataFrame, depths: list[int]) -> dict[int, int]:
+    """Per depth into how many keys its sources are cut, so that none holds many more than ``UNDER`` paths."""
+    paths = before.select(F.explode(_prefixes(depths)).alias("p")).select("p.*").groupBy("depth", "source").agg(F.count(F.lit(1)).alias("n"))
+    most = paths.join(moves.select("source"), "source").groupBy("depth").agg(F.max("n").alias("n"))
+    return {r["depth"]: r["n"] // UNDER + 1 for r in most.collect()}  # one row a depth
+
+
 def relocation(before: DataFrame, after: DataFrame, moves: DataFrame) -> DataFrame:
     """Map every old path by its longest matching prefix and compare contents at the new path.
 
-    ``moves`` (source, destination) is a hand-written list. Each old path looks up its own
-    directory prefixes, so the match is an equi join that works for a list of any size.
+    ``moves`` (source, destination) may have any size; of repeated sources the first destination holds. A path
+    looks its prefixes up at the depths that occur in the list only. A folder that very many paths lie under is
+    cut into several join keys, by a hash of the path, as many as its depth needs; so no folder's paths meet
+    in one task, and sources of deep levels are not multiplied.
     """
-    parts = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    tried = before.select("path", "sha256", F.explode(prefixes).alias("source")).join(moves, "source")
-    best = tried.groupBy("path", "sha256").agg(F.max_by(F.struct("source", "destination"), F.length("source")).alias("_m"))
-    moved = before.join(best.select("path", "_m"), "path", "left")
-    target = F.when(F.col("_m").isNull(), F.col("path")).otherwise(
-        F.concat(F.col("_m.destination"), F.expr("substring(path, length(_m.source) + 1)"))
-    )
+    moves = moves.groupBy("source").agg(F.min("destination").alias("destination")).withColumn("depth", F.size(F.split("source", "/")))
+    moves = stage(moves, "moves")
+    depths = sorted(r["depth"] for r in moves.select("depth").distinct().collect())
+    keys = _spread(before, moves, depths) if depths else {}
+    cuts = F.create_map(*[F.lit(v) for d in depths for v in (d, keys.get(d, 1))]) if depths else None
+    tried = before.select("path", "sha256", F.explode(F.array_append(_prefixes(depths), F.struct(F.lit(0).alias("depth"), F.lit("").alias("source")))).alias("p"))
+    tried = tried.select("path", "sha256", "p.*")
+    if depths:
+        listed = moves.withColumn("cut", F.explode(F.sequence(F.lit(0), F.element_at(cuts, F.col("depth")) - 1)))
+        cut = F.pmod(F.xxhash64("path"), F.coalesce(F.try_element_at(cuts, F.col("depth")), F.lit(1)))
+        # Sources differ in depth where they differ in name; a path without a move keeps its depth 0 row, under its own name.
+        key = F.when(F.col("depth") > 0, F.col("source")).otherwise(F.concat(F.lit("/"), "path"))
+        tried = tried.withColumn("cut", cut.cast("int")).withColumn("source", key).join(listed.drop("depth"), ["source", "cut"], "left")
+    else:
+        tried = tried.withColumn("destination", F.lit(None).cast("string"))
+    tried = tried.where((F.col("depth") == 0) | F.col("destination").isNotNull())
+    best = tried.groupBy("path", "sha256").agg(F.max(F.struct("depth", "source", "destination")).alias("_m"))
+    moved = F.concat("_m.destination", F.expr("substring(path, length(_m.source) + 1)"))
+    best = best.select("path", "sha256", F.when(F.col("_m.depth") > 0, moved).otherwise(F.col("path")).alias("new_path"))
     found = after.select(F.col("path").alias("new_path"), F.col("sha256").alias("_now"))
-    out = moved.withColumn("new_path", target).join(found, "new_path", "left")
     state = F.when(F.col("_now").isNull(), "missing").when(F.col("_now") == F.col("sha256"), "verified").otherwise("changed")
-    return out.select("path", "new_path", state.alias("result"))
+    return best.join(found, "new_path", "left").select("path", "new_path", state.alias("result"))

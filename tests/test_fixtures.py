@@ -572,6 +572,33 @@ def test_lineage_agreement_and_conflict(spark):
     }
 
 
+@pytest.mark.parametrize("under", [3, 65_536])
+def test_relocation_by_longest_prefix(spark, monkeypatch, under):
+    """Crowded folders, nested moves, a file's own move, names that begin alike, paths without a move."""
+    monkeypatch.setattr(lineage, "UNDER", under)
+    moves = {"a": "data/a", "a/b": "x", "a/b/c.txt": "single.txt", "q/r/s": "deep", "never": "used"}
+    paths = [f"a/{k}.txt" for k in range(40)] + [f"a/b/{k}.txt" for k in range(9)] + ["a/b/c.txt", "ab/1.txt", "q/r/s", "q/r/s/t/u.txt", "q/r/1.txt", "a", "alone.txt"]
+
+    def target(path):
+        parts = path.split("/")
+        for n in range(len(parts), 0, -1):
+            head = "/".join(parts[:n])
+            if head in moves:
+                return moves[head] + path[len(head) :]
+        return path
+
+    before = spark.createDataFrame([(p, f"h{p}") for p in paths], "path string, sha256 string")
+    there = [(target(p), "other" if k % 7 == 0 else f"h{p}") for k, p in enumerate(paths) if k % 5]
+    after = spark.createDataFrame(there, "path string, sha256 string")
+    table = lambda rows: spark.createDataFrame(rows, "source string, destination string")
+    got = {r["path"]: (r["new_path"], r["result"]) for r in lineage.relocation(before, after, table([*moves.items(), ("a", "z")])).collect()}
+    have = dict(there)
+    state = lambda p, new: "missing" if new not in have else "verified" if have[new] == f"h{p}" else "changed"
+    assert got == {p: (target(p), state(p, target(p))) for p in paths}
+    same = lineage.relocation(before, after, table([])).collect()
+    assert {r["path"]: r["new_path"] for r in same} == {p: p for p in paths}
+
+
 def test_safe_components(spark):
     df = spark.createDataFrame([("a:b c",), ("..x..",), ("file.PNG",)], "v string")
     got = [r[0] for r in df.select(ids.safe_component(F.col("v"))).collect()]
