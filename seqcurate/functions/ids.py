@@ -66,16 +66,33 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in text})
 
 
-def content_digest(df: DataFrame, *columns: str) -> DataFrame:
-    """Order-insensitive digest of a table of ``path:checksum`` lines.
+#: A line's sha-256 as numbers of 7 hex digits: a sum of them stays in a long for 3 * 10^10 lines, and beyond that the job stops.
+WORDS = 9
+WORD_NAMES = tuple(f"w{k}" for k in range(WORDS))
 
-    Each line's sha-256 is cut into eight 32-bit numbers that are summed, so the aggregate is
+
+def line_hash(*columns) -> Column:
+    return F.sha2(F.concat_ws(":", *columns), 256)
+
+
+def word_sums(line: Column) -> list[Column]:
+    """Aggregates: the sums of the numbers of all lines; sums of sums are the sums of the whole."""
+    number = lambda k: F.conv(F.substring(line, 7 * k + 1, 7), 16, 10).cast("bigint")
+    return [F.sum(number(k)).alias(name) for k, name in enumerate(WORD_NAMES)]
+
+
+def digest_of(entries: str = "entries") -> Column:
+    """Hex digest of a row with a number of lines and their word sums."""
+    words = [F.coalesce(F.col(w).cast("decimal(38,0)"), F.lit(0)).cast("string") for w in WORD_NAMES]
+    return F.sha2(F.concat_ws(":", F.col(entries).cast("string"), *words), 256)
+
+
+def content_digest(df: DataFrame, *columns: str, keys=()) -> DataFrame:
+    """Order-insensitive digest of a table of ``path:checksum`` lines, per key.
+
+    Each line's sha-256 is cut into numbers that are summed, so the aggregate is
     a plain sum: it combines before the shuffle and holds no list of any size.
     """
-    line = F.sha2(F.concat_ws(":", *columns), 256)
-    rows = df.select(line.alias("_line"))
-    words = [
-        F.sum(F.conv(F.substring("_line", 8 * k + 1, 8), 16, 10).cast("decimal(12,0)")).cast("string") for k in range(8)
-    ]
-    text = F.concat_ws(":", F.count(F.lit(1)).cast("string"), *words)
-    return rows.agg(F.count(F.lit(1)).alias("entries"), F.sha2(text, 256).alias("digest"))
+    rows = df.select(*keys, line_hash(*columns).alias("_line"))
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"), *word_sums(F.col("_line")))
+    return out.select(*keys, "entries", digest_of().alias("digest"))

@@ -112,15 +112,30 @@ def label_sequences(frames: DataFrame, version: str, steps: dict | None = None)
 
 
 def auto_annotate(spark, manifest: DataFrame, output: str, version: str, dataset: str, dataset_reasons: dict | None = None) -> dict:
-    """Publish a label release for one dataset of a manifest with a ``feature`` column."""
-    if publish.exists(spark, output):
-        raise FileExistsError(f"Annotation output already exists: {output}")
+    """Publish a label release for one dataset of a manifest with a ``feature`` column.
+
+    Counts come from the writes; labelled and excluded rows have to add up to the manifest.
+    """
+    publish.refuse_taken(spark, output)
     made = label_sequences(manifest.filter(F.col("dataset") == dataset), version)
     named = stage(made["frame_labels"], "labels")
     ledger = L.exclusion_ledger(manifest.drop("feature", "hog", "content"), named, dataset_reasons or {}, "not_in_annotation_scope")
     out = {**made, "frame_labels": named, "excluded_samples": ledger, "split_summary": L.split_summary(named)}
-    summary = publish.release_summary(named, ledger, made["cycle_boundaries"], version)
-    return publish.publish(spark, output, out, summary)
+    total, source = manifest.count(), ids.content_digest(manifest, "sample_id", "sha256").first()["digest"]
+
+    def accept(contents: dict) -> dict:
+        done = publish.accounted(contents, total, "frame_labels", "excluded_samples")
+        labels = contents["frame_labels"]
+        counts = {f"{kind}_counts": {v: labels.pop(f"{kind}:{v}") for v in values} for kind, values in publish.LABEL_KINDS.items()}
+        counts = {kind: {v: n for v, n in found.items() if n} for kind, found in counts.items()}
+        walks = spark.read.parquet(contents["sequence_qc"]["path"]).filter("eligible_frame_count > 0")  # one row a sequence
+        return {
+            "labeled_frames": labels["rows"], "excluded_frames": contents["excluded_samples"]["rows"], **done,
+            **walks.agg(F.count(F.lit(1)).alias("sequences"), F.count_distinct("subject_id").alias("subjects")).first().asDict(),
+            "complete_boundary_cycles": contents["cycle_boundaries"]["rows"], "source_digest": source, **counts,
+        }
+
+    return publish.publish(spark, output, out, {"annotation_version": version}, {"frame_labels": publish.labels_sink()}, accept)
 
 
 def prepare_training_data(
@@ -138,8 +153,7 @@ def prepare_training_data(
 
     ``files_found`` (path, sha256) switches on the check that every source file is there unchanged.
     """
-    if publish.exists(spark, output):
-        raise FileExistsError(f"Prepared data already exists: {output}")
+    publish.refuse_taken(spark, output)
     rules.raise_if_any(rules.label_release(named, manifest, datasets))
     extra = ["phase_label", "confidence", "annotation_source", "annotation_version"]
     source = manifest.drop(*extra, "cycle_position")
@@ -158,10 +172,17 @@ def prepare_training_data(
     for name, value in (expected or {}).items():
         if counts.get(name) != value:
             raise S.RuleViolation(f"Prepared-data count mismatch for {name}: expected {value}, got {counts.get(name)}")
-    digest = ids.content_digest(views.select("relative_path", "sha256").distinct(), "relative_path", "sha256").first()
-    summary = {**counts, "confidence_policy": confidence, "tree_digest": digest["digest"]}
-    writers = {"views": publish.write_fold_views}
-    return publish.publish(spark, output, {"views": views, "withheld": withheld}, summary, writers)
+    primary = stage(primary, "primary")
+    files = primary.select(F.col("source_relative_path").alias("path"), "sha256").distinct()
+    summary = {
+        **counts,
+        "confidence_policy": confidence,
+        "view_digests": {r["view"]: r["digest"] for r in splits.view_digests(primary, folds).collect()},  # two views a fold, and test
+        "source_manifest_digest": ids.content_digest(manifest, "sample_id", "sha256").first()["digest"],
+        "source_labels_digest": publish.table_digest(named)["digest"],
+    }
+    made = {"views": views, "withheld": withheld, "folders": audit.folder_digests(files)}
+    return publish.publish(spark, output, made, summary, {"views": publish.FOLD_VIEWS})
 
 
 def prepared_counts(views: DataFrame, withheld: DataFrame) -> dict:
@@ -176,19 +197,32 @@ def prepared_counts(views: DataFrame, withheld: DataFrame) -> dict:
     return out
 
 
-def validate_prepared_data(spark, root: str) -> DataFrame:
-    """Rules of a published fold release against its own marker."""
+def validate_prepared_data(spark, root: str, files_found: DataFrame | None = None) -> DataFrame:
+    """Rules of a published fold release: its tables against the manifest, its views, and its files.
+
+    ``files_found`` (path, sha256) are the files that the views refer to; folders are compared by digest and only
+    those that differ file by file.
+    """
     ready = publish.read_ready(spark, root)
-    views, withheld = spark.read.parquet(f"{root}/views"), spark.read.parquet(f"{root}/withheld")
+    views, withheld, folders = (publish.read_table(spark, root, t) for t in ("views", "withheld", "folders"))
     counts = prepared_counts(views, withheld)
     off = [name for name, value in counts.items() if ready.get(name) != value]
-    digest = ids.content_digest(views.select("relative_path", "sha256").distinct(), "relative_path", "sha256").first()["digest"]
-    extra = spark.createDataFrame(
-        [("counts as in the marker", len(off)), ("tree digest as in the marker", int(digest != ready["tree_digest"]))],
-        "rule string, violations bigint",
-    )
+    first = views.filter("fold_view = 0")
+    digests = {r["view"]: r["digest"] for r in splits.view_digests(first).collect()}
+    wrong = sum(ready["view_digests"].get(view) != digest for view, digest in digests.items()) + len(ready["view_digests"].keys() - digests.keys())
+    extra = spark.createDataFrame([("counts as in the manifest", len(off)), ("view digests as in the manifest", wrong)], "rule string, violations bigint")
     report = rules.fold_views(views).groupBy("rule").agg(F.sum("violations").alias("violations"))
-    return rules.merge(report, extra, rules.withheld(withheld, ready["withheld_low_confidence_frames"]))
+    parts = [report, extra, publish.verify(spark, root), rules.withheld(withheld, ready["withheld_low_confidence_frames"])]
+    if files_found is not None:
+        states = prepared_files(first, folders, files_found)
+        parts.append(rules.scalar(states, {f"no referenced file {state}": F.col("state") == state for state in ("missing", "extra", "changed")}))
+    return rules.merge(*parts)
+
+
+def prepared_files(views: DataFrame, folders: DataFrame, files_found: DataFrame) -> DataFrame:
+    """(path, state) of referenced files that are missing or changed, and of files that nothing refers to."""
+    wanted = views.select(F.col("source_relative_path").alias("path"), "sha256").distinct()
+    return audit.tree_difference(wanted, files_found.select("path", "sha256"), folders)
 
 
 def train_baseline(
@@ -237,8 +271,7 @@ def aggregate_results(
     spark, run_root: str, variants: dict, canonical: DataFrame, output: str, expected: dict, comparisons=(), iterations: int = bootstrap.ITERATIONS
 ) -> dict:
     """Check registered runs against the canonical table and publish their summaries."""
-    if publish.exists(spark, output):
-        raise FileExistsError(f"Aggregation output already exists: {output}")
+    publish.refuse_taken(spark, output)
     if iterations < 100:
         raise ValueError("Use at least 100 bootstrap iterations.")
     registry = tables.registry_table(spark, variants)
@@ -287,7 +320,7 @@ def audit_release(
         "counts": audit.issue_counts(rows),
         "metadata_mismatches": audit.metadata_mismatches(named, manifest),
     }
-    return publish.publish(spark, output, out, {"label_changes": 0}, {"frame_audit": publish.write_json_lines})
+    return publish.publish(spark, output, out, {"label_changes": 0}, {"frame_audit": publish.JSON_LINES})
 
 
 def repair_boundaries(spark, named: DataFrame, bounds: DataFrame, output: str) -> dict:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import ids
+from ..session import stage
 from . import rules
 
 
@@ -123,3 +125,29 @@ def id_difference(left: DataFrame, right: DataFrame, key: str = "sample_id") ->
 def role_overlap(df: DataFrame, key: str = "subject_id", role: str = "split", keys=()) -> DataFrame:
     """Key values that occur in more than one role (must be zero)."""
     return rules.crossing(df, f"{key} in one {role}", [key], role, keys)
+
+
+def folder_of(path: Column) -> Column:
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def folder_digests(files: DataFrame, path: str = "path", checksum: str = "sha256") -> DataFrame:
+    """One digest per folder over the files directly inside it."""
+    return ids.content_digest(files.withColumn("folder", folder_of(F.col(path))), path, checksum, keys=["folder"])
+
+
+def tree_difference(expected: DataFrame, found: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """(path, state) of files (path, sha256) that are missing, extra or changed.
+
+    Folders are compared by digest first; only files of folders that differ are shuffled and compared one by
+    one. ``folders`` are digests of ``expected`` kept from an earlier run.
+    """
+    known = (folder_digests(expected) if folders is None else folders).select("folder", F.col("digest").alias("_known"))
+    seen = folder_digests(found).select("folder", F.col("digest").alias("_seen"))
+    off = stage(known.join(seen, "folder", "full_outer").filter(~F.col("_known").eqNullSafe(F.col("_seen"))).select("folder"), "folders")
+    inside = lambda files, name: (
+        files.select(folder_of(F.col("path")).alias("folder"), "path", F.col("sha256").alias(name)).join(off, "folder", "left_semi").drop("folder")
+    )
+    a, b = inside(expected, "_a").withColumn("_in_a", F.lit(True)), inside(found, "_b").withColumn("_in_b", F.lit(True))
+    state = F.when(F.col("_in_b").isNull(), "missing").when(F.col("_in_a").isNull(), "extra").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    return a.join(b, "path", "full_outer").select("path", state.alias("state")).filter("state is not null")

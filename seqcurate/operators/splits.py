@@ -165,6 +165,24 @@ def prepared_views(primary: DataFrame, folds: int = 5) -> DataFrame:
     return views.withColumn("relative_path", path).drop("_tail")
 
 
+def view_digests(primary: DataFrame, folds: int = 5, checksum: str = "sha256") -> DataFrame:
+    """Digest of every view (train and validation of each fold, test) over its paths and checksums.
+
+    A path inside a view is the same in all views, so each file is digested once, into one sum per
+    split and fold; the views' sums are sums of those few rows. The test view counts once.
+    """
+    names = ["provisional_label", "subject_id", "condition", "sample_id", "source_relative_path"]
+    tail = ids.destination_tail(*[F.col(c) for c in names])
+    files = primary.select("split", "fold", ids.line_hash(tail, checksum).alias("_line"))
+    parts = files.groupBy("split", "fold").agg(F.count(F.lit(1)).alias("entries"), *ids.word_sums(F.col("_line")))
+    own = F.when(F.col("split") == "test", F.array(F.lit("test"))).otherwise(
+        F.array(*[F.concat(F.lit(f"fold_{k}/"), F.when(F.col("fold") == k, "validation").otherwise("train")) for k in range(folds)])
+    )
+    sums = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ids.WORD_NAMES]
+    views = parts.withColumn("view", F.explode(own)).groupBy("view").agg(F.sum("entries").alias("entries"), *sums)
+    return views.select("view", "entries", ids.digest_of().alias("digest"))
+
+
 def fold_view_summary(views: DataFrame) -> DataFrame:
     return views.groupBy("fold_view", "prepared_role").agg(
         F.count(F.lit(1)).alias("frames"), F.count_distinct("subject_id").alias("subjects")

@@ -549,12 +549,25 @@ oracle(
       0::BIGINT AS source_mismatches, 0::BIGINT AS version_mismatches
     FROM prep p LEFT JOIN changed c USING (sample_id) GROUP BY 1""",
 )
-WORDS = " || ':' || ".join(f"sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT))" for k in range(8))
+WORDS = " || ':' || ".join(f"sum(CAST('0x' || substr(h, {7 * k + 1}, 7) AS BIGINT))" for k in range(9))
 oracle(
     "tree_digest",
     "prep",
-    f"""SELECT count(*) AS entries, sha256(count(*) || ':' || {WORDS}) AS digest
-    FROM (SELECT sha256(relative_path || ':' || sha256) AS h FROM prep) l""",
+    f"""SELECT view, count(*) AS entries, sha256(count(*) || ':' || {WORDS}) AS digest
+    FROM (SELECT CASE WHEN prepared_role = 'test' THEN 'test' ELSE 'fold_' || fold_view || '/' || prepared_role END AS view,
+        sha256(regexp_replace(relative_path, '^(test|folds/fold_[0-9]+/[a-z]+)/', '') || ':' || sha256) AS h
+      FROM prep WHERE prepared_role <> 'test' OR fold_view = 0) l GROUP BY 1""",
+)
+oracle(
+    "tree_difference",
+    "",
+    """SELECT path, state FROM (
+      SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'extra' WHEN a.h <> b.h THEN 'changed' END AS state
+      FROM (SELECT 'd' || (doc_id // 50) || '/' || doc_id || '.txt' AS path, sha256(text) AS h FROM documents) a
+      FULL JOIN (SELECT 'd' || (doc_id // 50) || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 211 = 5 THEN sha256(sha256(text)) ELSE sha256(text) END AS h
+        FROM documents WHERE doc_id % 307 <> 7
+        UNION ALL SELECT 'd' || (doc_id // 50) || '/' || doc_id || '.new', sha256(text) FROM documents WHERE doc_id % 401 = 9) b ON a.path = b.path) x
+    WHERE state IS NOT NULL""",
 )
 oracle(
     "coverage_difference",

@@ -303,7 +303,24 @@ def prepared_canonical_check(spark, d):
 
 @query
 def tree_digest(spark, d):
-    return ids.content_digest(prepared(spark, d), "relative_path", "sha256")
+    primary, _ = splits.split_by_confidence(G.frame_labels(spark, d))
+    return splits.view_digests(primary.withColumn("sha256", F.sha2("sample_id", 256)))
+
+
+def folder_trees(spark, d):
+    """Files in folders of fifty documents, and the same with some changed, gone and new."""
+    name = lambda suffix: F.concat(F.lit("d"), F.floor(F.col("doc_id") / 50).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(suffix))
+    rows = G.snapshot(spark, d, "all").select("doc_id", name(".txt").alias("path"), "sha256")
+    at = F.col("doc_id")
+    changed = F.when(F.pmod(at, F.lit(211)) == 5, F.sha2("sha256", 256)).otherwise(F.col("sha256"))
+    found = rows.filter(F.pmod(at, F.lit(307)) != 7).select("doc_id", "path", changed.alias("sha256"))
+    new = rows.filter(F.pmod(at, F.lit(401)) == 9).select("doc_id", name(".new").alias("path"), "sha256")
+    return rows.drop("doc_id"), found.unionByName(new).drop("doc_id")
+
+
+@query
+def tree_difference(spark, d):
+    return audit.tree_difference(*folder_trees(spark, d))
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqcurate import jobs, schemas as S
 from seqcurate.functions import arrays
-from seqcurate.operators import rules, runs
+from seqcurate.operators import audit, rules, runs
 from seqcurate.session import release_staged, stage, stage_root
 from seqcurate.sources import archives, files, pixels, publish, tables
 
@@ -132,20 +132,108 @@ def test_text_tables(spark, tmp_path):
 
 
 def test_publication_is_all_or_nothing(spark, tmp_path):
-    df = spark.range(10)
-    ready = publish.publish(spark, str(tmp_path / "out"), {"t": df}, {"note": "n"})
-    assert ready["tables"]["t"]["rows"] == 10 and publish.read_ready(spark, str(tmp_path / "out"))["note"] == "n"
+    df, out = spark.range(10), str(tmp_path / "out")
+    ready = publish.publish(spark, out, {"t": df}, {"note": "n"})
+    assert ready["tables"]["t"]["rows"] == 10 and publish.read_ready(spark, out)["note"] == "n" and ready["published_utc"].endswith("+00:00")
+    assert publish.read_table(spark, out, "t").count() == 10
+    assert {k: ready["tables"]["t"][k] for k in ("rows", "digest")} == publish.table_digest(df)
     with pytest.raises(FileExistsError):
-        publish.publish(spark, str(tmp_path / "out"), {"t": df})
+        publish.publish(spark, out, {"t": df})
     broken = df.select(F.raise_error(F.lit("boom")).cast("string").alias("x"))
+    bad = str(tmp_path / "bad")
     with pytest.raises(Exception, match="boom"):
-        publish.publish(spark, str(tmp_path / "bad"), {"t": df, "u": broken})
-    assert sorted(p for p in os.listdir(tmp_path) if not p.endswith(".crc")) == ["out"]
+        publish.publish(spark, bad, {"t": df, "u": broken})
     with pytest.raises(FileNotFoundError):
-        publish.read_ready(spark, str(tmp_path / "bad"))
-    publish.write_json_lines(df, str(tmp_path / "lines"))
-    publish.write_text_table(df, str(tmp_path / "text"))
+        publish.read_ready(spark, bad)
+    assert publish.published(spark, bad) == [] and publish.unreferenced(spark, bad).count() > 0
+    publish.publish(spark, bad, {"t": df})
+    assert publish.published(spark, bad) == [0] and publish.read_table(spark, bad, "t").count() == 10
+    publish.write(df, str(tmp_path / "lines"), publish.JSON_LINES)
+    publish.write(df, str(tmp_path / "text"), publish.TEXT_TABLE)
     assert spark.read.json(str(tmp_path / "lines")).count() == 10
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        publish.write(df, str(tmp_path / "lines"))
+
+
+def test_versions_of_a_release(spark, tmp_path):
+    out = str(tmp_path / "r")
+    publish.publish(spark, out, {"t": spark.range(3)})
+    publish.publish(spark, out, {"t": spark.range(5)}, version=1)
+    assert publish.published(spark, out) == [0, 1]
+    assert [publish.read_table(spark, out, "t", v).count() for v in (None, 0, 1)] == [5, 3, 5]
+    assert publish.unreferenced(spark, out).count() == 0
+    assert not any(r["violations"] for r in publish.verify(spark, out).collect())
+
+
+def test_two_writers_never_commit_one_version(spark, tmp_path, monkeypatch):
+    """Both orders of the steps of two writers: at most one commits, and a failed one can be repeated."""
+    put = publish._note
+
+    def rival_claims(*args):
+        put(*args)
+        if args[2] == "claims":  # the other writer's claim is written before this one looks
+            put(spark, args[1], "claims", args[3], "f" * 32, "claimed")
+
+    out = str(tmp_path / "a")
+    monkeypatch.setattr(publish, "_note", rival_claims)
+    with pytest.raises(FileExistsError, match="another writer"):
+        publish.publish(spark, out, {"t": spark.range(1)})
+    monkeypatch.setattr(publish, "_note", put)
+    assert publish.published(spark, out) == []
+    with pytest.raises(FileExistsError, match="next version"):  # the other one may still commit
+        publish.publish(spark, out, {"t": spark.range(1)})
+    put(spark, out, "withdrawn", 0, "f" * 32, "withdrawn")
+    assert publish.publish(spark, out, {"t": spark.range(1)})["status"] == "READY"
+
+    import threading
+
+    done, out = [], str(tmp_path / "b")
+
+    def writer(n):
+        try:
+            done.append(publish.publish(spark, out, {"t": spark.range(n)})["tables"]["t"]["rows"])
+        except FileExistsError:
+            done.append(None)
+
+    threads = [threading.Thread(target=writer, args=(n,)) for n in (1, 2, 3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    won = [n for n in done if n]
+    assert len(done) == 3 and len(won) <= 1 and len(publish.published(spark, out)) == len(won)
+    if won:
+        assert publish.read_table(spark, out, "t").count() == won[0]
+
+
+def test_rows_have_to_be_accounted_for(spark, tmp_path):
+    out = str(tmp_path / "r")
+    tables_of = {"a": spark.range(6), "b": spark.range(3)}
+    with pytest.raises(S.RuleViolation, match="not accounted for"):
+        publish.publish(spark, out, tables_of, accept=lambda seen: publish.accounted(seen, 10, "a", "b"))
+    assert publish.published(spark, out) == []
+    ready = publish.publish(spark, out, tables_of, accept=lambda seen: publish.accounted(seen, 9, "a", "b"))
+    assert ready["accounted_manifest_frames"] == 9
+
+
+def test_observed_digests_equal_read_ones(spark, tmp_path):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 7 != 0, F.col("id") / 3).alias("x"), F.array("id").alias("l"), (F.col("id") % 3).cast("int").alias("k"))
+    sink = publish.Sink(shape=lambda t: t.repartition(5, "x"), partition_by=("k",), measures={"seventh": F.count_if(F.col("x").isNull())})
+    seen = publish.write(df, str(tmp_path / "t"), sink)
+    assert {k: seen[k] for k in ("rows", "digest")} == publish.table_digest(spark.read.parquet(str(tmp_path / "t"))) and seen["seventh"] == 143
+    none = publish.write(df.limit(0), str(tmp_path / "none"))
+    assert none["rows"] == 0 and none["digest"] == publish.table_digest(df.limit(0))["digest"]
+
+
+def test_tree_difference_finds_the_file(spark):
+    rows = [(f"{a}/{b}/{k}.png", f"h{a}{b}{k}") for a in "xy" for b in "pq" for k in range(20)] + [("top.png", "t")]
+    frame = lambda r: spark.createDataFrame(r, "path string, sha256 string")
+    got = lambda found: sorted(map(tuple, audit.tree_difference(frame(rows), frame(found)).collect()))
+    assert got(rows) == []
+    assert got([(p, "other" if p == "y/p/7.png" else h) for p, h in rows]) == [("y/p/7.png", "changed")]
+    assert got([*rows[1:], ("z/new.png", "n"), ("top2.png", "t")]) == [("top2.png", "extra"), ("x/p/0.png", "missing"), ("z/new.png", "extra")]
+    kept = audit.folder_digests(frame(rows))
+    assert audit.tree_difference(frame(rows), frame(rows[:-1]), kept).collect()[0]["state"] == "missing"
 
 
 def test_staged_tables_use_the_shared_folder():
@@ -199,15 +287,18 @@ def test_jobs_from_files_to_summaries(spark, workspace, tmp_path):
     assert done["confidence_counts"] == {"medium": 420}
     with pytest.raises(FileExistsError):
         jobs.auto_annotate(spark, split, str(tmp_path / "labels"), "v1", "walks")
-    named = spark.read.parquet(str(tmp_path / "labels" / "frame_labels"))
-    bounds = spark.read.parquet(str(tmp_path / "labels" / "cycle_boundaries"))
+    assert done["sequences"] == 14 and done["subjects"] == 7 and sum(done["phase_label_counts"].values()) == 420
+    named, bounds = (publish.read_table(spark, str(tmp_path / "labels"), t) for t in ("frame_labels", "cycle_boundaries"))
     assert jobs.repair_boundaries(spark, named, bounds, str(tmp_path / "fixed"))["changed_boundary_records"] == 0
 
     found = files.inventory(spark, str(workspace / "raw"), str(workspace))
     expected = {"copied_files": 5 * 300 + 120, "test_frames": 120, "withheld_low_confidence_frames": 0}
     jobs.prepare_training_data(spark, split, named, str(tmp_path / "prepared"), ["walks"], expected=expected, files_found=found)
-    report = jobs.validate_prepared_data(spark, str(tmp_path / "prepared"))
+    report = jobs.validate_prepared_data(spark, str(tmp_path / "prepared"), found)
     assert not any(r["violations"] for r in report.filter("rule <> 'withheld confidence level'").collect())
+    other = found.withColumn("sha256", F.when(F.col("path").endswith("003/fn00/004.png"), "0" * 64).otherwise(F.col("sha256")))
+    broken = {r["rule"]: r["violations"] for r in jobs.validate_prepared_data(spark, str(tmp_path / "prepared"), other).collect()}
+    assert broken["no referenced file changed"] == 1 and broken["no referenced file missing"] == broken["no referenced file extra"] == 0
     for change, message in (
         ({"phase_label": F.lit("run")}, "label in vocabulary"),
         ({"split": F.lit("test")}, "split unchanged"),
@@ -222,7 +313,7 @@ def test_jobs_from_files_to_summaries(spark, workspace, tmp_path):
         jobs.prepare_training_data(spark, split, named, str(tmp_path / "no"), ["walks"], expected={"test_frames": 1})
     assert not (tmp_path / "no").exists()
 
-    prepared = spark.read.parquet(str(tmp_path / "prepared" / "views")).filter("fold_view = 0")
+    prepared = publish.read_table(spark, str(tmp_path / "prepared"), "views").filter("fold_view = 0")
     variants = {}
     for model in ("majority", "cycle_prior"):
         variants[model] = {"role": "baseline", "runs": {}}
@@ -249,9 +340,9 @@ def test_jobs_from_files_to_summaries(spark, workspace, tmp_path):
     out = str(tmp_path / "summary")
     ready = jobs.aggregate_results(spark, str(tmp_path / "runs"), variants, canonical, out, want, [("cycle_prior", "majority")], 100)
     assert ready["status"] == "READY" and ready["variants"] == 2
-    scores = {r["variant"]: r["frame_macro_f1"] for r in spark.read.parquet(f"{out}/model_summary").collect()}
+    scores = {r["variant"]: r["frame_macro_f1"] for r in publish.read_table(spark, out, "model_summary").collect()}
     assert scores["cycle_prior"] > 0.8 > scores["majority"]
-    assert spark.read.parquet(f"{out}/paired_comparisons").first()["estimate"] > 0
+    assert publish.read_table(spark, out, "paired_comparisons").first()["estimate"] > 0
     best = runs.best_epoch(tables.read_curves(spark, str(tmp_path / "runs")))
     assert {r["best_epoch"] for r in best.collect()} == {2}
     (tmp_path / "runs" / "majority-3" / "config.yaml").write_text("training_run:\n  fold: 2\n  evaluation_split: validation\n")
@@ -278,10 +369,10 @@ def test_audit_job(spark, workspace, tmp_path):
     with pytest.raises(S.RuleViolation, match="allow_test"):
         jobs.audit_release(spark, split, named, bounds, reviewed, issues, str(tmp_path / "a"), ["walks"])
     jobs.audit_release(spark, split, named, bounds, reviewed, issues, str(tmp_path / "a"), ["walks"], True)
-    queue = spark.read.parquet(str(tmp_path / "a" / "sequence_review_queue"))
+    queue = publish.read_table(spark, str(tmp_path / "a"), "sequence_review_queue")
     got = queue.agg(F.sum("frames"), F.sum("image_issue_frames"), F.sum("boundary_disagreement_frames")).first()
     assert tuple(got) == (420, 14, 0)
-    assert spark.read.json(str(tmp_path / "a" / "frame_audit")).count() == 420
+    assert publish.read_table(spark, str(tmp_path / "a"), "frame_audit").count() == 420
 
 
 def test_release_of_staged_tables(spark):
