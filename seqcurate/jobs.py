@@ -14,6 +14,7 @@ from .operators import (
     bootstrap,
     catalogue,
     dedupe,
+    joins,
     labels as L,
     metrics,
     rules,
@@ -24,28 +25,33 @@ from .operators import (
 )
 from .functions import ids
 from .session import stage
-from .sources import archives, files, pixels, publish, tables
+from .sources import files, publish, tables
 
 KEYS = ["sequence_id"]
 
 
-def extract_archives(spark: SparkSession, root: str, expected: int | None = 153) -> DataFrame:
-    """Members of all archives, after the safety and count rules."""
-    members = stage(archives.expand_archives(spark, root), "members")
-    rules.raise_if_any(archives.extraction_rules(members, expected_archives=expected))
+def check_archives(members: DataFrame, existing: DataFrame | None = None, expected: int | None = 153) -> DataFrame:
+    """A listing of archive members, after the safety and count rules."""
+    rules.raise_if_any(rules.archive_members(members, existing, expected))
     return members
 
 
-def build_manifest(spark, named_root: str | None, path_root: str | None, workspace: str, names: dict | None = None) -> DataFrame:
-    """Scan both kinds of frame folders, hash and describe every file once, number duplicates."""
+def build_manifest(spark, named_root: str | None, path_root: str | None, workspace: str, features: DataFrame, names: dict | None = None) -> DataFrame:
+    """Scan both kinds of frame folders, hash every file once, add its given features, number duplicates.
+
+    ``features`` has one row per file: relative_path, perceptual_hash, feature, and whatever else later steps use
+    (readable, foreground_pixels, hog). A path on either side twice stops the job; a file without a row keeps
+    null features, which ``audit.image_issues`` reports.
+    """
     names = {"named": "named_frames", "prefix": "named", "path": "path_frames", "view": None, **(names or {})}
     parts = []
     if named_root:
         parts.append(files.scan_named_frames(spark, named_root, workspace, names["named"], names["prefix"]))
     if path_root:
         parts.append(files.scan_path_frames(spark, path_root, workspace, names["path"], names["view"]))
-    scanned = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    described = stage(pixels.features(scanned), "scan")
+    scanned = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).drop("content")
+    given = [c for c in features.columns if c != "relative_path"]
+    described = stage(joins.one_to_one(scanned.drop(*given), features, "relative_path", "left"), "scan")
     return dedupe.assign_groups(described)
 
 
@@ -119,7 +125,7 @@ def auto_annotate(spark, manifest: DataFrame, output: str, version: str, dataset
     publish.refuse_taken(spark, output)
     made = label_sequences(manifest.filter(F.col("dataset") == dataset), version)
     named = stage(made["frame_labels"], "labels")
-    ledger = L.exclusion_ledger(manifest.drop("feature", "hog", "content"), named, dataset_reasons or {}, "not_in_annotation_scope")
+    ledger = L.exclusion_ledger(manifest.drop("feature", "hog"), named, dataset_reasons or {}, "not_in_annotation_scope")
     out = {**made, "frame_labels": named, "excluded_samples": ledger, "split_summary": L.split_summary(named)}
     total, source = manifest.count(), ids.content_digest(manifest, "sample_id", "sha256").first()["digest"]
 
@@ -157,7 +163,7 @@ def prepare_training_data(
     rules.raise_if_any(rules.label_release(named, manifest, datasets))
     extra = ["phase_label", "confidence", "annotation_source", "annotation_version"]
     source = manifest.drop(*extra, "cycle_position")
-    joined = stage(source.join(named.select("sample_id", "cycle_position", *extra), "sample_id"), "joined")
+    joined = stage(joins.one_to_one(source, named.select("sample_id", "cycle_position", *extra), "sample_id"), "joined")
     primary, withheld = splits.split_by_confidence(joined, confidence)
     if files_found is not None:
         wanted = primary.select("relative_path", "sha256")

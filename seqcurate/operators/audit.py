@@ -127,6 +127,30 @@ def role_overlap(df: DataFrame, key: str = "subject_id", role: str = "split", ke
     return rules.crossing(df, f"{key} in one {role}", [key], role, keys)
 
 
+def image_issues(expected: DataFrame, files: DataFrame, features: DataFrame) -> DataFrame:
+    """(sample_id, image_issues) of expected files (sample_id, relative_path, sha256).
+
+    ``files`` has relative_path and sha256 of what is there, ``features`` relative_path, readable and
+    foreground_pixels of what was looked into. Paths that leave the workspace are not looked up; a file without a readable row
+    is a finding like any other.
+    """
+    outside = F.col("relative_path").rlike(r"^/|(^|/)\.\.(/|$)")
+    seen = files.select("relative_path", F.col("sha256").alias("_have"))
+    read = features.select("relative_path", "readable", "foreground_pixels")
+    both = expected.join(seen, "relative_path", "left").join(read, "relative_path", "left")
+    found = F.col("_have").isNotNull() & F.coalesce("readable", F.lit(False))
+    issues = F.when(outside, F.array(F.lit("path_outside_workspace"))).otherwise(
+        F.array_compact(
+            F.array(
+                F.when(F.col("_have") != F.col("sha256"), "source_checksum_mismatch"),
+                F.when(found & (F.col("foreground_pixels") == 0), "empty_foreground"),
+                F.when(~found, "missing_or_unreadable_image"),
+            )
+        )
+    )
+    return both.select("sample_id", issues.alias("image_issues"))
+
+
 def folder_of(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 

@@ -230,16 +230,37 @@ def batch(df: DataFrame, datasets, folds: int = 5) -> DataFrame:
     )
 
 
-def one_to_one(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    """Key uniqueness on both sides of a 1:1 join."""
-    return merge(duplicated(left, "left key unique", on), duplicated(right, "right key unique", on))
-
-
-def join_one_to_one(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join that refuses repeated keys on either side."""
-    on = [on] if isinstance(on, str) else list(on)
-    raise_if_any(one_to_one(left, right, on))
-    return left.join(right, on, how)
+def leaves_folder(name: Column) -> Column:
+    """True where unpacking a member of this name would write outside its folder."""
+    parts = F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/")
+    step = lambda part: F.when(part == "..", 1).when(part.isin("", "."), 0).otherwise(-1)
+    # How far above the folder the path ever climbs: depth never falls below the start.
+    climb = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("up"), F.lit(0).alias("most")),
+        lambda acc, part: F.struct((acc["up"] + step(part)).alias("up"), F.greatest(acc["most"], acc["up"] + step(part)).alias("most")),
+    )["most"]
+    return (climb > 0) | name.startswith("/") | name.startswith("\\") | parts[0].contains(":")
+
+
+def archive_members(members: DataFrame, existing: DataFrame | None = None, expected_archives: int | None = None) -> DataFrame:
+    """Rules of a listing of archive members (archive, member, size_bytes).
+
+    Members that leave their folder or have no name, members listed twice, the number of archives, and existing files
+    (archive, member, size_bytes) of another size.
+    """
+    tables = [
+        scalar(members, {"member stays in its folder": F.coalesce(leaves_folder(F.col("member")), F.lit(True))}),
+        duplicated(members, "member listed once", ["archive", "member"]),
+    ]
+    if expected_archives is not None:
+        found = members.agg(F.count_distinct("archive").alias("_n"))
+        off = (F.col("_n") != expected_archives).cast("bigint").alias("violations")
+        tables.append(found.select(F.lit("archive count as expected").alias("rule"), off))
+    if existing is not None:
+        both = members.join(existing.select("archive", "member", F.col("size_bytes").alias("_size")), ["archive", "member"])
+        tables.append(scalar(both, {"existing file has the member's size": F.col("_size") != F.col("size_bytes")}))
+    return merge(*tables)
 
 
 def reviewed(decisions: DataFrame, boundaries_table: DataFrame, frames: DataFrame, expected_cycles: int, expected_frames: int) -> DataFrame:

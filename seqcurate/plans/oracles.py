@@ -1325,3 +1325,41 @@ oracle(
 )
 for _name in ("near_hash_groups", "near_hash_audit"):
     ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+# --- keys that must be unique, members of archives ------------------------------------------------
+
+cte("kdocs0", "", "SELECT doc_id, lang, source FROM documents WHERE doc_id % 89 <> 3")
+cte("kmarks0", "", "SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1")
+cte("kdocs", "kdocs0", "SELECT * FROM kdocs0 UNION ALL SELECT * FROM kdocs0 WHERE doc_id % 97 = 5")
+cte("kmarks", "kmarks0", "SELECT * FROM kmarks0 UNION ALL SELECT * FROM kmarks0 WHERE doc_id % 101 = 7")
+oracle(
+    "one_to_one_rules",
+    "kdocs kmarks",
+    """SELECT unnest(['left key unique', 'right key unique', 'left key has a partner', 'right key has a partner']) AS rule,
+      unnest([(SELECT count(*) FROM (SELECT doc_id FROM kdocs GROUP BY 1 HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT doc_id FROM kmarks GROUP BY 1 HAVING count(*) > 1)),
+        (SELECT count(DISTINCT doc_id) FROM kdocs WHERE doc_id NOT IN (SELECT doc_id FROM kmarks)),
+        (SELECT count(DISTINCT doc_id) FROM kmarks WHERE doc_id NOT IN (SELECT doc_id FROM kdocs))]) AS violations""",
+)
+oracle(
+    "one_to_one_join",
+    "kdocs kmarks",
+    """SELECT d.doc_id, lang, source, quality, toxic FROM (SELECT DISTINCT * FROM kdocs WHERE doc_id % 17 <> 1) d
+    LEFT JOIN (SELECT DISTINCT * FROM kmarks WHERE doc_id % 19 <> 1) m ON d.doc_id = m.doc_id""",
+)
+cte(
+    "members",
+    "",
+    r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS archive, length(html) AS size_bytes, CASE page_id % 13 WHEN 1 THEN '../' || tail
+      WHEN 2 THEN 'a/b/../../../' || tail WHEN 3 THEN '/' || tail WHEN 4 THEN 'a/../b/./' || tail WHEN 5 THEN 'same.html' WHEN 6 THEN 'c:\\' || tail ELSE tail END AS member
+    FROM (SELECT *, regexp_replace(url, '^[a-z]+://[^/]*/*', '') AS tail FROM pages) p""",
+)
+oracle(
+    "archive_member_rules",
+    "members",
+    """SELECT unnest(['member stays in its folder', 'member listed once', 'archive count as expected', 'existing file has the member''s size']) AS rule,
+      unnest([(SELECT count(*) FROM members WHERE page_id % 13 IN (1, 2, 3, 6)),
+        (SELECT count(*) FROM (SELECT 1 FROM members GROUP BY archive, member HAVING count(*) > 1)),
+        (SELECT CAST(count(DISTINCT archive) <> 12 AS BIGINT) FROM members),
+        (SELECT count(*) FROM members m JOIN (SELECT archive, member, max(size_bytes + CASE WHEN page_id % 9 = 0 THEN 1 ELSE 0 END) AS size FROM members
+          WHERE page_id % 3 = 0 GROUP BY 1, 2) t USING (archive, member) WHERE size <> size_bytes)]) AS violations""",
+)

@@ -16,6 +16,7 @@ from ..operators import (
     catalogue,
     dedupe,
     hamming,
+    joins,
     labels,
     lineage,
     metrics,
@@ -323,6 +324,39 @@ def tree_difference(spark, d):
     return audit.tree_difference(*folder_trees(spark, d))
 
 
+def keyed_sides(spark, d):
+    """Documents and labels; each side repeats some ids and lacks others."""
+    twice = lambda df, every, at: df.unionByName(df.filter(F.pmod("doc_id", F.lit(every)) == at))
+    docs = G.table(spark, d, "documents").select("doc_id", "lang", "source").filter(F.pmod("doc_id", F.lit(89)) != 3)
+    marks = G.table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return twice(docs, 97, 5), twice(marks, 101, 7)
+
+
+@query
+def one_to_one_rules(spark, d):
+    return joins.one_to_one_report(*keyed_sides(spark, d), "doc_id")
+
+
+@query
+def one_to_one_join(spark, d):
+    docs, marks = keyed_sides(spark, d)
+    single = lambda df, by: df.dropDuplicates(["doc_id"]).filter(F.pmod("doc_id", F.lit(by)) != 1)
+    return joins.one_to_one(single(docs, 17), single(marks, 19), "doc_id", "left")
+
+
+@query
+def archive_member_rules(spark, d):
+    """Pages as members of archives by host; some names climb out of their folder, some are listed twice."""
+    at = F.col("page_id")
+    host = F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)
+    tail = F.regexp_replace("url", "^[a-z]+://[^/]*/*", "")
+    name = F.when(at % 13 == 1, F.concat(F.lit("../"), tail)).when(at % 13 == 2, F.concat(F.lit("a/b/../../../"), tail)).when(at % 13 == 3, F.concat(F.lit("/"), tail))
+    name = name.when(at % 13 == 4, F.concat(F.lit("a/../b/./"), tail)).when(at % 13 == 5, "same.html").when(at % 13 == 6, F.concat(F.lit("c:\\"), tail)).otherwise(tail)
+    rows = G.table(spark, d, "pages").select("page_id", host.alias("archive"), name.alias("member"), F.length("html").cast("bigint").alias("size_bytes"))
+    there = rows.filter(at % 3 == 0).select("archive", "member", (F.col("size_bytes") + F.when(at % 9 == 0, 1).otherwise(0)).alias("size_bytes"))
+    return rules.archive_members(rows, there.groupBy("archive", "member").agg(F.max("size_bytes").alias("size_bytes")), 12)
+
+
 @query
 def coverage_difference(spark, d):
     eligible = G.signal_frames(spark, d).filter("exclusion_reason is null")

@@ -27,7 +27,7 @@ def relative(path: Column, root: str) -> Column:
     clean = root.split(":", 1)[-1].strip("/") if ":" in root else root.strip("/")
     # Anchored at the start: scheme, authority if the root names none, root.
     prefix = rf"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)??/*{re.escape(clean)}/+" if clean else r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?/*"
-    return F.regexp_replace(F.regexp_replace(path, prefix, ""), "%20", " ")
+    return F.regexp_replace(path, prefix, "")
 
 
 def stem(path: Column) -> Column:

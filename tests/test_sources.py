@@ -1,10 +1,7 @@
-"""Files, archives, pixels, publication and the jobs from end to end, on files written here."""
+"""Files, publication and the jobs from end to end, on files written here."""
 
 import math
 import os
-import struct
-import zipfile
-import zlib
 
 import numpy as np
 import pytest
@@ -12,60 +9,14 @@ from pyspark.sql import functions as F
 
 from seqcurate import jobs, schemas as S
 from seqcurate.functions import arrays
-from seqcurate.operators import audit, rules, runs
+from seqcurate.operators import audit, joins, rules, runs
 from seqcurate.session import release_staged, stage, stage_root
-from seqcurate.sources import archives, files, pixels, publish, tables
+from seqcurate.sources import files, publish, tables
 
 P = S.PHASES
 
 
-def png(image: np.ndarray, kind: int = 0) -> bytes:
-    """An 8-bit grey PNG whose lines all use one filter."""
-    height, width = image.shape
-    lines, above = b"", np.zeros(width, int)
-    for row in image.astype(int):
-        left = np.concatenate([[0], row[:-1]])
-        corner = np.concatenate([[0], above[:-1]])
-        guess = {0: 0 * row, 1: left, 2: above, 3: (left + above) // 2}.get(kind)
-        if kind == 4:
-            guess = np.array([min((a, b, c), key=lambda v: abs(a + b - c - v)) for a, b, c in zip(left, above, corner)])
-        lines += bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes()
-        above = row
-    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
-
-
-def figure(spread: int, mark: int = 0) -> np.ndarray:
-    """A body with two legs ``spread`` pixels apart; ``mark`` makes contents differ."""
-    image = np.zeros((40, 40), np.uint8)
-    image[4:22, 18:22] = 255
-    image[22:36, 20 - spread : 22 - spread] = 255
-    image[22:36, 19 + spread : 21 + spread] = 255
-    image[5, 18] = 100 + mark % 150
-    image[6, 18] = 100 + mark // 150
-    return image
-
-
-@pytest.mark.parametrize("kind", [0, 1, 2, 3, 4])
-def test_png_filters(kind):
-    image = np.random.default_rng(1).integers(0, 256, (13, 17)).astype(np.uint8)
-    assert (pixels.decode_png(png(image, kind)) == image).all()
-
-
-def test_pixel_features():
-    assert pixels.spread(np.zeros((30, 30), np.uint8)) is None
-    narrow, wide = pixels.spread(figure(2)), pixels.spread(figure(12))
-    assert narrow < wide
-    assert pixels.hog(figure(3)).shape == (576,)
-    assert np.linalg.norm(pixels.hog(figure(3)).reshape(64, 9), axis=1).max() <= 1.0001
-    canvas = pixels.aligned(figure(4))
-    assert canvas.shape == (128, 88) and canvas[-5].any() and not canvas[-4:].any()
-    found = pixels.describe(figure(3))
-    assert found["perceptual_hash"] == pixels.describe(figure(3, 1))["perceptual_hash"] and len(found["difference_hash"]) == 16
-    assert (pixels.resized(np.full((50, 60), 7.0), 8, 9).round(9) == 7).all()
-    with pytest.raises(ValueError):
-        pixels.aligned(figure(3), 10, 10)
+def test_dct_basis_is_orthonormal():
     flat = arrays.dct_basis(32)
     assert np.allclose(flat @ flat.T, np.eye(32))
 
@@ -80,8 +31,8 @@ def test_difference_hash_column_equals_bits(spark):
 def test_named_frames(spark, tmp_path):
     root = tmp_path / "named" / "heel"
     root.mkdir(parents=True)
-    (root / "ann-00_2-048.png").write_bytes(png(figure(3)))
-    (root / "ann-00_2-049.PNG").write_bytes(png(figure(4)))
+    (root / "ann-00_2-048.png").write_bytes(b"three")
+    (root / "ann-00_2-049.PNG").write_bytes(b"four")
     (root / "notes.txt").write_text("x")
     df = files.scan_named_frames(spark, str(tmp_path / "named"), str(tmp_path), "n", "n")
     rows = {r["frame_index"]: r for r in df.drop("content").collect()}
@@ -91,31 +42,52 @@ def test_named_frames(spark, tmp_path):
     assert row["relative_path"] == "named/heel/ann-00_2-048.png"
     import hashlib
 
-    assert row["sha256"] == hashlib.sha256(png(figure(3))).hexdigest()
+    assert row["sha256"] == hashlib.sha256(b"three").hexdigest()
     assert row["sample_id"] == hashlib.sha256(b"n:named/heel/ann-00_2-048.png").hexdigest()[:20]
-    (root / "odd.png").write_bytes(png(figure(3)))
+    (root / "odd.png").write_bytes(b"three")
     with pytest.raises(Exception, match="Unrecognized frame name"):
         files.scan_named_frames(spark, str(tmp_path / "named"), str(tmp_path), "n", "n").select("subject_id").collect()
 
 
-def test_archives(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "001.zip", "w") as z:
-        z.writestr("001/fn00/001.png", b"abc")
-        z.writestr("001/fn00/002.png", b"abcd")
-    with zipfile.ZipFile(tmp_path / "002.zip", "w") as z:
-        z.writestr("../out.png", b"x")
-    (tmp_path / "003.zip").write_bytes(b"broken")
-    found = {r["relative_path"]: r for r in archives.integrity(spark, str(tmp_path)).collect()}
-    assert found["001.zip"]["integrity"] == "PASS" and found["001.zip"]["uncompressed_bytes"] == 7
-    assert found["003.zip"]["integrity"] == "FAIL"
-    os.rename(tmp_path / "003.zip", tmp_path / "003.bad")
-    members = archives.expand_archives(spark, str(tmp_path))
-    assert members.count() == 3
+def test_archive_members(spark):
+    rows = [
+        ("001.zip", "001/fn00/001.png", 3, False), ("001.zip", "001/fn00/002.png", 4, False), ("002.zip", "../out.png", 1, True), ("002.zip", "a/../../b", 1, True),
+        ("002.zip", "a/../b", 1, False), ("002.zip", "/etc/x", 1, True), ("002.zip", "C:x", 1, True), ("002.zip", "a\\..\\..\\b", 1, True), ("002.zip", "./..hidden/...", 1, False),
+        ("002.zip", "..", 1, True), ("002.zip", None, 1, True), ("002.zip", "a/b/..", 1, False), ("002.zip", "a/b/..", 1, False),
+    ]
+    members = spark.createDataFrame([r[:3] for r in rows], "archive string, member string, size_bytes bigint")
+    marked = members.select(F.coalesce(rules.leaves_folder(F.col("member")), F.lit(True))).collect()
+    assert [r[0] for r in marked] == [r[3] for r in rows]
     existing = spark.createDataFrame([("001.zip", "001/fn00/001.png", 9)], "archive string, member string, size_bytes bigint")
-    got = {r["rule"]: r["violations"] for r in archives.extraction_rules(members, existing, 2).collect()}
-    assert got == {"member stays in its folder": 1, "archive count as expected": 0, "existing file has the member's size": 1}
+    got = {r["rule"]: r["violations"] for r in rules.archive_members(members, existing, 2).collect()}
+    assert got == {"member stays in its folder": 7, "member listed once": 1, "archive count as expected": 0, "existing file has the member's size": 1}
     with pytest.raises(S.RuleViolation, match="stays in its folder"):
-        jobs.extract_archives(spark, str(tmp_path), 2)
+        jobs.check_archives(members, expected=2)
+    assert jobs.check_archives(members.limit(2), expected=1).count() == 2
+
+
+def test_one_to_one_joins(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k int, a string")
+    b = spark.createDataFrame([(2, None, "v"), (3, 1.5, "w"), (None, 0.5, "n")], "k int, b double, `c.d` string")
+    assert sorted(map(tuple, joins.one_to_one(a, b, "k").collect()), key=str) == [(2, "y", None, "v"), (None, "z", 0.5, "n")]
+    assert joins.one_to_one(a, b, ["k"], "left").count() == 3 and joins.one_to_one(a, b, "k", "left").filter("k = 1").first()["b"] is None
+    for left, right, side in ((a.unionByName(a.filter("k = 1")), b, "left"), (a, b.unionByName(b.filter("k = 3")), "right")):
+        with pytest.raises(Exception, match=f"Repeated key on the {side} side"):
+            joins.one_to_one(left, right, "k").select("k").count()
+    with pytest.raises(ValueError, match="Both sides"):
+        joins.one_to_one(a, a, "k")
+    assert joins.one_to_one(a.limit(0), b, "k").count() == 0
+    got = {r["rule"]: r["violations"] for r in joins.one_to_one_report(a.unionByName(a), b, "k").collect()}
+    assert got == {"left key unique": 3, "right key unique": 0, "left key has a partner": 1, "right key has a partner": 1}
+
+
+def test_names_with_blanks_and_percent_signs(spark, tmp_path):
+    root = tmp_path / "raw" / "001" / "fn00"
+    root.mkdir(parents=True)
+    for name in ("a 1.png", "b%202.png"):
+        (root / name).write_bytes(b"x")
+    rows = files.scan_path_frames(spark, str(tmp_path / "raw"), str(tmp_path), "w").select("relative_path").collect()
+    assert sorted(r[0] for r in rows) == ["raw/001/fn00/a 1.png", "raw/001/fn00/b%202.png"]
 
 
 def test_text_tables(spark, tmp_path):
@@ -257,22 +229,31 @@ def test_staged_tables_use_the_shared_folder():
 
 @pytest.fixture(scope="module")
 def workspace(tmp_path_factory):
-    """7 subjects x 2 walks x 30 frames in folders, legs opening every 10 frames; one damaged file."""
+    """7 subjects x 2 walks x 30 frames in folders."""
     root = tmp_path_factory.mktemp("ws")
-    mark = 0
     for subject in range(1, 8):
         for code in ("fn00", "fq01"):
             folder = root / "raw" / f"{subject:03d}" / code
             folder.mkdir(parents=True)
             for i in range(30):
-                mark += 1
-                legs = 3 + round(6 * (1 + math.cos(2 * math.pi * (i - 5) / 10)) / 2)
-                (folder / f"{i:03d}.png").write_bytes(png(figure(legs, mark)))
+                (folder / f"{i:03d}.png").write_bytes(f"{subject} {code} {i}".encode())
     return root
 
 
-def test_jobs_from_files_to_summaries(spark, workspace, tmp_path):
-    manifest = stage(jobs.build_manifest(spark, None, str(workspace / "raw"), str(workspace), {"path": "walks"}).drop("content"), "m")
+@pytest.fixture(scope="module")
+def features(spark):
+    """Legs opening every 10 frames; one file was unreadable and one is not described."""
+    rows = [
+        (f"raw/{subject:03d}/{code}/{i:03d}.png", not (subject == 3 and i == 9), 30, 0.4 + 0.3 * math.cos(2 * math.pi * (i - 5) / 10), f"{i % 10:016x}")
+        for subject in range(1, 8) for code in ("fn00", "fq01") for i in range(30) if (subject, code, i) != (4, "fn00", 8)
+    ]
+    return spark.createDataFrame(rows, "relative_path string, readable boolean, foreground_pixels bigint, feature double, perceptual_hash string")
+
+
+def test_jobs_from_files_to_summaries(spark, workspace, features, tmp_path):
+    manifest = stage(jobs.build_manifest(spark, None, str(workspace / "raw"), str(workspace), features, {"path": "walks"}), "m")
+    with pytest.raises(Exception, match="Repeated key on the right side"):
+        jobs.build_manifest(spark, None, str(workspace / "raw"), str(workspace), features.unionByName(features.limit(1)))
     assert manifest.count() == 420 and manifest.filter("duplicate_group is not null").count() == 0
     assert jobs.manifest_rows(manifest).columns == list(S.MANIFEST_COLUMNS)
     checks, totals = jobs.validate_data(manifest)
@@ -355,23 +336,23 @@ def test_jobs_from_files_to_summaries(spark, workspace, tmp_path):
         jobs.evaluate(test.unionByName(test), 100)
 
 
-def test_audit_job(spark, workspace, tmp_path):
-    scanned = jobs.build_manifest(spark, None, str(workspace / "raw"), str(workspace), {"path": "walks"}).drop("content")
+def test_audit_job(spark, workspace, features, tmp_path):
+    scanned = jobs.build_manifest(spark, None, str(workspace / "raw"), str(workspace), features, {"path": "walks"})
     split = jobs.make_splits(scanned)
     made = jobs.label_sequences(split, "v1")
     named, bounds = stage(made["frame_labels"], "n"), stage(made["cycle_boundaries"], "b")
     wanted = split.select("sample_id", "relative_path", F.when(F.col("frame_index") == 7, "0" * 64).otherwise(F.col("sha256")).alias("sha256"))
     extra = spark.createDataFrame([("z1", "../up.png", "0"), ("z2", "raw/none.png", "0")], "sample_id string, relative_path string, sha256 string")
-    issues = pixels.image_issues(split, wanted.unionByName(extra)).filter(F.size("image_issues") > 0)
+    issues = audit.image_issues(wanted.unionByName(extra), scanned, features).filter(F.size("image_issues") > 0)
     kinds = {r["k"]: r["count"] for r in issues.select(F.explode("image_issues").alias("k")).groupBy("k").count().collect()}
-    assert kinds == {"source_checksum_mismatch": 14, "path_outside_workspace": 1, "missing_or_unreadable_image": 1}
+    assert kinds == {"source_checksum_mismatch": 14, "path_outside_workspace": 1, "missing_or_unreadable_image": 1 + 2 + 1}
     reviewed = named.limit(3).select("sample_id", F.lit(P[0]).alias("label"))
     with pytest.raises(S.RuleViolation, match="allow_test"):
         jobs.audit_release(spark, split, named, bounds, reviewed, issues, str(tmp_path / "a"), ["walks"])
     jobs.audit_release(spark, split, named, bounds, reviewed, issues, str(tmp_path / "a"), ["walks"], True)
     queue = publish.read_table(spark, str(tmp_path / "a"), "sequence_review_queue")
     got = queue.agg(F.sum("frames"), F.sum("image_issue_frames"), F.sum("boundary_disagreement_frames")).first()
-    assert tuple(got) == (420, 14, 0)
+    assert tuple(got) == (420, 14 + 2 + 1, 0)
     assert publish.read_table(spark, str(tmp_path / "a"), "frame_audit").count() == 420
 
 
