@@ -98,9 +98,11 @@ def annotation_pilot(manifest: DataFrame, quota: int = 3, seed: int = S.SEED, **
 def label_sequences(frames: DataFrame, version: str, steps: dict | None = None) -> dict[str, DataFrame]:
     """Signal to labels, boundaries and QC for contiguous sequences (column ``feature``).
 
-    All frames shape the signal; only eligible ones are labelled.
+    All frames shape the signal; only eligible ones are labelled. Frames without a sequence or a number have no place in
+    the signal and are left to the ledger.
     """
     order = "frame_index"
+    frames, _ = blocks.route(frames, KEYS, order)
     table = selection.sequence_table(frames, F.lit("all"))
     rules.raise_if_any(rules.scalar(table, {"sequence is frame-contiguous": ~F.col("is_contiguous")}))
     default = S.by_prefix(F.col("condition"), steps or S.EXPECTED_STEP_FRAMES, S.DEFAULT_STEP_FRAMES)
@@ -125,7 +127,9 @@ def auto_annotate(spark, manifest: DataFrame, output: str, version: str, dataset
     publish.refuse_taken(spark, output)
     made = label_sequences(manifest.filter(F.col("dataset") == dataset), version)
     named = stage(made["frame_labels"], "labels")
-    ledger = L.exclusion_ledger(manifest.drop("feature", "hog"), named, dataset_reasons or {}, "not_in_annotation_scope")
+    unplaced = F.when(F.col("sequence_id").isNull() | F.col("frame_index").isNull(), "missing_frame_order")
+    rows = manifest.drop("feature", "hog").withColumn("exclusion_reason", F.coalesce("exclusion_reason", unplaced))
+    ledger = L.exclusion_ledger(rows, named, dataset_reasons or {}, "not_in_annotation_scope")
     out = {**made, "frame_labels": named, "excluded_samples": ledger, "split_summary": L.split_summary(named)}
     total, source = manifest.count(), ids.content_digest(manifest, "sample_id", "sha256").first()["digest"]
 

@@ -67,7 +67,7 @@ def class_weights(df: DataFrame, label: str = "target_label", root: bool = False
 
 def boundary_weight(df: DataFrame, label: str = "target_label", order: str = "frame_index", keys=("sequence_id",)) -> DataFrame:
     """clip((N - positives) / positives, 1, 20); positives are label changes inside segments."""
-    marked = windows.located_in_segment(df, list(keys), order, label)
+    marked = windows.located_in_segment(df.select(*keys, order, label), list(keys), order, label)
     out = marked.agg(F.count(F.lit(1)).alias("frames"), F.sum("is_boundary").alias("_p"))
     positive = F.greatest(F.lit(1), F.coalesce("_p", F.lit(0)))
     raw = (F.col("frames") - positive) / positive

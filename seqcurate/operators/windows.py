@@ -9,25 +9,29 @@ from .. import schemas as S
 from . import blocks
 
 
-def breaks(df: DataFrame, keys, order: str, tie=()) -> DataFrame:
-    """Add ``_break``: the row does not directly follow the previous one (order - 1)."""
-    rows = blocks.spread(blocks.halo(df, order, 1, 0), keys)
+def breaks(df: DataFrame, keys, order: str, tie=(), placed: bool = False) -> DataFrame:
+    """Add ``_break``: the row does not directly follow the previous one (order - 1).
+
+    ``placed`` rows keep their block, for a further step on the same shuffle.
+    """
+    rows = blocks.spread(blocks.halo(df, order, 1, 0), keys, shared=placed)
     previous = F.lag(order).over(blocks.per_block(keys).orderBy(order, *tie))
     follows = F.coalesce(previous == F.col(order) - 1, F.lit(False))
-    return blocks.core(rows.withColumn("_break", ~follows)).drop(blocks.BLOCK)
+    out = blocks.core(rows.withColumn("_break", ~follows))
+    return out if placed else out.drop(blocks.BLOCK)
 
 
 def segments(df: DataFrame, keys, order: str, tie=(), name: str = "segment") -> DataFrame:
     """Number the gap-free segments of each sequence from 1."""
-    marked = breaks(df, keys, order, tie)
-    return blocks.running_sum(marked, keys, order, F.col("_break").cast("bigint"), name, tie).drop("_break")
+    marked = breaks(df, keys, order, tie, placed=True)
+    return blocks.running_sum(marked, keys, order, F.col("_break").cast("bigint"), name, tie, placed=True).drop("_break")
 
 
 def runs(df: DataFrame, keys, order: str, start: str = "run_start") -> DataFrame:
     """Add the first order value of the run of consecutive values each row belongs to."""
-    marked = breaks(df, keys, order)
+    marked = breaks(df, keys, order, placed=True)
     here = F.when(F.col("_break"), F.col(order))
-    return blocks.carry(marked, keys, order, last={start: here}, rising=True).drop("_break")
+    return blocks.carry(marked, keys, order, last={start: here}, rising=True, placed=True).drop("_break")
 
 
 def run_peaks(df: DataFrame, keys, order: str, score: str) -> DataFrame:
@@ -86,7 +90,7 @@ def context(
 
 def located_in_segment(df: DataFrame, keys, order: str, label: str | None = None) -> DataFrame:
     """Add segment start, length and position (and the label-change flag inside the segment)."""
-    rows = blocks.spread(blocks.halo(df, order, 1, 1), keys)
+    rows = blocks.spread(blocks.halo(df, order, 1, 1), keys, shared=True)
     w = blocks.per_block(keys).orderBy(order)
     follows = F.coalesce(F.lag(order).over(w) == F.col(order) - 1, F.lit(False))
     ends = ~F.coalesce(F.lead(order).over(w) == F.col(order) + 1, F.lit(False))
@@ -94,14 +98,14 @@ def located_in_segment(df: DataFrame, keys, order: str, label: str | None = None
     if label is not None:
         changed = follows & (F.lag(label).over(w) != F.col(label))
         rows = rows.withColumn("is_boundary", F.coalesce(changed, F.lit(False)).cast("int"))
-    rows = blocks.core(rows).drop(blocks.BLOCK)
     out = blocks.carry(
-        rows,
+        blocks.core(rows),
         keys,
         order,
         last={"segment_start": F.when(F.col("_starts"), F.col(order))},
         first={"_last": F.when(F.col("_ends"), F.col(order))},
         rising=True,
+        placed=True,
     )
     return out.withColumns(
         {
@@ -121,7 +125,7 @@ def clips(df: DataFrame, keys, order: str, label: str, width: int, stride: int)
         raise ValueError("The clip length must be an odd integer of at least three.")
     if stride < 1 or stride > width:
         raise ValueError("The stride must be between one and the clip length.")
-    rows = located_in_segment(df, keys, order, label)
+    rows = located_in_segment(df.select(*keys, order, label), keys, order, label)
     at, length = F.col("segment_position"), F.col("segment_length")
     final = F.greatest(F.lit(0), length - width)
     low = F.greatest(F.lit(0), F.ceil((at - width + 1) / stride) * stride)

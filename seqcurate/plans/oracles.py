@@ -235,6 +235,22 @@ oracle(
       THEN 0 ELSE 1 END AS brk FROM raw) r""",
 )
 
+cte(
+    "lossy",
+    "raw",
+    """SELECT sample_id, CASE WHEN doc_id % 53 <> 4 THEN subject_id END AS subject_id, CASE WHEN doc_id % 71 <> 5 THEN frame_index END AS frame_index FROM raw""",
+)
+cte("lost", "lossy", "SELECT sample_id, CASE WHEN subject_id IS NULL THEN 'no subject_id' ELSE 'no frame_index' END AS reject_reason FROM lossy WHERE subject_id IS NULL OR frame_index IS NULL")
+oracle("order_rejects", "lost", "SELECT * FROM lost")
+oracle("order_reject_counts", "lost", "SELECT reject_reason, count(*) AS rows FROM lost GROUP BY 1")
+oracle(
+    "routed_segments",
+    "lossy",
+    """SELECT sample_id, subject_id, frame_index, CAST(sum(brk) OVER (PARTITION BY subject_id ORDER BY frame_index) AS BIGINT) AS segment
+    FROM (SELECT *, CASE WHEN lag(frame_index) OVER (PARTITION BY subject_id ORDER BY frame_index) = frame_index - 1 THEN 0 ELSE 1 END AS brk
+      FROM lossy WHERE subject_id IS NOT NULL AND frame_index IS NOT NULL) r""",
+)
+
 # --- signal -------------------------------------------------------------------------------
 
 cte(

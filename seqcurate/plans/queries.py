@@ -12,6 +12,7 @@ from ..operators import (
     asof,
     audit,
     baselines,
+    blocks,
     bootstrap,
     catalogue,
     dedupe,
@@ -161,6 +162,29 @@ def temporal_segments(spark, d):
     return windows.segments(df, ["subject_id"], ORDER).select("sample_id", "subject_id", ORDER, "segment")
 
 
+def unplaced(spark, d):
+    """The manifest with some rows that have lost their subject or frame number."""
+    at = F.col("doc_id")
+    rows = G.raw_manifest(spark, d).select("doc_id", "sample_id", "subject_id", ORDER)
+    return rows.withColumns({"subject_id": F.when(at % 53 != 4, F.col("subject_id")), ORDER: F.when(at % 71 != 5, F.col(ORDER))})
+
+
+@query
+def order_rejects(spark, d):
+    return blocks.route(unplaced(spark, d), ["subject_id"], ORDER)[1].select("sample_id", "reject_reason")
+
+
+@query
+def order_reject_counts(spark, d):
+    return blocks.reject_counts(unplaced(spark, d), ["subject_id"], ORDER)
+
+
+@query
+def routed_segments(spark, d):
+    kept, _ = blocks.route(unplaced(spark, d), ["subject_id"], ORDER)
+    return windows.segments(kept, ["subject_id"], ORDER).drop("doc_id")
+
+
 # --- signal to labels ---------------------------------------------------------------------
 
 

@@ -121,9 +121,9 @@ def _signal_frames(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
     user = F.col("user_id").cast("string")
     subject = F.concat(F.lit("ev:"), user)
-    # A user with very many events is numbered hour by hour.
+    # A user's events are numbered hour by hour, so one with very many is many groups.
     slot = F.datediff("ts", F.lit("1970-01-01").cast("date")) * 24 + F.hour("ts")
-    rows = blocks.rank_rows(events, ["user_id"], ["ts", "event_id"], slot, ORDER)
+    rows = blocks.rank(events, ["user_id"], ["ts", "event_id"], slot, ORDER)
     turn = F.pmod("user_id", F.lit(4)).cast("int")
     feature = (
         F.when(F.pmod("user_id", F.lit(10)) == 0, F.lit(0.5))

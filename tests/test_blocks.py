@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqcurate.operators import asof, blocks, labels, metrics, selection, signal, splits, windows
+from seqcurate.schemas import PHASES
 
 KEYS, ORDER = ["sequence_id"], "frame_index"
 
@@ -212,17 +213,75 @@ def test_rank_is_a_global_row_number(spark):
     assert all(r["p"] + 1 == r["n"] == r["c"] for r in by_key.collect())
 
 
-@pytest.mark.parametrize("hot_rows", [20, 10_000])
-def test_rank_rows_with_hot_keys(spark, hot_rows):
+def test_rank_with_hot_and_null_keys(spark):
     rng = random.Random(2)
-    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(40)}", rng.randrange(300), i) for i in range(400)]
+    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(40)}" if rng.random() < 0.9 else None, rng.choice([None, *range(300)]), i) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, at int, id int")
-    got = blocks.rank_rows(df, ["k"], ["at", "id"], F.floor(F.col("at") / 10), "p", hot_rows)
+    got = blocks.rank(df, ["k"], ["at", "id"], F.floor(F.col("at") / 10), "p", "n")
     want = {}
     for k in {r[0] for r in rows}:
-        for p, row in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))):
-            want[row[2]] = p
-    assert {r["id"]: r["p"] for r in got.collect()} == want
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        for p, row in enumerate(own):
+            want[row[2]] = (p, len(own))
+    assert {r["id"]: (r["p"], r["n"]) for r in got.collect()} == want
+
+
+PLACED = {
+    "interpolate": lambda df: signal.interpolate(df, KEYS, ORDER, "feature"),
+    "smooth": lambda df: signal.smooth(df, KEYS, ORDER, "feature"),
+    "peak_candidates": lambda df: signal.peak_candidates(df, KEYS, ORDER, "feature"),
+    "suppress": lambda df: signal.suppress(df.withColumns({"prominence": F.lit(1.0), "signal": F.lit(1.0)}), KEYS, ORDER),
+    "segments": lambda df: windows.segments(df, KEYS, ORDER),
+    "runs": lambda df: windows.runs(df, KEYS, ORDER),
+    "run_peaks": lambda df: windows.run_peaks(df, KEYS, ORDER, "feature"),
+    "context": lambda df: windows.context(df, KEYS, ORDER, "label", 3),
+    "located_in_segment": lambda df: windows.located_in_segment(df, KEYS, ORDER, "label"),
+    "clips": lambda df: windows.clips(df, KEYS, ORDER, "label", 3, 1),
+    "sequence_scores": lambda df: windows.sequence_scores(df, KEYS, ORDER, F.lit(0), ["feature"] * 4, "feature", "feature"),
+    "backward": lambda df: asof.backward(df, df.limit(1), KEYS, ORDER),
+    "nearest": lambda df: asof.nearest(df.limit(1), df, KEYS, ORDER),
+    "boundary_flags": lambda df: labels.boundary_flags(df, KEYS, ORDER, "label"),
+    "running_sum": lambda df: blocks.running_sum(df, KEYS, ORDER, F.lit(1), "n"),
+    "transition_validity": lambda df: metrics.transition_validity(df.withColumns({"subject_id": F.col("sequence_id"), "y_pred": F.lit(PHASES[0])})),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PLACED))
+def test_rows_without_a_place_stop_the_job(spark, name):
+    """Neither a null key nor a null order value disappears; routed off, the rest goes on."""
+    kind = "sequence_id string, frame_index bigint, feature double, label string"
+    good = [("a", 1, 0.5, "x"), ("a", 2, 0.25, "y"), ("b", 1, 0.5, "x")]
+    for bad, reason in ((("a", None, 0.5, "x"), "no frame_index"), ((None, 3, 0.5, "x"), "no sequence_id")):
+        df = spark.createDataFrame([*good, bad], kind).repartition(1)
+        with pytest.raises(Exception, match="without a place"):
+            PLACED[name](df.orderBy(F.col("feature").desc(), F.col("frame_index").asc_nulls_first(), F.col("sequence_id").asc_nulls_first())).collect()
+        kept, ledger = blocks.route(df, KEYS, ORDER)
+        assert [(r["reject_reason"], r["feature"]) for r in ledger.collect()] == [(reason, 0.5)] and kept.count() == 3
+        PLACED[name](kept).collect()
+        assert blocks.reject_counts(df, KEYS, ORDER).first()["rows"] == 1
+
+
+def _reads(df):
+    """Scans of tables in the plan that ran, without those that a reused shuffle spares."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("FileScan ") + plan.count("Scan ExistingRDD"), plan
+
+
+@pytest.mark.parametrize("name", ["carry", "running_sum", "segments", "runs", "located_in_segment", "nearest"])
+def test_input_is_evaluated_once(spark, sf_dir, name):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("sequence_id"), F.col("event_id").alias(ORDER), "value")
+    made = {
+        "carry": lambda: blocks.carry(rows, KEYS, ORDER, last={"v": F.col("value")}),
+        "running_sum": lambda: blocks.running_sum(rows, KEYS, ORDER, F.col("value"), "v"),
+        "segments": lambda: windows.segments(rows, KEYS, ORDER),
+        "runs": lambda: windows.runs(rows, KEYS, ORDER),
+        "located_in_segment": lambda: windows.located_in_segment(rows, KEYS, ORDER, "value"),
+        "nearest": lambda: asof.nearest(rows, rows.filter("value > 50"), KEYS, ORDER),
+    }[name]()
+    scans, plan = _reads(made)
+    assert scans == (2 if name == "nearest" else 1), plan  # nearest has two inputs
+    assert "ReusedExchange" in plan
 
 
 def test_explode_span_crosses_chunks(spark):

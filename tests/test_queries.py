@@ -35,6 +35,17 @@ def test_plan(spark, sf_dir, name):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+@pytest.mark.parametrize(
+    ("name", "most"), [("temporal_segments", 2), ("boundary_timing", 3), ("nearest_boundary_error", 3), ("predicted_boundary_peaks", 1), ("asof_grid", 3), ("smooth_signal", 1), ("interpolate_signal", 1)]
+)
+def test_inputs_are_read_once(spark, sf_dir, name, most):
+    """Scans in the plan that ran; a shuffle that is used twice is made once."""
+    df = QUERIES[name](spark, sf_dir)
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("FileScan ") <= most, ran
+
+
 def test_filters_reach_the_scan(spark, sf_dir):
     plan = QUERIES["confidence_withheld"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "IsNull(exclusion_reason)" in plan

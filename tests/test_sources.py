@@ -269,6 +269,10 @@ def test_jobs_from_files_to_summaries(spark, workspace, features, tmp_path):
     with pytest.raises(FileExistsError):
         jobs.auto_annotate(spark, split, str(tmp_path / "labels"), "v1", "walks")
     assert done["sequences"] == 14 and done["subjects"] == 7 and sum(done["phase_label_counts"].values()) == 420
+    lost = split.withColumn("frame_index", F.when((F.col("subject_id") != "walks:002") | (F.col("frame_index") < 29), F.col("frame_index")))
+    short = jobs.auto_annotate(spark, lost, str(tmp_path / "short"), "v1", "walks")
+    assert (short["labeled_frames"], short["excluded_frames"], short["accounted_manifest_frames"]) == (418, 2, 420)
+    assert {r["provisional_exclusion_reason"] for r in publish.read_table(spark, str(tmp_path / "short"), "excluded_samples").collect()} == {"missing_frame_order"}
     named, bounds = (publish.read_table(spark, str(tmp_path / "labels"), t) for t in ("frame_labels", "cycle_boundaries"))
     assert jobs.repair_boundaries(spark, named, bounds, str(tmp_path / "fixed"))["changed_boundary_records"] == 0
 
