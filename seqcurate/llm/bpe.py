@@ -7,10 +7,14 @@ that is, if merging would have produced just this pair. One back-pointer per pre
 following them from the end gives the ids. Time is in proportion to the matches, whatever the piece.
 
 Pieces are what the vocabulary's own splitting pattern gives; white-space chunks that were encoded
-before are remembered in two bounded generations. The file's added tokens are cut out first.
+before are remembered in two generations, and what a process remembers is bounded in bytes. The file's added tokens are
+cut out first.
+
+Encoding and decoding run in one pass over the texts, piece by piece, so a task holds one set of tables.
 
 Defined cases: a null text has no ids and decodes to an empty text, as has an empty one; ids that
-do not form valid UTF-8 decode with replacement characters; an id the vocabulary lacks is refused.
+do not form valid UTF-8 decode with replacement characters; an id the vocabulary lacks is refused; given columns
+of the names that are added give way to them.
 """
 
 from __future__ import annotations
@@ -21,15 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Code points with the White_Space property.
 BLANKS = "\t-\r \x85\xa0  -     　"
-#: Chunks remembered in each of the two generations of a task's process.
-REMEMBERED = 250_000
-PAIRS_REMEMBERED = 500_000
+#: What a process remembers at most: bytes of chunks in each of two generations, pairs and transitions (about 100 bytes each).
+CHUNK_BYTES = 32 << 20
+PAIRS = 300_000
+TRANSITIONS = 100_000
+#: What an entry of a dictionary of texts takes besides the characters, in bytes.
+ENTRY = 220
+#: Characters encoded before their rows are handed on.
+PIECE = 1 << 21
 
 
 def letter_classes(path: str) -> tuple[str, str]:
@@ -91,16 +102,18 @@ class Chunks(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.held = encode, {}, 0
 
     def __missing__(self, chunk: str) -> str:
         ids = self.older.get(chunk)
         if ids is None:
             ids = self.encode(chunk)
         if len(chunk) <= 64:
-            if len(self) >= REMEMBERED:
+            self.held += ENTRY + len(chunk) + len(ids)
+            if self.held > CHUNK_BYTES:
                 self.older = dict(self)
                 self.clear()
+                self.held = 0
             self[chunk] = ids
         return ids
 
@@ -109,12 +122,12 @@ class SuffixAutomaton(dict):
     """Reads bytes and knows after each the longest token that ends there; suffix links give the shorter ones.
 
     A state is the longest stretch read last that begins some token. Steps that leave the trie
-    follow suffix links once and are then remembered.
+    follow suffix links once and are then remembered, ``TRANSITIONS`` of them.
     """
 
     def __init__(self, tokens: dict[bytes, int]):
         super().__init__()
-        self.step = self
+        self.step, self.learned = self, []
         nodes: list[tuple[int, int]] = [(0, 0)]
         for token in tokens:
             at = 0
@@ -138,17 +151,30 @@ class SuffixAutomaton(dict):
             depth[node] = depth[nodes[node][0]] + 1
         for node in sorted(range(1, len(nodes)), key=depth.__getitem__):
             parent, byte = nodes[node]
-            link = self[self.link[parent] << 8 | byte] if parent else 0
+            link = self._down(self.link[parent], byte) if parent else 0
             self.link[node] = link
             if ends[node] >= 0:
                 self.shorter[ends[node]] = ends[link]
             else:
                 ends[node] = ends[link]
 
+    def _down(self, state: int, byte: int) -> int:
+        """The step from a state whose links are known, without remembering it."""
+        while (out := self.get(state << 8 | byte)) is None:
+            if not state:
+                return 0
+            state = self.link[state]
+        return out
+
     def __missing__(self, key: int) -> int:
         state, byte = key >> 8, key & 255
         out = self[self.link[state] << 8 | byte] if state else 0
+        if len(self.learned) >= TRANSITIONS:
+            for old in self.learned:
+                del self[old]
+            self.learned.clear()
         self[key] = out
+        self.learned.append(key)
         return out
 
 
@@ -199,7 +225,7 @@ class Codec:
             else:
                 # The pair merges before b is made if its rank is not above b's: left goes first.
                 limit, b = rb + 1, self.parts[b][0]
-        if len(self.known) >= PAIRS_REMEMBERED:
+        if len(self.known) >= PAIRS:
             self.known.clear()
         self.known[left << 32 | right] = answer
         return answer
@@ -279,17 +305,43 @@ def _shipped(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(_READ[path])
 
 
-def encode(docs: DataFrame, path: str, name: str = "ids", text: str = "text") -> DataFrame:
-    """Adds the token ids of each text."""
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, list]]:
+    """(first row, texts) of stretches of about ``PIECE`` characters; a longer text is one of its own."""
+    first, held, size = 0, [], 0
+    for k in range(len(texts)):
+        text = texts[k].as_py()
+        held.append(text)
+        size += len(text or "")
+        if size >= PIECE:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
+
+
+def encode(docs: DataFrame, path: str, name: str = "ids", text: str = "text", decoded: str | None = None) -> DataFrame:
+    """Adds the token ids of each text, and under ``decoded`` the text that they stand for."""
     held = _shipped(docs, path)
+    kept = docs.drop(*[c for c in (name, decoded) if c])
+    # The text travels beside the rows, as what it is called there may be any name.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("kept"), F.col(f"`{text}`").cast("string").alias("text"))
 
-    @F.pandas_udf("array<int>")
-    def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, held)
-        for batch in texts:
-            yield pd.Series([codec.encode(t) for t in batch], dtype=object)
-
-    return docs.withColumn(name, encoded(F.col(text)))
+        for batch in batches:
+            for first, texts in _stretches(batch.column(1)):
+                lists = [codec.encode(t) for t in texts]
+                offsets = np.concatenate(([0], np.cumsum([len(i) for i in lists]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(offsets, np.concatenate(lists).astype(np.int32))
+                back = [pa.array([codec.decode(i) for i in lists], pa.string())] if decoded else []
+                yield pa.record_batch([batch.column(0).slice(first, len(texts)), ids, *back], ["kept", "ids", "decoded"][: 2 + bool(decoded)])
+
+    kinds = T.StructType([rows.schema["kept"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if decoded:
+        kinds.add("decoded", T.StringType())
+    out = rows.mapInArrow(run, kinds)
+    columns = [F.col("ids").alias(name)] + ([F.col("decoded").alias(decoded)] if decoded else [])
+    return out.select(*[F.col(f"kept.`{c}`") for c in kept.columns], *columns)
 
 
 def decode(rows: DataFrame, path: str, name: str = "decoded", ids: str = "ids") -> DataFrame:
