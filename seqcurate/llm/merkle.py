@@ -1,6 +1,9 @@
 """Document fingerprints: Merkle trees over sentences, paragraphs and sections.
 
-Leaves are the sentences of a paragraph (line); a paragraph's digest is that of its leaves, a
+Leaves are the sentences of a paragraph (line); a sentence of more than ``LONG`` characters (a script without
+Western full stops, a table, code) is cut further after pairs of neighbouring units whose hash has a mark, a unit being a run of
+printable ASCII or any other character, and after ``MOST`` units at the latest, so texts with a common part have common
+leaves in any script. A paragraph's digest is that of its leaves, a
 section's that of its paragraphs, and the root that of the sections. A blank line ends a section,
 and so does a paragraph whose digest begins with ``SECTION_MARK``: borders follow from the content,
 so an edit changes only the branches it touches. The fingerprint is one string,
@@ -29,17 +32,35 @@ NODE = 12
 #: One paragraph in 16 ends a section.
 SECTION_MARK = "0"
 SENTENCE_GAP = r"(?<=[.!?])[\x20\t]+"
+#: Characters of a sentence that is one leaf; one in CUT of the pairs of units is a border, and MOST units are a leaf at most.
+LONG, CUT, MOST = 100, 8, 64
+UNIT = r"[!-~]+[\x20\t]*|[^!-~]"
+#: Put at borders before splitting; a text that has it is only cut once more.
+BORDER = "\x01"
 
 
 def _digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _cut(sentence: Column) -> Column:
+    """A sentence as leaves."""
+
+    def marked(units: Column) -> Column:
+        pair = lambda u, i: F.crc32(F.concat(u, F.coalesce(F.get(units, i + 1), F.lit(""))).cast("binary"))
+        ends = lambda u, i: (pair(u, i) % CUT == 0) | (i % MOST == MOST - 1)
+        text = F.array_join(F.transform(units, lambda u, i: F.when(ends(u, i), F.concat(u, F.lit(BORDER))).otherwise(u)), "")
+        return F.filter(F.split(text, BORDER), lambda x: x != "")
+
+    cut = let(F.regexp_extract_all(sentence, F.lit(f"(?s){UNIT}"), 0), marked)
+    return F.when(F.length(sentence) <= LONG, F.array(sentence)).otherwise(cut)
+
+
 def paragraphs(text: Column) -> Column:
     """Per line: its leaves, its digest and whether a section ends with it."""
 
     def build(line: Column) -> Column:
-        leaves = F.transform(F.split(line, SENTENCE_GAP), lambda s: F.substring(_digest(s), 1, NODE))
+        leaves = F.transform(F.flatten(F.transform(F.split(line, SENTENCE_GAP), _cut)), lambda s: F.substring(_digest(s), 1, NODE))
         # The line itself is hashed with its leaves: blanks between sentences count as well.
         return F.struct(leaves.alias("leaves"), _digest(line).alias("line"), (F.trim(line) == "").alias("blank"))
 
@@ -83,13 +104,32 @@ def leaves(print_: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(print_, F.lit(r"\(([^)]*)\)"), 1), lambda p: F.split(p, r"\."))))
 
 
+def packed(print_: Column) -> Column:
+    """Root and distinct leaves of a fingerprint as bytes: half the size of their digits."""
+    return F.unhex(F.concat(F.substring(print_, 1, 64), F.array_join(leaves(print_), "")))
+
+
+def _shared(left: Column, right: Column) -> Column:
+    return let(
+        F.struct(left.alias("a"), right.alias("b")),
+        lambda s: F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"])),
+    )
+
+
 def likeness(left: Column, right: Column) -> Column:
     """Leaves in both over leaves in either; 1 if the roots agree."""
-    shared = let(
-        F.struct(leaves(left).alias("a"), leaves(right).alias("b")),
-        lambda s: F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"])),
+    return F.when(F.substring(left, 1, 64) == F.substring(right, 1, 64), F.lit(1.0)).otherwise(_shared(leaves(left), leaves(right)))
+
+
+def likeness_to_packed(left: Column, pack: Column) -> Column:
+    """The likeness of a fingerprint and one that came ``packed``."""
+    digits = F.lower(F.hex(pack))
+    return let(
+        digits,
+        lambda d: F.when(F.substring(left, 1, 64) == F.substring(d, 1, 64), F.lit(1.0)).otherwise(
+            _shared(leaves(left), F.regexp_extract_all(F.substr(d, F.lit(65)), F.lit(f"[0-9a-f]{{{NODE}}}"), 0))
+        ),
     )
-    return F.when(F.substring(left, 1, 64) == F.substring(right, 1, 64), F.lit(1.0)).otherwise(shared)
 
 
 def differences(left: Column, right: Column) -> Column:
@@ -121,13 +161,14 @@ def differences(left: Column, right: Column) -> Column:
     return F.when(F.substring(left, 1, 64) != F.substring(right, 1, 64), differing).otherwise(F.array().cast("array<struct<section:int,paragraph:string>>"))
 
 
-def next_ids(docs: DataFrame) -> DataFrame:
-    """(_key, _hash, _next_key, _next_hash): each document's next in ascending order of (doc_id, _hash); the last one's is the first.
+def wanted(docs: DataFrame) -> DataFrame:
+    """(_key, _hash, _before_key, _before_hash, _half): who asks each document for how many of its first characters.
 
-    Ids only: they are dealt by range and written with their range, each range is ordered on its own,
-    and the first row of each range, one row a range, links the ranges.
+    Documents stand in ascending order of (doc_id, _hash); each asks its next for half its own length, the last
+    one the first. Without texts: rows are dealt by range and written with their range, each range is ordered on its own, and the
+    first row of each range, one row a range, links the ranges.
     """
-    ids = docs.select("doc_id", "_key", "_hash").distinct().repartitionByRange("doc_id", "_hash")
+    ids = docs.select("doc_id", "_key", "_hash", "_n").distinct().repartitionByRange("doc_id", "_hash")
     ids = stage(ids.withColumn("_range", F.spark_partition_id()), "merkle-order")
     here = F.struct("doc_id", "_hash", "_key")
     order = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), "_hash")
@@ -137,31 +178,35 @@ def next_ids(docs: DataFrame) -> DataFrame:
     overall = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = firsts.select("_range", F.coalesce(F.lead("_first").over(ranges), F.first("_first").over(overall)).alias("_after"))
     joined = ordered.join(after, "_range").withColumn("_next", F.coalesce("_next", "_after"))
-    return joined.select("_key", "_hash", F.col("_next._key").alias("_next_key"), F.col("_next._hash").alias("_next_hash"))
+    return joined.select(
+        F.col("_next._key").alias("_key"), F.col("_next._hash").alias("_hash"), F.col("_key").alias("_before_key"), F.col("_hash").alias("_before_hash"), F.floor(F.col("_n") / 2).alias("_half")
+    )
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Fingerprints of each document and of its edited text, and their likenesses."""
+    """Fingerprints of each document and of its edited text, and their likenesses.
+
+    Texts are shuffled once. To the document before it each sends the characters that one asks for and its packed leaves.
+    """
     kind = docs.schema["doc_id"].dataType
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text"))
     # The key is never null, and the id can be read back from it.
     rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")))
-    rows = rows.withColumn("_hash", F.xxhash64("_text", F.md5("_text")))
-    order = next_ids(rows)
-    # Both joins read the same exchange of texts and fingerprints.
-    printed = rows.select("_key", "_hash", "_text", fingerprint(F.col("_text")).alias("fingerprint")).repartition("_key", "_hash")
-    doc_id = F.when(F.col("_key") != "", F.expr("substring(_key, 2)").cast(kind)).alias("doc_id")
-    own = printed.join(order, ["_key", "_hash"]).select(doc_id, "_text", "fingerprint", "_next_key", "_next_hash")
-    following = printed.dropDuplicates(["_key", "_hash"]).select(
-        F.col("_key").alias("_next_key"), F.col("_hash").alias("_next_hash"), F.col("_text").alias("_following"), F.col("fingerprint").alias("_following_print")
+    rows = rows.withColumn("_hash", F.xxhash64("_text", F.md5("_text"))).withColumn("_n", F.length("_text"))
+    asked = wanted(rows)
+    # Both joins read one exchange of the texts.
+    texts = rows.select("_key", "_hash", "_text").repartition("_key", "_hash")
+    given = texts.dropDuplicates(["_key", "_hash"]).join(asked, ["_key", "_hash"])
+    given = given.select(
+        F.col("_before_key").alias("_key"), F.col("_before_hash").alias("_hash"), F.left(F.col("_text"), F.col("_half").cast("int")).alias("_given"), packed(fingerprint(F.col("_text"))).alias("_pack")
     )
-    both = own.join(following, ["_next_key", "_next_hash"])
+    both = texts.join(given, ["_key", "_hash"])
+    doc_id = F.when(F.col("_key") != "", F.expr("substring(_key, 2)").cast(kind)).alias("doc_id")
     n = F.length("_text")
-    half = F.floor(n / 2)
-    edited = F.concat(F.left(F.col("_text"), (n - half).cast("int")), F.left(F.col("_following"), half.cast("int")))
-    made = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "fingerprint", "_following_print")
+    edited = F.concat(F.left(F.col("_text"), (n - F.floor(n / 2)).cast("int")), F.col("_given"))
+    made = both.select(doc_id, n.cast("long").alias("n_chars"), edited.alias("_edited"), fingerprint(F.col("_text")).alias("fingerprint"), "_pack")
     hashed = made.select(
-        "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("_edited")).alias("edited_fingerprint"), "_following_print"
+        "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("_edited")).alias("edited_fingerprint"), "_pack"
     )
     return hashed.select(
         "doc_id",
@@ -170,5 +215,5 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("_following_print")).alias("near_next"),
+        likeness_to_packed(F.col("fingerprint"), F.col("_pack")).alias("near_next"),
     )
