@@ -164,6 +164,7 @@ def prepare_training_data(
     ``files_found`` (path, sha256) switches on the check that every source file is there unchanged.
     """
     publish.refuse_taken(spark, output)
+    rules.refuse_empty(named, "label")
     rules.raise_if_any(rules.label_release(named, manifest, datasets))
     extra = ["phase_label", "confidence", "annotation_source", "annotation_version"]
     source = manifest.drop(*extra, "cycle_position")
@@ -260,6 +261,7 @@ def train_baseline(
 def evaluate(preds: DataFrame, iterations: int = bootstrap.ITERATIONS) -> dict[str, DataFrame]:
     """All score tables of one prediction table."""
     S.require_columns(preds, ["sample_id", "dataset", "subject_id", "condition", "y_true", "y_pred"], "prediction")
+    rules.refuse_empty(preds, "prediction")
     rules.raise_if_any(rules.duplicated(preds, "sample_id unique", ["sample_id"]))
     out = {
         "overall": metrics.overall(preds),
@@ -286,15 +288,18 @@ def aggregate_results(
         raise ValueError("Use at least 100 bootstrap iterations.")
     registry = tables.registry_table(spark, variants)
     preds, registered = tables.read_registered_runs(spark, run_root, registry)
-    preds = stage(preds, "predictions")
+    preds = rules.refuse_empty(stage(preds, "predictions"), "prediction")
     folds, samples, subjects = sorted(expected["folds"]), expected["samples"], expected["subjects"]
     rules.raise_if_any(rules.duplicated(canonical, "canonical sample unique", ["sample_id"]))
     rules.raise_if_any(runs.registry(preds, registered, folds, samples, subjects))
     rules.raise_if_any(runs.coverage(preds, canonical, list(variants)))
     if runs.identical_variants(preds).first()[0] != 1:
         raise S.RuleViolation("Variants do not contain the same sample identities and labels.")
+    best = runs.best_epoch(tables.read_curves(spark, run_root, registry)).join(F.broadcast(registry), "run_id")  # a hand-written list
     out = {
         "predictions": preds,
+        "best_epochs": best.select("variant", "fold", "run_id", "best_epoch"),
+        "training_length": runs.duration(best, ["variant"]),
         "fold_summary": runs.fold_summary(preds, registry),
         "model_summary": runs.model_summary(preds, iterations),
     }
@@ -316,9 +321,11 @@ def audit_release(
         raise S.RuleViolation("The full audit needs allow_test=True.")
     in_scope = F.col("dataset").isin(list(datasets))
     eligible = manifest.filter(in_scope & F.col("exclusion_reason").isNull())
+    rules.refuse_empty(named, "label")
     gap = audit.id_difference(eligible, named).first()
     if gap["only_left"] or gap["only_right"]:
-        raise S.RuleViolation("Label coverage differs from the eligible source frames.")
+        lost = rules.preview(eligible.join(named, "sample_id", "left_anti")) + rules.preview(named.join(eligible, "sample_id", "left_anti"))
+        raise S.RuleViolation(f"Labels and eligible source frames differ, e.g. in {', '.join(lost)}")
     if not L.overlaps(bounds).isEmpty():
         raise S.RuleViolation("Overlapping saved boundary cycles.")
     compared = stage(L.compare(named, bounds).withColumn("disagrees", F.col("phase_label") != F.col("boundary_phase")), "compared")
@@ -355,3 +362,33 @@ def next_annotation_batch(metadata: DataFrame, prior: DataFrame, datasets, quota
     frames = eligible.join(selected.select("sequence_id"), "sequence_id", "left_semi")
     rules.raise_if_any(rules.batch(frames, datasets))
     return selected, frames
+
+
+def finalise_review(
+    spark, records: DataFrame, key: DataFrame, frames: DataFrame, output: str, version: str, approved: dict, datasets, files_found: DataFrame | None = None
+) -> dict:
+    """Publish a reviewed set of cycles: all decisions, the accepted boundaries and their frames.
+
+    ``records`` are the reviewed cycles (sequence, cycle, status, reason, confidence and the five marks), ``key`` names the
+    sequence behind each blind id, ``approved`` has the numbers of cycles and frames that were confirmed. Accepted frames meet
+    their source rows one to one, have to be eligible development rows, and unchanged where ``files_found`` is given.
+    Nothing here becomes training data.
+    """
+    publish.refuse_taken(spark, output)
+    rules.refuse_empty(records, "review")
+    decisions = stage(selection.review_decisions(records, key.select("blind_sequence_id", "sequence_id", "subject_id", "dataset")), "decisions")
+    rules.raise_if_any(rules.decided(decisions, key))
+    kept = ["dataset", "subject_id", "sequence_id", F.col("cycle").alias("cycle_id"), *S.HUMAN_MARKS]
+    accepted = decisions.filter("accepted").select(*kept, F.lit(f"reviewed:{version}").alias("annotator_id"), "confidence", F.col("reason").alias("notes"))
+    expanded = L.expand(accepted, ["sequence_id", "cycle_id"], S.HUMAN_MARKS)
+    source = frames.select("sequence_id", "frame_index", "sample_id", "dataset", "subject_id", "relative_path", "sha256", "split", "fold", "exclusion_reason")
+    mine = source.join(accepted.select("sequence_id").distinct(), "sequence_id", "left_semi")
+    joined = stage(joins.one_to_one(expanded, mine, ["sequence_id", "frame_index"], "left"), "accepted")
+    rules.raise_if_any(rules.reviewed(accepted, approved["cycles"], joined, approved["frames"]))
+    rules.raise_if_any(rules.batch(joined, datasets))
+    if files_found is not None:
+        rules.raise_if_any(rules.files_match(joined.select("relative_path", "sha256"), files_found).filter("rule <> 'file is referenced'"))
+    marked = joined.drop("exclusion_reason").withColumns({"annotation_version": F.lit(version), "training_eligible": F.lit(False)})
+    counts = {r["status"]: r["count"] for r in decisions.groupBy("status").count().collect()}  # three states
+    summary = {"annotation_version": version, "decision_counts": counts, "accepted_subjects": joined.agg(F.count_distinct("subject_id")).first()[0]}
+    return publish.publish(spark, output, {"decisions": decisions, "boundaries": accepted, "frames": marked}, summary)

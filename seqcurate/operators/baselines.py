@@ -13,9 +13,13 @@ K = len(S.PHASES)
 
 
 def _attach(left: DataFrame, right: DataFrame, keys, column: str) -> DataFrame:
-    """Add a column of a table with one row per key; without keys it is a scalar subquery."""
+    """Add a column of a table with one row per key; without keys it is a scalar subquery.
+
+    The table is written first, so its size is known: it is broadcast as any small file is, and the many rows
+    of a key are not shuffled to one place.
+    """
     if keys:
-        return left.join(right, list(keys), "left")
+        return left.join(stage(right, "lookup"), list(keys), "left")
     return left.withColumn(column, right.select(column).scalar())
 
 
@@ -42,7 +46,7 @@ def binned_prior(train: DataFrame, evaluation: DataFrame, bins: int = 20, keys=(
     lookup = counts.groupBy(*keys, "_bin").agg(mode(F.col("_n")).alias("_mode"))
     total = counts.groupBy(*keys, label).agg(F.sum("_n").alias("_n"))
     fallback = total.groupBy(*keys).agg(mode(F.col("_n")).alias("_fallback"))
-    table = evaluation.withColumn("_bin", position_bin(bins)).join(lookup, [*keys, "_bin"], "left")
+    table = _attach(evaluation.withColumn("_bin", position_bin(bins)), lookup, [*keys, "_bin"], "_mode")
     out = _attach(table, fallback, keys, "_fallback").withColumn("y_pred", F.coalesce("_mode", "_fallback"))
     return out.drop("_bin", "_mode", "_fallback")
 
@@ -89,7 +93,7 @@ def linear_svm(train: DataFrame, evaluation: DataFrame, features: str, label: st
     weights = counts.select(label, (share.scalar() / F.col("_c")).alias("_weight"))
     vector = array_to_vector(F.col(features))
     # The solver reads its input once per iteration, so it is staged first.
-    rows = stage(train.join(weights, label).select(features, label, "_weight"), "svm").withColumn("_raw", vector)
+    rows = stage(train.join(stage(weights, "weights"), label).select(features, label, "_weight"), "svm").withColumn("_raw", vector)
     classifier = LinearSVC(maxIter=iterations, featuresCol="_scaled", weightCol="_weight", labelCol=label)
     model = Pipeline(
         stages=[

@@ -60,9 +60,10 @@ def raise_if_any(report: DataFrame) -> None:
         raise S.RuleViolation("; ".join(f"{row['rule']}: {row['violations']}" for row in broken))
 
 
-def preview(df: DataFrame, condition: Column, key: str = "sample_id", limit: int = 5) -> list:
+def preview(df: DataFrame, condition: Column | None = None, key: str = "sample_id", limit: int = 5) -> list:
     """First few offending ids for a message."""
-    return [row[0] for row in df.filter(condition).select(key).orderBy(key).limit(limit).collect()]
+    rows = df if condition is None else df.filter(condition)
+    return [row[0] for row in rows.select(key).orderBy(key).limit(limit).collect()]
 
 
 def blank(name: str) -> Column:
@@ -263,17 +264,27 @@ def archive_members(members: DataFrame, existing: DataFrame | None = None, expec
     return merge(*tables)
 
 
-def reviewed(decisions: DataFrame, boundaries_table: DataFrame, frames: DataFrame, expected_cycles: int, expected_frames: int) -> DataFrame:
-    """Finalisation rules: accepted cycles and their expanded frames meet the source 1:1."""
-    expanded = L.expand(boundaries_table, ["sequence_id", "cycle_id"], S.HUMAN_MARKS)
-    source = frames.select("sequence_id", "frame_index", F.lit(True).alias("_src"))
-    joined = expanded.join(source, ["sequence_id", "frame_index"], "left")
+def refuse_empty(df: DataFrame, what: str) -> DataFrame:
+    """The table, unless it has no row."""
+    if df.isEmpty():
+        raise S.RuleViolation(f"The {what} table is empty.")
+    return df
+
+
+def decided(decisions: DataFrame, key: DataFrame) -> DataFrame:
+    """Rules of review decisions: a blind id names one sequence, every decision has an identity and a known status."""
+    return merge(
+        duplicated(key, "blind id names one sequence", ["blind_sequence_id"]),
+        scalar(decisions, {"decision status known": F.col("status").isNull(), "decision has an identity": F.col("sequence_id").isNull()}),
+    )
+
+
+def reviewed(accepted: DataFrame, expected_cycles: int, frames: DataFrame, expected_frames: int) -> DataFrame:
+    """Rules of accepted cycles (with their marks) and their frames (with ``sha256`` of the source row): as many as approved."""
     size = lambda df, rule, want: df.agg((F.count(F.lit(1)) != want).cast("bigint").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
     return merge(
-        boundaries(boundaries_table),
-        size(boundaries_table, "accepted cycles as approved", expected_cycles),
-        size(expanded, "accepted frames as approved", expected_frames),
-        scalar(joined, {"frame has a source row": F.col("_src").isNull()}),
-        duplicated(expanded, "frame accepted once", ["sequence_id", "frame_index"]),
-        scalar(decisions, {"decision status known": F.col("status").isNull()}),
+        boundaries(accepted),
+        size(accepted, "accepted cycles as approved", expected_cycles),
+        size(frames, "accepted frames as approved", expected_frames),
+        scalar(frames, {"frame has a source row": F.col("sha256").isNull()}),
     )

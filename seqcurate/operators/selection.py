@@ -122,13 +122,12 @@ REVIEW_STATUS = {
 
 
 def review_decisions(records: DataFrame, key: DataFrame) -> DataFrame:
-    """Reviewed cycles with their identity and status; unknown states give null.
+    """Reviewed cycles (sequence, cycle, status, ...) with the identity behind their blind id, and their final status.
 
-    ``key`` maps blind ids to sequences (one row per blind id, a hand-made list).
+    ``key`` maps blind ids to sequences, one row each (a hand-made list). An unknown state keeps a null status.
     """
     status = None
     for name, text in REVIEW_STATUS.items():
         status = F.when(F.col("status") == name, text) if status is None else status.when(F.col("status") == name, text)
-    return records.withColumn("accepted", F.col("status") == "proposed").withColumn("status", status).join(
-        key, records["sequence"] == key["blind_sequence_id"], "left"
-    )
+    named = records.withColumns({"accepted": F.coalesce(F.col("status") == "proposed", F.lit(False)), "status": status})
+    return named.withColumnRenamed("sequence", "blind_sequence_id").join(key, "blind_sequence_id", "left")

@@ -142,12 +142,22 @@ def clips(df: DataFrame, keys, order: str, label: str, width: int, stride: int)
     )
 
 
-def overlap_average(scored: DataFrame, keys, probabilities: list[str], extra: list[str] = ()) -> DataFrame:
-    """Mean of each probability over the clips covering a frame, and the winning label."""
-    means = [F.avg(c).alias(c) for c in [*probabilities, *extra]]
-    out = scored.groupBy(*keys).agg(*means, F.count(F.lit(1)).alias("covered"))
-    values = F.array(*probabilities)
-    winner = F.array_position(values, F.array_max(values)) - 1
+def overlap_average(scored: DataFrame, keys, probabilities: list[str], extra: list[str] = (), expected: DataFrame | None = None) -> DataFrame:
+    """Mean of each probability over the clips covering a frame, and the winning label.
+
+    ``expected`` holds the keys of all frames that have to be covered; one that no clip covers stops the job. Its rows join
+    the same grouping.
+    """
+    values = [*probabilities, *extra]
+    rows = scored.select(*keys, *values, F.lit(1).alias("_clip"))
+    if expected is not None:
+        rows = rows.unionByName(expected.select(*keys), allowMissingColumns=True)
+    out = rows.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in values], F.count("_clip").alias("covered"))
+    name = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    missing = F.raise_error(F.concat(F.lit("No clip covers the frame "), name)).cast("bigint")
+    out = out.withColumn("covered", F.when(F.col("covered") > 0, F.col("covered")).otherwise(missing))
+    chosen = F.array(*probabilities)
+    winner = F.array_position(chosen, F.array_max(chosen)) - 1
     return out.withColumn("y_pred", S.phase_name(winner))
 
 

@@ -931,11 +931,11 @@ oracle(
 )
 oracle(
     "registry_rules",
-    "faulty",
+    "faulty base",
     """SELECT variant, unnest(['registered folds complete', 'sample count as registered', 'subject count as registered',
         'sample in one fold', 'sample unique in its run']) AS rule,
-      unnest([CAST(list_sort(list(DISTINCT fold)) <> [0, 1, 2, 3, 4] AS BIGINT), CAST(count(*) <> 9000 AS BIGINT),
-        CAST(count(DISTINCT subject_id) <> 120 AS BIGINT), count(*) - count(DISTINCT sample_id),
+      unnest([CAST(list_sort(list(DISTINCT fold)) <> [0, 1, 2, 3, 4] AS BIGINT), CAST(count(*) <> (SELECT count(*) FROM base WHERE split = 'development') AS BIGINT),
+        CAST(count(DISTINCT subject_id) <> (SELECT count(DISTINCT subject_id) FROM base WHERE split = 'development') AS BIGINT), count(*) - count(DISTINCT sample_id),
         count(*) - count(DISTINCT (fold, sample_id))]) AS violations
     FROM faulty GROUP BY variant""",
 )
@@ -1379,3 +1379,23 @@ oracle(
         (SELECT count(*) FROM members m JOIN (SELECT archive, member, max(size_bytes + CASE WHEN page_id % 9 = 0 THEN 1 ELSE 0 END) AS size FROM members
           WHERE page_id % 3 = 0 GROUP BY 1, 2) t USING (archive, member) WHERE size <> size_bytes)]) AS violations""",
 )
+
+# --- perceptual hash: the low 8 x 8 of a 32 x 32 cosine transform of an 8 x 8 grid whose cells are 4 x 4 points -----
+
+cte(
+    "cosines",
+    "",
+    """SELECT f, r, sum(cos(pi() * f * (2 * i + 1) / 64) * sqrt(2.0 / 32) * CASE WHEN f = 0 THEN 1 / sqrt(2.0) ELSE 1 END) AS c
+    FROM (SELECT unnest(range(0, 8)) AS f), (SELECT unnest(range(0, 32)) AS i, i // 4 AS r) GROUP BY 1, 2""",
+)
+cte("points", "", "SELECT vec_id, (k - 1) // 8 AS r, (k - 1) % 8 AS s, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)")
+cte("halfway", "points cosines", "SELECT vec_id, f, s, sum(c * v) AS v FROM points JOIN cosines USING (r) GROUP BY 1, 2, 3")
+cte("waves", "halfway cosines", "SELECT vec_id, h.f, g.f AS g, sum(g.c * h.v) AS v FROM halfway h JOIN cosines g ON g.r = h.s GROUP BY 1, 2, 3")
+cte("middles", "waves", "SELECT vec_id, median(v) AS m FROM waves WHERE f > 0 OR g > 0 GROUP BY 1")
+oracle(
+    "perceptual_hash",
+    "waves middles",
+    """SELECT vec_id, string_agg(substr('0123456789abcdef', 1 + digit, 1), '' ORDER BY place) AS hash FROM (
+      SELECT vec_id, (8 * f + g) // 4 AS place, CAST(sum(CASE WHEN v > m THEN 8 >> ((8 * f + g) % 4) ELSE 0 END) AS INTEGER) AS digit
+      FROM waves JOIN middles USING (vec_id) GROUP BY 1, 2) d GROUP BY 1""",
+)

@@ -578,7 +578,8 @@ def canonical_coverage(spark, d):
 def registry_rules(spark, d):
     preds = faulty_runs(spark, d)
     registered = preds.select("variant", "fold").distinct()
-    return runs.registry(preds, registered, [0, 1, 2, 3, 4], 9000, 120)
+    want = canonical(spark, d).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("subject_id").alias("subjects")).first()
+    return runs.registry(preds, registered, [0, 1, 2, 3, 4], want["samples"], want["subjects"])
 
 
 @query
@@ -692,7 +693,8 @@ def probability_rows(spark, d):
 @query
 def overlap_average(spark, d):
     rows = probability_rows(spark, d)
-    return windows.overlap_average(rows, ["sample_id"], ["p0", "p1", "p2", "p3"], ["boundary_probability"])
+    expected = G.frame_labels(spark, d).select("sample_id")
+    return windows.overlap_average(rows, ["sample_id"], ["p0", "p1", "p2", "p3"], ["boundary_probability"], expected)
 
 
 @query

@@ -18,10 +18,17 @@ def typed(df: DataFrame, ddl: str, table: str, keep_extra: bool = False) -> Data
     return df.select(*known, *extra)
 
 
-def read_text_table(spark: SparkSession, path, partitions: int | None = None) -> DataFrame:
-    """CSV with a header, all text. Compressed files cannot be split: give ``partitions`` to spread them."""
-    df = spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+def read_text_table(spark: SparkSession, path, partitions: int | None = None, multiline: bool = False) -> DataFrame:
+    """CSV with a header, all text.
+
+    A gzip file is read by one task; its rows are dealt over ``partitions`` tasks after that, as many as the session runs
+    at a time unless told otherwise. ``multiline`` allows line feeds inside quotes and reads each file in one task.
+    """
+    df = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
     df = ids.blank_to_null(df)
+    paths = [path] if isinstance(path, str) else list(path)
+    if partitions is None and any(p.endswith(".gz") for p in paths):
+        partitions = spark.sparkContext.defaultParallelism
     return df.repartition(partitions) if partitions else df
 
 
@@ -39,7 +46,7 @@ def read_machine_boundaries(spark, path, partitions=None) -> DataFrame:
 
 def read_human_boundaries(spark, path, strict: bool = True) -> DataFrame:
     """Annotator files; ``strict=False`` keeps the marks as text so that the rules can report them."""
-    df = read_text_table(spark, path)
+    df = read_text_table(spark, path, multiline=True)  # notes are free text
     if strict:
         return typed(df, S.HUMAN_BOUNDARIES_DDL, "annotation")
     return S.require_columns(df, S.HUMAN_BOUNDARY_COLUMNS, "annotation")
@@ -86,9 +93,15 @@ def _run_of(column: str = "_metadata.file_path"):
     return F.element_at(F.split(F.col(column), "/"), -2)
 
 
-def read_run_configs(spark, root: str) -> DataFrame:
+def _files_of(root: str, registry: DataFrame, name: str) -> list[str]:
+    """The file of every registered run (a hand-written list); other folders are not looked at, a missing file stops the job."""
+    return [f"{root}/{row['run_id']}/{name}" for row in registry.select("run_id").distinct().orderBy("run_id").collect()]
+
+
+def read_run_configs(spark, root: str, registry: DataFrame) -> DataFrame:
     """run_id with the run's fold, evaluation split and test flag, from each ``config.yaml``."""
-    text = spark.read.text(f"{root}/*/config.yaml", wholetext=True).select(_run_of().alias("run_id"), "value")
+    files = _files_of(root, registry, "config.yaml")
+    text = spark.read.text(files, wholetext=True).select(_run_of().alias("run_id"), "value")
     value = lambda key: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^\s+{key}:\s*[\"']?([^\"'\n]*)", 1)), F.lit(""))
     return text.select(
         "run_id",
@@ -99,23 +112,19 @@ def read_run_configs(spark, root: str) -> DataFrame:
 
 
 def read_registered_runs(spark, root: str, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(predictions with variant and fold, registry with run metadata) for all runs in one scan.
-
-    ``root`` holds one folder per run; folders that are not registered drop out in the join.
-    """
-    configs = read_run_configs(spark, root)
-    registered = registry.join(configs, "run_id", "left")
+    """(predictions with variant and fold, registry with run metadata) of the registered runs in one scan."""
+    registered = registry.join(read_run_configs(spark, root, registry), "run_id", "left")
     # enforceSchema off: a file whose header differs is an error, not columns by position.
-    rows = spark.read.option("header", True).option("enforceSchema", False).csv(f"{root}/*/predictions.csv")
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(_files_of(root, registry, "predictions.csv"))
     rows = rows.select("*", _run_of().alias("run_id"))
     preds = ids.blank_to_null(rows)
     preds = preds.withColumn("frame_index", F.col("frame_index").cast("bigint"))
     S.require_columns(preds, S.PREDICTION_COLUMNS, "prediction")
     preds = preds.select(*S.PREDICTION_COLUMNS, "run_id")
-    return preds.join(registry, "run_id"), registered
+    return preds.join(F.broadcast(registry), "run_id"), registered  # the registry is a hand-written list
 
 
-def read_curves(spark, root: str) -> DataFrame:
-    """Learning curves of all runs: run_id, epoch, losses."""
-    df = spark.read.option("header", True).option("enforceSchema", False).csv(f"{root}/*/learning_curves.csv").select("*", _run_of().alias("run_id"))
+def read_curves(spark, root: str, registry: DataFrame) -> DataFrame:
+    """Learning curves of the registered runs: run_id, epoch, losses."""
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(_files_of(root, registry, "learning_curves.csv")).select("*", _run_of().alias("run_id"))
     return df.select("run_id", F.col("epoch").cast("int").alias("epoch"), F.col("validation_loss").cast("double").alias("validation_loss"))

@@ -466,6 +466,15 @@ def test_segments_and_windows(spark):
         windows.context(five, KEYS, "frame_index", "id", 4)
 
 
+def test_uncovered_frames_stop(spark):
+    scored = spark.createDataFrame([("a", 0.5, 0.5, 0.0, 0.0), ("a", 0.1, 0.9, 0.0, 0.0), ("b", 1.0, 0.0, 0.0, 0.0)], "s string, p0 double, p1 double, p2 double, p3 double")
+    frames = lambda *names: spark.createDataFrame([(n,) for n in names], "s string")
+    average = lambda expected: {r["s"]: (r["covered"], r["y_pred"]) for r in windows.overlap_average(scored, ["s"], ["p0", "p1", "p2", "p3"], expected=expected).collect()}
+    assert average(frames("a", "b")) == average(None) == {"a": (2, P[1]), "b": (1, P[0])}
+    with pytest.raises(Exception, match="No clip covers the frame c"):
+        average(frames("a", "b", "c"))
+
+
 def test_clips_cover_every_frame(spark):
     rows = [("q", i, P[0] if i < 3 else P[1]) for i in range(7)]
     df = spark.createDataFrame(rows, "sequence_id string, frame_index bigint, target_label string")

@@ -328,8 +328,17 @@ def test_jobs_from_files_to_summaries(spark, workspace, features, tmp_path):
     scores = {r["variant"]: r["frame_macro_f1"] for r in publish.read_table(spark, out, "model_summary").collect()}
     assert scores["cycle_prior"] > 0.8 > scores["majority"]
     assert publish.read_table(spark, out, "paired_comparisons").first()["estimate"] > 0
-    best = runs.best_epoch(tables.read_curves(spark, str(tmp_path / "runs")))
-    assert {r["best_epoch"] for r in best.collect()} == {2}
+    best = publish.read_table(spark, out, "best_epochs").collect()
+    assert len(best) == 10 and {r["best_epoch"] for r in best} == {2}
+    assert {(r["variant"], r["epochs"], r["runs"]) for r in publish.read_table(spark, out, "training_length").collect()} == {(m, 2.0, 5) for m in variants}
+    stray = tmp_path / "runs" / "not-registered"
+    stray.mkdir()
+    (stray / "predictions.csv").write_text("other,header\n1,2\n")
+    registry = tables.registry_table(spark, variants)
+    preds, _ = tables.read_registered_runs(spark, str(tmp_path / "runs"), registry)
+    assert preds.count() == 600 and tables.read_curves(spark, str(tmp_path / "runs"), registry).count() == 30
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.read_curves(spark, str(tmp_path / "runs"), tables.registry_table(spark, {"x": {"runs": {"0": "gone"}}}))
     (tmp_path / "runs" / "majority-3" / "config.yaml").write_text("training_run:\n  fold: 2\n  evaluation_split: validation\n")
     with pytest.raises(S.RuleViolation, match="development validation"):
         jobs.aggregate_results(spark, str(tmp_path / "runs"), variants, canonical, str(tmp_path / "again"), want, (), 100)
@@ -338,6 +347,10 @@ def test_jobs_from_files_to_summaries(spark, workspace, features, tmp_path):
     assert jobs.evaluate(test, 100)["overall"].first()["samples"] == 120
     with pytest.raises(S.RuleViolation, match="sample_id unique"):
         jobs.evaluate(test.unionByName(test), 100)
+    with pytest.raises(S.RuleViolation, match="prediction table is empty"):
+        jobs.evaluate(test.limit(0), 100)
+    with pytest.raises(S.RuleViolation, match="label table is empty"):
+        jobs.prepare_training_data(spark, split, named.limit(0), str(tmp_path / "no"), ["walks"])
 
 
 def test_audit_job(spark, workspace, features, tmp_path):
@@ -351,6 +364,8 @@ def test_audit_job(spark, workspace, features, tmp_path):
     kinds = {r["k"]: r["count"] for r in issues.select(F.explode("image_issues").alias("k")).groupBy("k").count().collect()}
     assert kinds == {"source_checksum_mismatch": 14, "path_outside_workspace": 1, "missing_or_unreadable_image": 1 + 2 + 1}
     reviewed = named.limit(3).select("sample_id", F.lit(P[0]).alias("label"))
+    with pytest.raises(S.RuleViolation, match="differ, e.g. in"):
+        jobs.audit_release(spark, split, named.filter("frame_index > 0"), bounds, reviewed, issues, str(tmp_path / "a"), ["walks"], True)
     with pytest.raises(S.RuleViolation, match="allow_test"):
         jobs.audit_release(spark, split, named, bounds, reviewed, issues, str(tmp_path / "a"), ["walks"])
     jobs.audit_release(spark, split, named, bounds, reviewed, issues, str(tmp_path / "a"), ["walks"], True)
@@ -360,6 +375,86 @@ def test_audit_job(spark, workspace, features, tmp_path):
     assert publish.read_table(spark, str(tmp_path / "a"), "frame_audit").count() == 420
 
 
+def _walks(spark, subjects=16):
+    """Manifest rows of ``subjects`` x 4 condition families x 40 frames."""
+    rows = [
+        (f"w:{s}", f"w:{s}:{c}", c, f, f"{s}-{c}-{f}", f"raw/{s}/{c}/{f}.png", f"{s}{c}{f}".encode().hex().ljust(64, "0"), "development" if s else "test", s % 5 if s else None)
+        for s in range(subjects) for c in ("fn00", "fs00", "fq00", "fb00") for f in range(40)
+    ]
+    kind = "subject_id string, sequence_id string, condition string, frame_index bigint, sample_id string, relative_path string, sha256 string, split string, fold int"
+    return spark.createDataFrame(rows, kind).select("*", F.lit("walks").alias("dataset"), F.lit(None).cast("string").alias("exclusion_reason"))
+
+
+def test_annotation_jobs(spark):
+    frames = _walks(spark)
+    options = {"dataset": ["walks"]}
+    selected, template, digest = jobs.annotation_pilot(frames, 2, **options)
+    assert selected.count() == 8 and template.count() == 16 and digest.first()["entries"] == 8 * 40
+    batch, mine = jobs.next_annotation_batch(frames, selected.select("subject_id"), ["walks"], 1)
+    assert batch.count() == 4 and mine.count() == 160 and batch.join(selected, "subject_id", "left_semi").count() == 0
+
+    marks = [(f"c{k}", 100 * k, 100 * k + 5, 100 * k + 12, 100 * k + 25, 100 * k + 40) for k in range(1, 9)]
+    rows = [("w", "w:1", "q", *m, who, "high", None) for m in marks for who in ("a", "b")]
+    bounds = spark.createDataFrame(rows, S.HUMAN_BOUNDARIES_DDL)
+    got = jobs.annotation_report(bounds, 25.0).first()
+    assert (got["frames"], got["raw_agreement"], got["weighted_kappa"], got["status"], got["cycles"], got["mean_absolute_frames"]) == (320, 1.0, 1.0, "PASS", 8, 0.0)
+    with pytest.raises(S.RuleViolation, match="exactly two annotators"):
+        jobs.annotation_report(bounds.filter("annotator_id = 'a'"), 25.0)
+    with pytest.raises(S.RuleViolation, match="one record per annotator and cycle"):
+        jobs.annotation_report(bounds.unionByName(bounds), 25.0)
+
+
+def test_review_is_finalised(spark, tmp_path):
+    frames = _walks(spark)
+    kind = "sequence string, cycle string, status string, reason string, confidence string, " + ", ".join(f"{m} bigint" for m in S.HUMAN_MARKS)
+    records = [
+        ("blind_1", "c1", "proposed", "clear", "low", 2, 5, 9, 14, 20), ("blind_1", "c2", "recommend_exclude", "cut off", "low", 20, 25, 29, 34, 60),
+        ("blind_2", "c1", "unresolved", "?", "low", 0, 5, 9, 14, 20), ("blind_2", "c2", "proposed", "clear", "low", 10, 12, 15, 21, 30),
+    ]
+    key = spark.createDataFrame([("blind_1", "w:3:fn00", "w:3", "walks"), ("blind_2", "w:4:fq00", "w:4", "walks")], "blind_sequence_id string, sequence_id string, subject_id string, dataset string")
+    made = lambda rows: spark.createDataFrame(rows, kind)
+    found = frames.select(F.col("relative_path").alias("path"), "sha256")
+    run = lambda name, rows=records, who=key, approved=(2, 38), files=found: jobs.finalise_review(
+        spark, made(rows), who, frames, str(tmp_path / name), "r1", dict(zip(("cycles", "frames"), approved)), ["walks"], files
+    )
+    done = run("ok")
+    assert done["decision_counts"] == {"accepted_ai_assisted_low_confidence": 2, "excluded_user_confirmed": 1, "on_hold_unresolved": 1} and done["accepted_subjects"] == 2
+    published = publish.read_table(spark, str(tmp_path / "ok"), "frames")
+    assert published.count() == 38 and published.filter("training_eligible or sequence_id is null").count() == 0
+    assert {r["sequence_id"] for r in publish.read_table(spark, str(tmp_path / "ok"), "boundaries").collect()} == {"w:3:fn00", "w:4:fq00"}
+    with pytest.raises(FileExistsError):
+        run("ok")
+    changed = found.withColumn("sha256", F.when(F.col("path") == "raw/3/fn00/7.png", "0" * 64).otherwise(F.col("sha256")))
+    faults = [
+        (dict(approved=(3, 38)), "accepted cycles as approved"), (dict(approved=(2, 37)), "accepted frames as approved"), (dict(who=key.unionByName(key.limit(1))), "blind id names one sequence"),
+        (dict(rows=[(*records[0][:2], "odd", *records[0][3:]), *records[1:]], approved=(1, 20)), "decision status known"), (dict(who=key.limit(1)), "decision has an identity"),
+        (dict(rows=[(*records[0][:9], 60), *records[1:]], approved=(2, 78)), "frame has a source row"), (dict(files=changed), "file checksum"), (dict(rows=[]), "review table is empty"),
+        (dict(who=key.withColumn("sequence_id", F.replace("sequence_id", F.lit("w:3"), F.lit("w:0")))), "row is development"),
+    ]
+    for change, message in faults:
+        with pytest.raises(S.RuleViolation, match=message):
+            run("no", **change)
+    twice = [*records, (*records[0][:1], "c9", *records[0][2:])]
+    with pytest.raises(Exception, match="Repeated key on the left side"):
+        run("no", rows=twice, approved=(3, 56))
+    assert publish.published(spark, str(tmp_path / "no")) == []
+
+
+def test_compressed_and_quoted_text(spark, tmp_path):
+    import gzip
+
+    head = ",".join(S.HUMAN_BOUNDARY_COLUMNS)
+    (tmp_path / "b.csv").write_text(head + '\nd,d:1,q,c,52,58,66,74,88,a,high,"two\nlines, ""quoted"""\n')
+    assert tables.read_human_boundaries(spark, str(tmp_path / "b.csv")).first()["notes"] == 'two\nlines, "quoted"'
+    columns = ",".join(S.MANIFEST_COLUMNS)
+    with gzip.open(tmp_path / "m.csv.gz", "wt") as f:
+        f.write(columns + "\n" + "".join(f"s{k},d,d:1,q,fn00,,{k}" + "," * (len(S.MANIFEST_COLUMNS) - 7) + "\n" for k in range(200)))
+    rows = tables.read_manifest(spark, str(tmp_path / "m.csv.gz"))
+    assert rows.count() == 200 and rows.rdd.getNumPartitions() > 1
+    only = tables.read_metadata_only(spark, str(tmp_path / "m.csv.gz"))
+    assert tuple(only.columns) == tables.METADATA_COLUMNS and only.agg(F.sum("frame_index")).first()[0] == 199 * 100
+
+
 def test_release_of_staged_tables(spark):
     stage(spark.range(2), "gone")
     assert release_staged(spark) > 0
