@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 #: Code points with the White_Space property.
 BLANKS = "\t-\r \x85\xa0  -     　"
 #: What a process remembers at most: bytes of chunks in each of two generations, pairs and transitions (about 100 bytes each).
-CHUNK_BYTES = 32 << 20
-PAIRS = 300_000
+CHUNK_BYTES = 80 << 20
+PAIRS = 400_000
 TRANSITIONS = 100_000
 #: What an entry of a dictionary of texts takes besides the characters, in bytes.
 ENTRY = 220
@@ -189,7 +189,8 @@ class Codec:
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = (left, right), rank
             self.merged.setdefault((left, right), rank)
-        self.automaton = SuffixAutomaton({t: i for i, t in self.tokens.items() if len(t) == 1 or i in self.parts})
+        self.whole = {t: i for i, t in self.tokens.items() if len(t) == 1 or i in self.parts}
+        self.automaton = SuffixAutomaton(self.whole)
         for text, i in self.added.items():
             self.tokens[i] = text.encode()
         self.bytes_of = {str(i): t for i, t in self.tokens.items()}
@@ -232,6 +233,8 @@ class Codec:
 
     def piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "surrogatepass")
+        if (whole := self.whole.get(data)) is not None:  # a token is the last one of the prefix that it is
+            return [whole]
         last: list[int] = [-1] * (len(data) + 1)
         step, longest, shorter, length = self.automaton.step, self.automaton.longest, self.automaton.shorter, self.automaton.length
         known, state, end = self.known, 0, 0
