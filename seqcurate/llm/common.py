@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, *columns: str) -> str:
+    """``name``, or a longer one if a table already has it."""
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
@@ -53,4 +60,4 @@ def number_rows(rows: DataFrame, key: str, order: list[Column], buckets: int = 1
     return joined.withColumn("_row", F.col("_first") + F.col("_local")).drop("_key", "_b", "_first", "_local", "_bucket")
 
 
-__all__ = ["LOOKUP_ROWS", "fold", "join_lookup", "labelled", "number_rows", "stage", "table"]
+__all__ = ["LOOKUP_ROWS", "fold", "join_lookup", "labelled", "number_rows", "stage", "table", "unused"]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqcurate.llm import minhash
-from seqcurate.llm.common import join_lookup, stage
+from seqcurate.llm.common import join_lookup, stage, unused
 from seqcurate.llm.hashing import code_points, mix
 
 #: A power of two.
@@ -119,10 +119,11 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """All columns of the documents with the text cleaned, and n_lines, n_removed, emptied (existing columns of these names are replaced)."""
-    gone = removals(docs).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("text_hash", "_text_hash")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "emptied")]
-    condition = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash"))
-    joined = join_lookup(docs.select(*[F.col(f"`{c}`") for c in columns]), gone.withColumnRenamed("gone", "_gone"), condition, "left")
+    cut, id_of, hash_of, made_of = (unused(name, *columns) for name in ("_gone", "_doc_id", "_text_hash", "_made"))
+    gone = removals(docs.select("doc_id", "text")).select(F.col("doc_id").alias(id_of), F.col("text_hash").alias(hash_of), F.col("gone").alias(cut))
+    condition = F.col("doc_id").eqNullSafe(F.col(id_of)) & (F.xxhash64("text") == F.col(hash_of))
+    joined = join_lookup(docs.select(*[F.col(f"`{c}`") for c in columns]), gone, condition, "left")
 
     @F.pandas_udf("text string, n_lines int, n_removed int, emptied boolean")
     def rebuilt(texts: pd.Series, removed: pd.Series) -> pd.DataFrame:
@@ -137,7 +138,6 @@ def dedup(docs: DataFrame) -> DataFrame:
             out.append(("\n".join(left), len(lines), len(cut), bool(cut) and not any(line.strip(BLANKS) for line in left)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "emptied"])
 
-    made = joined.withColumn("_made", rebuilt(F.col("text"), F.col("_gone")))
-    return made.select(
-        *[F.col("_made.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], "_made.n_lines", "_made.n_removed", "_made.emptied"
-    )
+    made = joined.withColumn(made_of, rebuilt(F.col("text"), F.col(cut)))
+    new = [F.col(f"{made_of}.{c}").alias(c) for c in ("n_lines", "n_removed", "emptied")]
+    return made.select(*[F.col(f"{made_of}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], *new)

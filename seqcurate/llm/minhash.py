@@ -177,7 +177,7 @@ def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts_of: Cal
 
     In a bucket with several components the items outside its largest one are compared with all its
     items on their full sets. Both sides are cut into chunks of about ``CHUNK`` shingles, so a cell
-    of two chunks is bounded; a cell returns one link for each item and component it is linked with.
+    of two chunks is bounded; a cell returns a spanning forest of the components that it links, fewer links than rows.
     """
     placed = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = placed.join(items.groupBy("id").agg(F.sum("n").alias("n")), "id")
@@ -190,7 +190,7 @@ def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts_of: Cal
         F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"),
         *[F.bit_xor(f"mark_{k}").alias(f"mark_{k}") for k in (0, 1)],
     )
-    # Two items that are not linked were verified against each other as member and leader.
+    # Two items that are not linked were looked at as member and leader: ruled out by their signatures or on their sets.
     state = state.where((F.col("components") > 1) & (F.col("size") > 2))
     # Bands with the same members, told by 128 bits and their number, are one bucket.
     state = state.groupBy("mark_0", "mark_1", "size", "main", "chunks").agg(F.min("band").alias("band")).select("band", "main", "chunks")
@@ -221,10 +221,16 @@ def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts_of: Cal
                 block[of[part], at[part] - low] = 1
                 shared += block[rows] @ block[where].T
             union = size[rows][:, None] + size[where][None, :] - shared
-            hit = (100 * shared >= PERCENT * union) & (union > 0) & (root[rows][:, None] != root[where][None, :])
+            names, of = np.unique(root, return_inverse=True)
+            hit = (100 * shared >= PERCENT * union) & (union > 0)
+            joined = np.arange(len(names))
             for k, r in enumerate(rows):
                 near = where[hit[k]]
-                found += [(ids[r], ids[near[f]]) for f in np.unique(root[near], return_index=True)[1]]
+                labels, first = np.unique(joined[of[near]], return_index=True)
+                new = labels != joined[of[r]]
+                if new.any():
+                    found += [(ids[r], ids[near[f]]) for f in first[new]]
+                    joined[np.isin(joined, labels[new])] = joined[of[r]]
         return found
 
     return each_group(cells, ["band", "i", "j"], work)
