@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from . import blocks
+from . import blocks, rules
 
 
 def duplicate_hashes(df: DataFrame, key: str = "sha256", prefix: str = "exact-", width: int = 6) -> DataFrame:
@@ -85,8 +85,8 @@ def mark_cross_subject(df: DataFrame, key: str = "duplicate_group", reason: str
     shared = (
         df.filter(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.min(F.xxhash64("subject_id")).alias("_low"), F.max(F.xxhash64("subject_id")).alias("_high"))
-        .filter("_low <> _high")
+        .agg(*rules.hash_ends(F.col("subject_id"), "s"))
+        .filter(rules.several("s"))
         .select(F.col(key).alias("_key"), F.lit(True).alias("_shared"))
     )
     new = F.when(F.col("_shared"), F.coalesce("exclusion_reason", F.lit(reason))).otherwise(F.col("exclusion_reason"))

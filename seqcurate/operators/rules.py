@@ -38,15 +38,22 @@ def crossing(df: DataFrame, rule: str, group, value: str, keys=()) -> DataFrame:
 def crossings(df: DataFrame, group, values: dict[str, Column], keys=()) -> DataFrame:
     """Several values checked against the same grouping in one pass (null values are ignored).
 
-    Values are compared by their 64-bit hash: numbers stay in the hash aggregate's row buffer,
+    Values are compared by two 64-bit hashes of different seeds: numbers stay in the hash aggregate's row buffer,
     while text would force a sort of all rows.
     """
-    ends = []
-    for i, value in enumerate(values.values()):
-        value = F.when(value.isNotNull(), F.xxhash64(value))
-        ends += [F.min(value).alias(f"_low{i}"), F.max(value).alias(f"_high{i}")]
+    ends = [end for i, value in enumerate(values.values()) for end in hash_ends(value, str(i))]
     out = df.groupBy(*keys, *group).agg(*ends)
-    return scalar(out, {rule: F.col(f"_low{i}") != F.col(f"_high{i}") for i, rule in enumerate(values)}, keys)
+    return scalar(out, {rule: several(str(i)) for i, rule in enumerate(values)}, keys)
+
+
+def hash_ends(value: Column, name: str) -> list[Column]:
+    """Aggregates that tell whether a group has several values: least and greatest of 128 bits of hash, in two halves."""
+    halves = [F.when(value.isNotNull(), F.xxhash64(value, F.lit(seed))) for seed in (0, 1)]
+    return [end(half).alias(f"_{side}{name}_{k}") for k, half in enumerate(halves) for side, end in (("low", F.min), ("high", F.max))]
+
+
+def several(name: str) -> Column:
+    return (F.col(f"_low{name}_0") != F.col(f"_high{name}_0")) | (F.col(f"_low{name}_1") != F.col(f"_high{name}_1"))
 
 
 def merge(*tables: DataFrame) -> DataFrame:

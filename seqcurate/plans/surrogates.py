@@ -2,7 +2,8 @@
 
 Samples, sequences and subjects come from documents, events, conversations and embeddings;
 every row of the source table is used. Deep inputs (positions, peaks) are staged once per
-session and folder and shared by the queries.
+session and folder and shared by the queries, until ``forget`` or ``session.release_staged``; call one of them when
+the tables of a folder have changed.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import ids
 from ..operators import blocks, dedupe, labels, signal, splits
-from ..session import stage
+from ..session import generation, stage
 
 KEYS = ["sequence_id"]
 ORDER = "frame_index"
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (generation(spark), sf_dir, name)
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
 _STAGED: dict[str, list[str]] = {}
+_RELEASES: dict[str, int] = {}
 
 
 def build_session(master: str = "local[*]", partitions: int = 8, **extra) -> SparkSession:
@@ -61,9 +62,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def release_staged(spark: SparkSession) -> int:
     """Delete the staged tables this application wrote; returns how many."""
-    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    app = spark.sparkContext.applicationId
+    paths = _STAGED.pop(app, [])
+    _RELEASES[app] = _RELEASES.get(app, 0) + 1
     jvm = spark.sparkContext._jvm
     for text in paths:
         path = jvm.org.apache.hadoop.fs.Path(text)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return len(paths)
+
+
+def generation(spark: SparkSession) -> tuple[str, int]:
+    """Changes when staged tables are deleted: what is kept under it never points at a deleted table."""
+    app = spark.sparkContext.applicationId
+    return app, _RELEASES.get(app, 0)

@@ -646,3 +646,11 @@ def test_relative_paths_are_anchored(spark):
     rows = [("file:/data/s1/data/f.png", "/data"), ("hdfs://nn:8020/data/s2/data/f.png", "/data"), ("s3a://data/x/data/f.png", "s3a://data")]
     got = [spark.createDataFrame([(p,)], "p string").select(files.relative(F.col("p"), root)).first()[0] for p, root in rows]
     assert got == ["s1/data/f.png", "s2/data/f.png", "x/data/f.png"]
+
+
+def test_several_values_are_told_by_both_hashes(spark, monkeypatch):
+    """A collision of one half does not hide a group of two values."""
+    whole = F.xxhash64
+    monkeypatch.setattr(rules.F, "xxhash64", lambda value, seed: F.when(seed == 0, F.lit(7).cast("bigint")).otherwise(whole(value, seed)))
+    df = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "a"), ("h", None), ("i", None)], "k string, v string")
+    assert report(rules.crossing(df, "one value", ["k"], "v")) == {"one value": 1}

@@ -455,6 +455,14 @@ def test_compressed_and_quoted_text(spark, tmp_path):
     assert tuple(only.columns) == tables.METADATA_COLUMNS and only.agg(F.sum("frame_index")).first()[0] == 199 * 100
 
 
+def test_shared_tables_after_a_release(spark, sf_dir):
+    from seqcurate.plans import surrogates
+
+    before = surrogates.catalogue(spark, sf_dir).count()
+    release_staged(spark)
+    assert surrogates.catalogue(spark, sf_dir).count() == before
+
+
 def test_release_of_staged_tables(spark):
     stage(spark.range(2), "gone")
     assert release_staged(spark) > 0
