@@ -279,6 +279,24 @@ def evaluate(preds: DataFrame, iterations: int = bootstrap.ITERATIONS) -> dict[s
     return out
 
 
+def result_tables(spark, preds: DataFrame, output: str, iterations: int = bootstrap.ITERATIONS) -> dict:
+    """Publish the score tables of one prediction table; repeated samples are refused by name."""
+    publish.refuse_taken(spark, output)
+    S.require_columns(preds, ["sample_id", "dataset", "condition", "subject_id", "y_true", "y_pred"], "prediction")
+    held = rules.refuse_empty(stage(preds, "predictions"), "prediction")
+    twice = rules.preview(held.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n")), F.col("_n") > 1)
+    if twice:
+        raise S.RuleViolation(f"Repeated samples, e.g. {', '.join(map(str, twice))}")
+    band = bootstrap.interval(metrics.subject_scores(held), iterations=iterations).select("lower", "upper", "confidence", "iterations")
+    out = {
+        "overall": blocks.one_row(metrics.overall(held), band),
+        "per_class": metrics.per_class(held),
+        "dataset_condition": metrics.overall(held, ["dataset", "condition"]).drop("frame_macro_f1"),
+        "confusion_matrix": metrics.confusion(held),
+    }
+    return publish.publish(spark, output, out, {"bootstrap_iterations": iterations, "prediction_digest": publish.table_digest(held)["digest"]})
+
+
 def aggregate_results(
     spark, run_root: str, variants: dict, canonical: DataFrame, output: str, expected: dict, comparisons=(), iterations: int = bootstrap.ITERATIONS
 ) -> dict:

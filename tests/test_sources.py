@@ -347,6 +347,13 @@ def test_jobs_from_files_to_summaries(spark, workspace, features, tmp_path):
     assert jobs.evaluate(test, 100)["overall"].first()["samples"] == 120
     with pytest.raises(S.RuleViolation, match="sample_id unique"):
         jobs.evaluate(test.unionByName(test), 100)
+    jobs.result_tables(spark, test, str(tmp_path / "results"), 100)
+    whole = publish.read_table(spark, str(tmp_path / "results"), "overall").first()
+    assert whole["samples"] == 120 and whole["lower"] <= whole["subject_macro_f1"] <= whole["upper"]
+    assert publish.read_table(spark, str(tmp_path / "results"), "dataset_condition").agg(F.sum("samples")).first()[0] == 120
+    again = test.unionByName(test.orderBy("sample_id").limit(1))
+    with pytest.raises(S.RuleViolation, match=f"Repeated samples, e.g. {test.agg(F.min('sample_id')).first()[0]}"):
+        jobs.result_tables(spark, again, str(tmp_path / "no"), 100)
     with pytest.raises(S.RuleViolation, match="prediction table is empty"):
         jobs.evaluate(test.limit(0), 100)
     with pytest.raises(S.RuleViolation, match="label table is empty"):
