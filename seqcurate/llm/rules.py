@@ -1,7 +1,8 @@
 """Quality rules, line first: bad lines go, then documents that lost too much.
 
 Each line is held against three rules (``LINE_RULES``): punctuation (symbols and shouted marks),
-navigation (menus, breadcrumbs) and boilerplate phrases. Lines that break one are removed. A document
+navigation (menus, breadcrumbs) and boilerplate: phrases, as whole words, that make up
+``BOILERPLATE_PERCENT`` of the line's words, so that prose that mentions one stays. Lines that break a rule are removed. A document
 is rejected if it breaks a base rule (too short, or too many words in repeated 8-word windows) or if
 the removed lines held more than ``LOST_PERCENT`` of its word characters. Everything is a column
 expression; arrays stay within their row, so no document meets another and nothing is shuffled.
@@ -38,6 +39,10 @@ BOILERPLATE = (
     "terms of use", "terms of service", "privacy policy", "click here", "read more", "sign in", "sign up", "log in", "subscribe now",
     "subscribe to", "share this", "powered by", "licensed under",
 )
+#: A line is boilerplate if at least so many of 100 words belong to such phrases.
+BOILERPLATE_PERCENT = 15
+#: What lies between two words of a phrase, and at its ends.
+BORDER = r"[^\p{L}\p{N}]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -100,8 +105,25 @@ def has_boilerplate(text: Column) -> Column:
     return let(F.lower(text), lambda low: functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
 
 
+def phrase_words(line: Column) -> Column:
+    """Words of the line that belong to boilerplate phrases; every border is two blanks, so phrases in a row share none."""
+
+    def count(spaced: Column) -> Column:
+        found = F.lit(0)
+        for phrase in BOILERPLATE:
+            words = phrase.split(" ")
+            bordered = f" {'  '.join(words)} "
+            hits = (F.length(spaced) - F.length(F.replace(spaced, F.lit(bordered), F.lit("")))) / len(bordered)
+            found = found + hits * len(words)
+        return found
+
+    return let(F.regexp_replace(F.concat(F.lit(" "), F.lower(line), F.lit(" ")), BORDER, "  "), count)
+
+
 def breaks_boilerplate(line: Column) -> Column:
-    return has_boilerplate(line)
+    # The plain search is cheap; only lines with a phrase written with single blanks are looked at further.
+    enough = let(phrase_words(line), lambda n: (n > 0) & (100 * n >= BOILERPLATE_PERCENT * F.size(words_of(line))))
+    return has_boilerplate(line) & enough
 
 
 LINE_RULES = {"punctuation": breaks_punctuation, "navigation": breaks_navigation, "boilerplate": breaks_boilerplate}
@@ -168,11 +190,13 @@ WITH d AS (
          length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols,
          (2 * length(x) - length(replace(x, '!!', '')) - length(replace(x, '??', ''))) / 2.0 AS shouts,
          length(x) - length(regexp_replace(x, '[|>»•·]', '', 'g')) AS marks
-  FROM (SELECT r, unnest(lines) AS x FROM w)
+         , {" + ".join(f"(length(spaced) - length(replace(spaced, ' {'  '.join(p.split())} ', ''))) // {len('  '.join(p.split())) + 2} * {len(p.split())}" for p in BOILERPLATE)} AS phrase_words
+  FROM (SELECT r, x, regexp_replace(' ' || lower(x) || ' ', '{BORDER}', '  ', 'g') AS spaced FROM (SELECT r, unnest(lines) AS x FROM w))
 ), lost AS (
   SELECT r, sum(chars) AS n FROM ln
   WHERE 100 * symbols > {SYMBOL_PERCENT} * chars OR 100 * shouts > {SHOUT_PERCENT} * n
-     OR (marks >= {MENU_MARKS} AND n <= {MENU_WORDS + 1} * marks) OR {" OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)}
+     OR (marks >= {MENU_MARKS} AND n <= {MENU_WORDS + 1} * marks)
+     OR (({" OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)}) AND phrase_words > 0 AND 100 * phrase_words >= {BOILERPLATE_PERCENT} * n)
   GROUP BY r
 ), c AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
