@@ -95,45 +95,52 @@ def peak_candidates(
 
 
 def _decide(distance: int, span: int, context: int, keys: list[str], order: str):
-    """The greedy choice of each block of a sorted stream; see ``suppress``."""
-
-    def block(at, strength, level, fixed, low, high):
-        """0 removed, 1 kept, 2 open; nothing is known of rows outside [low, high]."""
-        place = at - low + distance
-        kept, waits = bytearray(high - low + 1 + 2 * distance), bytearray(high - low + 1 + 2 * distance)
+    """The greedy choice of the blocks of a sorted stream, a batch of blocks at once; see ``suppress``."""
+
+    def blocks_of(rows):
+        """0 removed, 1 kept, 2 open, of whole blocks; nothing is known of rows outside a block and its context."""
+        cells = rows[[*keys, blocks.BLOCK]]
+        first = (cells != cells.shift()).any(axis=1).to_numpy()
+        at, strength, level, fixed = (rows[c].to_numpy() for c in (order, "prominence", "signal", "fixed"))
+        low = rows[blocks.BLOCK].to_numpy() * span - context
+        high = low + span + 2 * context - 1
+        # Places on one line: gaps shrink to the distance, and blocks lie that far apart, so only close rows of a block meet.
+        steps = np.where(first[1:], distance, np.minimum(np.diff(at), distance))
+        place = np.concatenate(([distance], distance + np.cumsum(steps))).astype(np.int64)
+        kept, waits = bytearray(int(place[-1]) + distance + 1), bytearray(int(place[-1]) + distance + 1)
         state = np.zeros(len(at), np.int8)
         for i in np.flatnonzero(fixed).tolist():
             kept[place[i]] = state[i] = 1
         unseen = ((at - low < distance - 1) | (high - at < distance - 1)).tolist()
+        places, known = place.tolist(), state.tolist()
         for i in np.lexsort((at, level, strength))[::-1].tolist():
-            p = int(place[i])
+            p = places[i]
             near = (p - distance + 1, p + distance)
-            if state[i] or kept.find(1, *near) >= 0:
+            if known[i] or kept.find(1, *near) >= 0:
                 continue
             if unseen[i] or waits.find(1, *near) >= 0:
-                waits[p], state[i] = 1, 2
+                waits[p], known[i] = 1, 2
             else:
-                kept[p] = state[i] = 1
-        return state
+                kept[p] = known[i] = 1
+        return np.array(known, np.int8)
 
     def groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Whole blocks of the stream; a block has at most span + 2 context positions."""
+        """Whole blocks of the stream, as many at once as a batch holds; a block has at most span + 2 context positions."""
         rest = None
         for rows in frames:
             rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
             cells = rows[[*keys, blocks.BLOCK]]
-            borders = np.flatnonzero((cells != cells.shift()).any(axis=1).to_numpy()).tolist()
-            for lo, hi in zip(borders, borders[1:]):
-                yield rows.iloc[lo:hi]
-            rest = rows.iloc[borders[-1] :] if borders else None
-        if rest is not None:
+            borders = np.flatnonzero((cells != cells.shift()).any(axis=1).to_numpy())
+            last = int(borders[-1]) if len(borders) else 0
+            if last:
+                yield rows.iloc[:last]
+            rest = rows.iloc[last:]
+        if rest is not None and len(rest):
             yield rest
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(frames):
-            number = int(rows[blocks.BLOCK].iloc[0])
-            values = [rows[c].to_numpy() for c in (order, "prominence", "signal", "fixed")]
-            state = block(*values, number * span - context, (number + 1) * span + context - 1)
+            state = blocks_of(rows)
             stays = rows["_core"].to_numpy() & (state > 0)
             yield rows[stays].assign(fixed=state[stays] == 1)[[*keys, order, "prominence", "signal", "fixed"]]
 
