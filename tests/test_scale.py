@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 from seqcurate.operators import signal
+from seqcurate.plans import surrogates
 
 KEYS, ORDER = ["sequence_id"], "frame_index"
 
@@ -28,3 +29,19 @@ def test_blocks_are_decided_a_batch_at_once():
                 kept.append(at)
         want.append(len(kept))
     assert len(state) == sum(want) and np.array_equal(state.groupby("sequence_id").size(), want)
+
+
+def test_letters_are_counted_once(spark, tmp_path):
+    """Sketches come from a written table, so neither reader goes back to the texts; counts follow the definition."""
+    rng = random.Random(3)
+    texts = [None, "", "Aa\u212a\u0130 zZ", "b" * 1_500_000 + "aac", *("".join(rng.choices("abcXYZ .\u00e9", k=200)) for _ in range(5))]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = surrogates.sketches(spark, str(tmp_path))
+    assert not any("documents.parquet" in f for f in rows.inputFiles())
+    got = {int(r["sample_id"]): r["sketch"] for r in rows.collect()}
+    for i, text in enumerate(texts):
+        # Spark writes the dotted capital I in lower case as two characters, as Python does.
+        n = [(text or "").lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"]
+        bits = "".join("1" if n[k] > n[k + step] else "0" for step, count in surrogates.SKETCH for k in range(count))
+        assert got[i] == f"{int(bits, 2):016x}"
