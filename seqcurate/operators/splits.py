@@ -178,8 +178,24 @@ def view_digests(primary: DataFrame, folds: int = 5, checksum: str = "sha256") -
     own = F.when(F.col("split") == "test", F.array(F.lit("test"))).otherwise(
         F.array(*[F.concat(F.lit(f"fold_{k}/"), F.when(F.col("fold") == k, "validation").otherwise("train")) for k in range(folds)])
     )
+    return _summed(parts.withColumn("view", F.explode(own)))
+
+
+def prepared_digests(views: DataFrame, path: str = "relative_path", checksum: str = "sha256") -> DataFrame:
+    """Digest of all rows of the prepared views (``all``), and of each view's roles, over whole destination paths.
+
+    Every row of every view is a line of its own: a test row counts in each view that lists it.
+    """
+    view = F.concat(F.lit("fold_"), F.col("fold_view").cast("string"), F.lit("/"), F.col("prepared_role"))
+    lines = views.select(view.alias("view"), ids.line_hash(path, checksum).alias("_line"))
+    parts = lines.groupBy("view").agg(F.count(F.lit(1)).alias("entries"), *ids.word_sums(F.col("_line")))
+    return _summed(parts.withColumn("view", F.explode(F.array(F.lit("all"), F.col("view")))))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """Digest of each view from its parts' numbers of lines and word sums."""
     sums = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ids.WORD_NAMES]
-    views = parts.withColumn("view", F.explode(own)).groupBy("view").agg(F.sum("entries").alias("entries"), *sums)
+    views = parts.groupBy("view").agg(F.sum("entries").alias("entries"), *sums)
     return views.select("view", "entries", ids.digest_of().alias("digest"))
 
 

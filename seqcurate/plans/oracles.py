@@ -570,9 +570,8 @@ oracle(
     "tree_digest",
     "prep",
     f"""SELECT view, count(*) AS entries, sha256(count(*) || ':' || {WORDS}) AS digest
-    FROM (SELECT CASE WHEN prepared_role = 'test' THEN 'test' ELSE 'fold_' || fold_view || '/' || prepared_role END AS view,
-        sha256(regexp_replace(relative_path, '^(test|folds/fold_[0-9]+/[a-z]+)/', '') || ':' || sha256) AS h
-      FROM prep WHERE prepared_role <> 'test' OR fold_view = 0) l GROUP BY 1""",
+    FROM (SELECT unnest(['all', 'fold_' || fold_view || '/' || prepared_role]) AS view, sha256(relative_path || ':' || sha256) AS h
+      FROM prep) l GROUP BY 1""",
 )
 oracle(
     "tree_difference",

@@ -328,8 +328,7 @@ def prepared_canonical_check(spark, d):
 
 @query
 def tree_digest(spark, d):
-    primary, _ = splits.split_by_confidence(G.frame_labels(spark, d))
-    return splits.view_digests(primary.withColumn("sha256", F.sha2("sample_id", 256)))
+    return splits.prepared_digests(prepared(spark, d))
 
 
 def folder_trees(spark, d):

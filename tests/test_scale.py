@@ -4,8 +4,8 @@ import random
 
 import numpy as np
 import pandas as pd
-from seqcurate.operators import signal
-from seqcurate.plans import surrogates
+from seqcurate.operators import signal, splits
+from seqcurate.plans import queries, surrogates
 
 KEYS, ORDER = ["sequence_id"], "frame_index"
 
@@ -45,3 +45,21 @@ def test_letters_are_counted_once(spark, tmp_path):
         n = [(text or "").lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"]
         bits = "".join("1" if n[k] > n[k + step] else "0" for step, count in surrogates.SKETCH for k in range(count))
         assert got[i] == f"{int(bits, 2):016x}"
+
+
+def test_every_prepared_row_is_digested(spark, sf_dir):
+    """The whole tree counts all rows of all views, test rows in each; a path has its view's folder."""
+    views = queries.prepared(spark, sf_dir)
+    got = {r["view"]: r for r in queries.QUERIES["tree_digest"](spark, sf_dir).collect()}
+    want = {f"fold_{r['fold_view']}/{r['prepared_role']}": r["count"] for r in views.groupBy("fold_view", "prepared_role").count().collect()}
+    assert {v: r["entries"] for v, r in got.items()} == {**want, "all": sum(want.values())}
+    assert len({r["digest"] for v, r in got.items() if not v.endswith("test")}) == 11
+
+
+def test_a_prepared_row_changes_its_view_and_the_whole(spark):
+    rows = [(k, role, f"{role}/a{n}.png", "x") for k in range(2) for role in ("train", "test") for n in range(3)]
+    views = spark.createDataFrame(rows, "fold_view int, prepared_role string, relative_path string, sha256 string")
+    before = {r["view"]: r["digest"] for r in splits.prepared_digests(views).collect()}
+    moved = spark.createDataFrame([(*r[:3], "y") if r[:3] == (1, "test", "test/a2.png") else r for r in rows], views.schema)
+    after = {r["view"]: r["digest"] for r in splits.prepared_digests(moved).collect()}
+    assert {v for v in before if before[v] != after[v]} == {"all", "fold_1/test"}
