@@ -6,13 +6,14 @@ quality   drops what the classifier, learned from ``labels``, scores below its c
 lines     removes all but one of similar lines; a document left without a line goes
 near      keeps one document of each group of near-duplicates
 mixing    puts all documents in the order of the mixture
-encoding  adds the token ids, their number and the text that they decode to
+encoding  adds the token ids, their number, the text that they decode to and the document's place in the mixture
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqcurate.llm import bpe, lines, minhash, mixing, quality
@@ -48,9 +49,32 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return placed.repartitionByRange("_slot").sortWithinPartitions("_slot", "_doc.doc_id").select("_doc.*")
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """Adds ``position``, which rises along the rows of the files that hold the documents, file by file.
+
+    Only one row a file meets the others: the rows of the files before it. Documents that are in no file are written first.
+    """
+    file, row = unused("_file", *docs.columns), unused("_row", *docs.columns)
+    place = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
+    docs = docs.drop("position")
+    try:
+        rows = docs.select("*", *place)
+    except AnalysisException:
+        rows = stage(docs, "ordered").select("*", *place)
+    ends = rows.groupBy(file).agg((F.max(row) + 1).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1))
+    first = ends.select(file, F.coalesce(before, F.lit(0)).alias("_first"))
+    placed = rows.join(F.broadcast(first), file).withColumn("position", F.col("_first") + F.col(row))
+    return placed.drop(file, row, "_first")
+
+
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ids, n_tokens and decoded, which replace given columns of these names."""
-    encoded = bpe.encode(docs.drop("n_tokens"), public_tokenizers.path("byte_bpe_50k.json"), decoded="decoded")
+    """The documents with ids, n_tokens, decoded and position, which replace given columns of these names.
+
+    Tasks read files in any order, so position is what keeps the order of the mixture.
+    """
+    docs = in_written_order(docs).drop("n_tokens")
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded="decoded")
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
