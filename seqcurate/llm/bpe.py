@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqcurate.llm.common import take_over
+
 #: Code points with the White_Space property.
 BLANKS = "\t-\r \x85\xa0  -     　"
 #: What a process remembers at most: bytes of chunks in each of two generations, pairs and transitions (about 100 bytes each).
@@ -292,7 +294,8 @@ _CODEC: dict[str, Codec] = {}
 
 
 def _codec(key: str, vocabulary) -> Codec:
-    """One codec per process and vocabulary."""
+    """One codec per process and vocabulary, until another operator's task comes."""
+    take_over("bpe", _CODEC.clear)
     if key not in _CODEC:
         _CODEC.clear()
         _CODEC[key] = Codec(vocabulary.value)
@@ -326,13 +329,16 @@ def encode(docs: DataFrame, path: str, name: str = "ids", text: str = "text", de
     """Adds the token ids of each text, and under ``decoded`` the text that they stand for."""
     held = _shipped(docs, path)
     kept = docs.drop(*[c for c in (name, decoded) if c])
-    # The text travels beside the rows, as what it is called there may be any name.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("kept"), F.col(f"`{text}`").cast("string").alias("text"))
+    # Texts go to Python once: within the rows, or beside them if they are not there as strings.
+    within = kept.columns.index(text) if text in kept.columns and kept.schema[text].dataType == T.StringType() else None
+    if within is not None:
+        rows = rows.select("kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, held)
         for batch in batches:
-            for first, texts in _stretches(batch.column(1)):
+            for first, texts in _stretches(batch.column(1) if within is None else batch.column(0).field(within)):
                 lists = [codec.encode(t) for t in texts]
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in lists]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(offsets, np.concatenate(lists).astype(np.int32))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqcurate.llm.common import labelled
+from seqcurate.llm.common import labelled, take_over
 from seqcurate.llm.hashing import code_points, gram_hashes, span_hashes, word_bounds
 
 #: Rows of embeddings; words and n-grams share them.
@@ -99,6 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_over("quality")
         sample = [b for b in batches if len(b)]
         sample = pd.concat(sample).sort_values(["doc_id", "label", "text"]) if sample else pd.DataFrame({"text": [], "label": []})
         weights, bias = fit(sample["text"].tolist(), sample["label"].tolist())
@@ -122,6 +123,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], nam
 
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
+        take_over("quality")
         weights, bias = held.value
         return pd.Series([probability(t, weights, bias) for t in text], dtype="float64")
 
