@@ -15,24 +15,28 @@ document all of whose lines with a word were removed is marked ``emptied``.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqcurate.llm import minhash
-from seqcurate.llm.common import join_lookup, stage, unused
+from seqcurate.llm.common import join_lookup, stage, take_over, unused
 from seqcurate.llm.hashing import code_points, mix
 
 #: A power of two.
 CHARACTERS = 8
 BANDS, ROWS = 10, 3
 LIKELY = 0.45
-#: Characters signed at a time in a task.
-PIECE = 1 << 13
+#: Characters signed at a time in a task, and shingles of a line that are ranked in one row.
+PIECE, STEP = 1 << 15, 16
 BLANKS = " \t\x0b\f\r"
+PLACE = ("doc_id", "text_hash", "line_no", "id")
 
 
 def _lower(cp: np.ndarray) -> np.ndarray:
@@ -48,9 +52,24 @@ def _grams(cp: np.ndarray) -> np.ndarray:
     return out
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points with A-Z in lower case."""
+    return np.frombuffer(text.lower().encode(), np.uint8) if text.isascii() else _lower(code_points(text))
+
+
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each line's character shingles; of the line itself if it is shorter."""
+    padded = [line.ljust(CHARACTERS, "\0") for line in lines]
+    hashes = mix(_grams(_points("".join(padded)))) if lines else np.zeros(0, np.uint64)
+    out, at = [], 0
+    for line in padded:
+        out.append(minhash.distinct(hashes[at : at + len(line) - CHARACTERS + 1]))
+        at += len(line)
+    return out
+
+
 def line_set(line: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a line's character shingles; of the line itself if it is shorter."""
-    return minhash.distinct(mix(_grams(_lower(code_points(line.ljust(CHARACTERS, "\0"))))))
+    return line_sets([line])[0]
 
 
 def sign(lines: list[str]) -> np.ndarray:
@@ -64,40 +83,63 @@ def sign(lines: list[str]) -> np.ndarray:
         base = ends[first] - lengths[first]
         last = max(first + 1, int(np.searchsorted(ends, base + PIECE, "right")))
         if last == first + 1 and lengths[first] > PIECE:  # one very long line, piece by piece
-            out[first] = minhash.signature(_grams(_lower(code_points(padded[first]))), BANDS * ROWS)
+            out[first] = minhash.signature(_grams(_points(padded[first])), BANDS * ROWS)
         else:
-            ranks = minhash.ranks(_grams(_lower(code_points("".join(padded[first:last])))), BANDS * ROWS)
+            places = minhash.places(_grams(_points("".join(padded[first:last]))))
+            # Rows of STEP shingles of one line; the last shingle fills up its last row. Runs between two lines are in none.
+            sizes = lengths[first:last] - CHARACTERS + 1
+            rows = -(-sizes // STEP)
+            begins = np.cumsum(rows) - rows
             starts = ends[first:last] - lengths[first:last] - base
-            bounds = np.column_stack([starts, ends[first:last] - base - CHARACTERS + 1]).ravel()
-            # The last line ends where the piece ends; between two lines lie runs that belong to none.
-            out[first:last] = np.minimum.reduceat(ranks, bounds[:-1], axis=0)[::2]
+            at = np.repeat(starts - STEP * begins, rows) + STEP * np.arange(rows.sum())
+            stop = np.repeat(starts + sizes - 1, rows)
+            least = minhash.ranks_at(places[at], BANDS * ROWS)
+            for k in range(1, STEP):
+                np.minimum(least, minhash.ranks_at(places[np.minimum(at + k, stop)], BANDS * ROWS), out=least)
+            out[first:last] = np.minimum.reduceat(least, begins, axis=0)
         first = last
     return out
 
 
+def _trimmed(line: Column) -> Column:
+    """Without blanks at the ends; most lines have none, and looking at the ends is cheaper than trimming."""
+    edges = [test(F.lit(b)) for b in BLANKS for test in (line.startswith, line.endswith)]
+    return F.when(functools.reduce(operator.or_, edges), F.trim(line, F.lit(BLANKS))).otherwise(line)
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, line, id) of each line with a visible character."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.trim(F.col("line"), F.lit(BLANKS))).where(F.col("line") != "")
+    # The hash is taken before the lines are, once a text.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
+    rows = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line"))
+    rows = rows.withColumn("line", _trimmed(F.col("line"))).where(F.col("line") != "")
     return rows.withColumn("id", F.xxhash64("line"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.drop_duplicates("id")
-            if len(batch):
-                signed = sign(batch["line"].tolist())
-                yield pd.DataFrame(
-                    {
-                        "id": batch["id"].to_numpy(),
-                        "n": batch["line"].str.len().to_numpy(),
-                        "bands": list(minhash.bands(signed, ROWS)),
-                        "sig": [s.tobytes() for s in signed.astype(np.uint8)],
-                    }
-                )
+    """(doc_id, text_hash, line_no, id) of each line; n, bands and sig are null for all but one of a batch's equal lines."""
 
-    return lines.select("id", "line").mapInPandas(work, "id long, n long, bands array<long>, sig binary")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("minhash", minhash.forget)
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            first = np.zeros(len(ids), bool)
+            first[np.unique(ids, return_index=True)[1]] = True
+            texts = batch.column("line").filter(pa.array(first)).to_pylist()
+            signed = sign(texts)
+            bands = minhash.bands(signed, ROWS).ravel()
+            ends = np.concatenate(([0], np.cumsum(first)))
+            lists = pa.ListArray.from_arrays(pa.array((ends * BANDS).astype(np.int32), mask=np.append(~first, False)), pa.array(bands))
+            sigs = np.full(len(ids), None, object)
+            sigs[first] = [s.tobytes() for s in signed.astype(np.uint8)]
+            sizes = np.zeros(len(ids), np.int64)
+            sizes[first] = [len(t) for t in texts]
+            made = [pa.array(sizes, mask=~first), lists, pa.array(sigs, pa.binary())]
+            yield pa.record_batch([batch.column(c) for c in PLACE] + made, [*PLACE, "n", "bands", "sig"])
+
+    kinds = T.StructType([T.StructField(c, lines.schema[c].dataType) for c in PLACE])
+    kinds = kinds.add("n", "long").add("bands", T.ArrayType(T.LongType())).add("sig", "binary")
+    return lines.select(*PLACE, "line").mapInArrow(work, kinds)
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -105,12 +147,16 @@ def removals(docs: DataFrame) -> DataFrame:
     lines = split_lines(docs)
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return join_lookup(lines.select("id", F.col("line").alias("text")), ids, "id").dropDuplicates(["id"])
+        return join_lookup(lines.select("id", F.col("line").alias("text")), ids, "id").distinct()
 
-    roots = minhash.link(stage(signatures(lines), "line-signatures"), texts_of, line_set, least=LIKELY, sized=False)
-    places = lines.select("doc_id", "text_hash", "line_no", "id")
-    classed = join_lookup(places, roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    signed = stage(signatures(lines), "line-signatures")
+    items = signed.where(F.col("n").isNotNull()).select("id", "n", "bands", "sig")
+    roots = minhash.link(items, texts_of, line_sets, least=LIKELY, sized=False)
+    classed = join_lookup(signed.select(*PLACE), roots.select(F.col("node").alias("id"), "root"), "id", "left")
     classed = classed.select("doc_id", "text_hash", "line_no", F.coalesce("root", "id").alias("class"))
+    # Most classes have one line: only the others are ordered.
+    many = classed.groupBy("class").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("class")
+    classed = stage(join_lookup(classed, many, "class"), "line-classes")
     here: Column = F.struct("doc_id", "text_hash", "line_no")
     several = classed.groupBy("class").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(F.col("first") != F.col("last"))
     gone = join_lookup(classed, several.select("class", "first"), "class").where(here != F.col("first"))
@@ -120,24 +166,18 @@ def removals(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """All columns of the documents with the text cleaned, and n_lines, n_removed, emptied (existing columns of these names are replaced)."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "emptied")]
-    cut, id_of, hash_of, made_of = (unused(name, *columns) for name in ("_gone", "_doc_id", "_text_hash", "_made"))
+    cut, id_of, hash_of, all_of, left_of = (unused(name, *columns) for name in ("_gone", "_doc_id", "_text_hash", "_lines", "_left"))
     gone = removals(docs.select("doc_id", "text")).select(F.col("doc_id").alias(id_of), F.col("text_hash").alias(hash_of), F.col("gone").alias(cut))
     condition = F.col("doc_id").eqNullSafe(F.col(id_of)) & (F.xxhash64("text") == F.col(hash_of))
     joined = join_lookup(docs.select(*[F.col(f"`{c}`") for c in columns]), gone, condition, "left")
-
-    @F.pandas_udf("text string, n_lines int, n_removed int, emptied boolean")
-    def rebuilt(texts: pd.Series, removed: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, numbers in zip(texts, removed, strict=True):
-            if text is None:
-                out.append((None, 0, 0, False))
-                continue
-            lines = text.split("\n")
-            cut = set() if numbers is None else set(int(k) for k in numbers)
-            left = [line for k, line in enumerate(lines) if k not in cut]
-            out.append(("\n".join(left), len(lines), len(cut), bool(cut) and not any(line.strip(BLANKS) for line in left)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "emptied"])
-
-    made = joined.withColumn(made_of, rebuilt(F.col("text"), F.col(cut)))
-    new = [F.col(f"{made_of}.{c}").alias(c) for c in ("n_lines", "n_removed", "emptied")]
-    return made.select(*[F.col(f"{made_of}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], *new)
+    joined = joined.withColumn(all_of, F.split("text", "\n"))
+    left = F.filter(all_of, lambda _, k: ~F.array_contains(cut, k))
+    joined = joined.withColumn(left_of, F.when(F.col(cut).isNotNull(), left))
+    changed = F.col(left_of).isNotNull()
+    new = [
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(all_of)).alias("n_lines"),
+        F.when(changed, F.size(cut)).otherwise(0).alias("n_removed"),
+        F.when(changed, ~F.exists(left_of, lambda line: _trimmed(line) != "")).otherwise(False).alias("emptied"),
+    ]
+    text = F.when(changed, F.array_join(left_of, "\n")).otherwise(F.col("text")).alias("text")
+    return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in columns], *new)

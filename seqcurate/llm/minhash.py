@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqcurate.llm import graph
-from seqcurate.llm.common import join_lookup, stage
+from seqcurate.llm.common import join_lookup, stage, take_over
 from seqcurate.llm.hashing import mix
 
 WORDS = 5
@@ -42,6 +42,10 @@ PLACES = 1 << 20
 CHUNK = 200_000
 #: Members verified against a leader in one group.
 GROUP = 32
+#: Characters of texts whose sets a task holds at a time, unless one group has more.
+PIECE = 1 << 18
+#: Pairs of a cell that are compared one by one.
+FEW = 48
 SHINGLE_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -78,15 +82,27 @@ def _permute(x: np.ndarray) -> np.ndarray:
 
 @functools.cache
 def _circle(coordinates: int) -> np.ndarray:
-    """The second permutation: row p holds the ranks of place p under each shift, a view of one table."""
+    """The second permutation: entry p holds the ranks of place p under each shift, a view of one table."""
     table = _permute(np.arange(1, PLACES + 1, dtype=np.uint32))
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([table, table[: coordinates - 1]]), coordinates)
+    return np.ndarray((PLACES,), f"V{4 * coordinates}", np.concatenate([table, table[: coordinates - 1]]), strides=(4,))
+
+
+def forget() -> None:
+    _circle.cache_clear()
+
+
+def places(hashes: np.ndarray) -> np.ndarray:
+    """The place of each shingle: the first permutation."""
+    return _permute((hashes ^ (hashes >> np.uint64(32))).astype(np.uint32) * np.uint32(0x9E3779B1)) & np.uint32(PLACES - 1)
+
+
+def ranks_at(places: np.ndarray, coordinates: int) -> np.ndarray:
+    return _circle(coordinates)[places].view(np.uint32).reshape(-1, coordinates)
 
 
 def ranks(hashes: np.ndarray, coordinates: int) -> np.ndarray:
     """Rank of each shingle for each coordinate: both permutations applied."""
-    placed = _permute((hashes ^ (hashes >> np.uint64(32))).astype(np.uint32) * np.uint32(0x9E3779B1))
-    return _circle(coordinates)[placed & np.uint32(PLACES - 1)]
+    return ranks_at(places(hashes), coordinates)
 
 
 def signature(hashes: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
@@ -115,7 +131,10 @@ def _estimated(pairs: DataFrame, items: DataFrame, least: float, sized: bool) ->
 
     @F.pandas_udf("boolean")
     def likely(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= least for x, y in zip(left, right, strict=True)], dtype=bool)
+        if not len(left):
+            return pd.Series([], dtype=bool)
+        a, b = (np.frombuffer(b"".join(side), np.uint8).reshape(len(side), -1) for side in (left, right))
+        return pd.Series((a == b).mean(axis=1) >= least)
 
     side = lambda name: items.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -124,14 +143,34 @@ def _estimated(pairs: DataFrame, items: DataFrame, least: float, sized: bool) ->
     return both.where(likely("sig_a", "sig_b")).select("a", "b").distinct()
 
 
-def each_group(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
-    """(u, v) that ``work`` returns for the rows of each value of the integer keys.
+Sets = Callable[[list], list[np.ndarray]]
+Group = dict[str, np.ndarray]
+
+
+def each_group(rows: DataFrame, keys: list[str], sets: Sets, work: Callable[[Group, list[np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
+    """(u, v) that ``work`` returns for the rows of each value of the integer keys and the sets of their texts.
 
     As a grouped pandas function, but for many small groups: a task passes over its sorted rows
-    once and holds one batch and one unfinished group.
+    once and holds one batch and one unfinished group. Equal texts of neighbouring groups share one set.
     """
 
+    def links(batch: pd.DataFrame, cuts: list[int]) -> list[tuple[int, int]]:
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        sizes = np.concatenate(([0], np.cumsum([len(t or "") for t in columns["text"][: cuts[-1]]])))[cuts]
+        found: list[tuple[int, int]] = []
+        first = 0
+        while first < len(cuts) - 1:
+            last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + PIECE, "right")) - 1)
+            texts = list(dict.fromkeys(columns["text"][cuts[first] : cuts[last]]))
+            known = dict(zip(texts, sets(texts), strict=True))
+            for k in range(first, last):
+                group = {c: v[cuts[k] : cuts[k + 1]] for c, v in columns.items()}
+                found += work(group, [known[t] for t in group["text"]])
+            first = last
+        return found
+
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_over("minhash", forget)
         left = None
         for batch in batches:
             if left is not None:
@@ -140,62 +179,60 @@ def each_group(rows: DataFrame, keys: list[str], work: Callable[[dict[str, np.nd
                 continue
             key = batch[keys].to_numpy()
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)]
-            columns = {c: batch[c].to_numpy() for c in batch.columns}
-            found = [f for low, high in zip(cuts, cuts[1:], strict=False) for f in work({c: v[low:high] for c, v in columns.items()})]
+            found = links(batch, cuts)
             left = batch.iloc[cuts[-1] :]
             if found:
                 yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
         if left is not None and len(left):
-            yield pd.DataFrame(work({c: left[c].to_numpy() for c in left.columns}), columns=["u", "v"], dtype="int64")
+            yield pd.DataFrame(links(left, [0, len(left)]), columns=["u", "v"], dtype="int64")
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, "u long, v long").distinct()
 
 
-def verify(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable[[str], np.ndarray]) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     """The (a, b) pairs whose full sets are similar. Rows of one id are alternatives.
 
     Each text goes once to each group of at most about ``GROUP`` partners of a leading item.
     """
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stage(texts_of(ids), "minhash-texts")
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
     placed = pairs.join(sizes, "a").withColumn("group", F.pmod(F.xxhash64("b"), F.col("groups")))
     members = placed.select("a", "group", F.col("b").alias("id"))
     leaders = placed.select("a", "group", F.col("a").alias("id")).distinct()
     rows = members.unionByName(leaders).join(texts, "id")
 
-    def work(group: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        lead, ids, texts = group["a"][0], group["id"], group["text"]
-        own = [sets(t) for t in texts[ids == lead]]
-        return [(lead, i) for i, t in zip(ids, texts, strict=True) if i != lead and any(similar(o, s) for s in [sets(t)] for o in own)]
+    def work(group: Group, own: list[np.ndarray]) -> list[tuple[int, int]]:
+        lead, ids = group["a"][0], group["id"]
+        leading = [s for i, s in zip(ids, own, strict=True) if i == lead]
+        return [(lead, i) for i, s in zip(ids, own, strict=True) if i != lead and any(similar(o, s) for o in leading)]
 
-    return each_group(rows, ["a", "group"], work)
+    return each_group(rows, ["a", "group"], sets, work)
 
 
-def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable[[str], np.ndarray]) -> DataFrame:
-    """Links (u, v) between different components that share a bucket.
+def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
+    """Links (u, v) between the roots of different components that share a bucket.
 
     In a bucket with several components the items outside its largest one are compared with all its
     items on their full sets. Both sides are cut into chunks of about ``CHUNK`` shingles, so a cell
     of two chunks is bounded; a cell returns a spanning forest of the components that it links, fewer links than rows.
     """
-    placed = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = placed.join(items.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    placed = join_lookup(buckets, roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    placed = stage(placed.select("band", "id", F.coalesce("root", "id").alias("root")), "minhash-placed")
+    # Two items that are not linked were looked at as member and leader: ruled out by their signatures or on their sets.
+    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    several = several.where((F.col("low") < F.col("high")) & (F.col("size") > 2)).select("band")
+    placed = join_lookup(placed, several, "band").join(items.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    placed = stage(placed, "minhash-placed")
     marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark_{k}") for k in (0, 1)]
     parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"), *marks)
     state = parts.groupBy("band").agg(
         F.max_by("root", F.struct("size", "root")).alias("main"),
-        F.count(F.lit(1)).alias("components"),
         F.sum("size").alias("size"),
         F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"),
         *[F.bit_xor(f"mark_{k}").alias(f"mark_{k}") for k in (0, 1)],
     )
-    # Two items that are not linked were looked at as member and leader: ruled out by their signatures or on their sets.
-    state = state.where((F.col("components") > 1) & (F.col("size") > 2))
     # Bands with the same members, told by 128 bits and their number, are one bucket.
     state = state.groupBy("mark_0", "mark_1", "size", "main", "chunks").agg(F.min("band").alias("band")).select("band", "main", "chunks")
     members = stage(placed.join(state, "band"), "minhash-open")
-    texts = stage(texts_of(members.select("id").distinct()), "minhash-texts")
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     probes = members.where(F.col("root") != F.col("main"))
@@ -205,69 +242,93 @@ def across(buckets: DataFrame, items: DataFrame, roots: DataFrame, texts_of: Cal
     held = members.select("band", own.alias("j"), "id", "root").join(used, "band").select("band", "i", "j", "id", "root", F.lit(False).alias("probe"))
     cells = asked.unionByName(held).join(texts, "id")
 
-    def work(cell: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        probe, ids, root = cell["probe"].astype(bool), cell["id"], cell["root"]
+    def work(cell: Group, own: list[np.ndarray]) -> list[tuple[int, int]]:
+        probe, root = cell["probe"].astype(bool), cell["root"]
         rows, where = np.flatnonzero(probe), np.flatnonzero(~probe)
         found: list[tuple[int, int]] = []
         if len(rows) and len(where):
-            own_sets = [sets(t) for t in cell["text"]]
-            size = np.array([len(x) for x in own_sets])
-            values, at = np.unique(np.concatenate(own_sets), return_inverse=True)
-            of = np.repeat(np.arange(len(size)), size)
-            shared = np.zeros((len(rows), len(where)))
-            for low in range(0, len(values), 4096):
-                part = (at >= low) & (at < low + 4096)
-                block = np.zeros((len(size), min(4096, len(values) - low)), np.float32)
-                block[of[part], at[part] - low] = 1
-                shared += block[rows] @ block[where].T
-            union = size[rows][:, None] + size[where][None, :] - shared
+            size = np.array([len(x) for x in own])
+            low, high = np.minimum.outer(size[rows], size[where]), np.maximum.outer(size[rows], size[where])
+            hit = (100 * low >= PERCENT * high) & (low > 0) & (root[rows][:, None] != root[where])
+            asked = np.argwhere(hit)
+            if len(asked) <= FEW:
+                for r, w in asked:
+                    hit[r, w] = similar(own[rows[r]], own[where[w]])
+            else:
+                hit &= 100 * (shared := _shared(own, rows, where)) >= PERCENT * (size[rows][:, None] + size[where] - shared)
             names, of = np.unique(root, return_inverse=True)
-            hit = (100 * shared >= PERCENT * union) & (union > 0)
             joined = np.arange(len(names))
-            for k, r in enumerate(rows):
-                near = where[hit[k]]
+            for k in np.flatnonzero(hit.any(axis=1)):
+                r, near = rows[k], where[hit[k]]
                 labels, first = np.unique(joined[of[near]], return_index=True)
                 new = labels != joined[of[r]]
                 if new.any():
-                    found += [(ids[r], ids[near[f]]) for f in first[new]]
+                    found += [(root[r], root[near[f]]) for f in first[new]]
                     joined[np.isin(joined, labels[new])] = joined[of[r]]
         return found
 
-    return each_group(cells, ["band", "i", "j"], work)
+    return each_group(cells, ["band", "i", "j"], sets, work)
+
+
+def _shared(own: list[np.ndarray], rows: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections; a set that is there several times, as probe and as member, is laid out once."""
+    once = {id(x): x for x in own}
+    place = {key: k for k, key in enumerate(once)}
+    at_row = np.array([place[id(x)] for x in own])
+    values, at = np.unique(np.concatenate(list(once.values())), return_inverse=True)
+    of = np.repeat(np.arange(len(once)), [len(x) for x in once.values()])
+    shared = np.zeros((len(rows), len(where)))
+    for low in range(0, len(values), 4096):
+        part = (at >= low) & (at < low + 4096)
+        block = np.zeros((len(once), min(4096, len(values) - low)), np.float32)
+        block[of[part], at[part] - low] = 1
+        shared += block[at_row[rows]] @ block[at_row[where]].T
+    return shared
 
 
 def link(
     items: DataFrame,
     texts_of: Callable[[DataFrame], DataFrame],
-    sets: Callable[[str], np.ndarray],
+    sets: Sets,
     given: DataFrame | None = None,
     least: float = LIKELY,
     sized: bool = True,
 ) -> DataFrame:
     """(node, root) of all linked items.
 
-    items: id long, n, bands, sig, repeated rows allowed; texts_of gives (id, text) of an (id) table;
-    given: links (u, v) known before; least: agreement of signatures below which a pair is not verified; sized: n is the size of the set, not only near it.
+    items: id long, n, bands, sig, repeated rows allowed; texts_of gives (id, text) of an (id) table, asked once for all items that share a bucket;
+    sets: of a list of texts; given: links (u, v) known before; least: agreement of signatures below which a pair is not verified; sized: n is the size of the set, not only near it.
     """
     banded = items.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where(F.col("lead") < F.col("last"))
     buckets = stage(join_lookup(banded, shared.select("band", "lead"), "band").distinct(), "minhash-buckets")
-    items = join_lookup(items, buckets.select("id").distinct(), "id").select("id", "n", "sig").distinct()
+    ids = buckets.select("id").distinct()
+    items = join_lookup(items, ids, "id").select("id", "n", "sig").distinct()
     items = stage(items, "minhash-items")
+    texts = stage(texts_of(ids), "minhash-texts")
     pairs = buckets.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tried = stage(_estimated(pairs, items, least, sized), "minhash-pairs")
-    links = stage(verify(tried, texts_of, sets), "minhash-links")
+    links = stage(verify(tried, texts, sets), "minhash-links")
     if given is not None:
         links = links.unionByName(given)
     roots = stage(graph.components(links), "minhash-roots")
-    more = stage(across(buckets.select("band", "id").distinct(), items, roots, texts_of, sets), "minhash-links")
-    return stage(graph.components(links.unionByName(more)), "minhash-roots")
+    more = stage(across(buckets.select("band", "id"), items, roots, texts, sets), "minhash-links")
+    # These links run between roots: the components of the few roots are the components of all.
+    top = stage(graph.components(more), "minhash-roots")
+    above = top.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    merged = join_lookup(roots, above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stage(merged.unionByName(top.select("node", "root")).distinct(), "minhash-roots")
+
+
+def shingle_sets(texts: list) -> list[np.ndarray]:
+    return [shingles(t) for t in texts]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n, digest, bands, sig) of each document; no bands for an empty set."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_over("minhash", forget)
         for batch in batches:
             sets = [shingles(t) for t in batch["text"]]
             sigs = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, BANDS * ROWS), np.uint32)
@@ -304,7 +365,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def texts_of(ids: DataFrame) -> DataFrame:
         return join_lookup(texts.withColumnRenamed("doc_id", "id"), ids, "id")
 
-    roots = link(items, texts_of, shingles, copies)
+    roots = link(items, texts_of, shingle_sets, copies)
     found = signed.select("doc_id", F.col("n").alias("n_shingles")).join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
